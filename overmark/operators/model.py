@@ -24,6 +24,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import safe
@@ -33,7 +34,7 @@ from .common import broadcast_if_small, join_small, last_non_null, running_aggs
 Z975 = 1.959963984540054  # standard normal 97.5% quantile
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """2·(1 − Φ(|z|)) = erfc(|z|/√2); Spark SQL has no erf/erfc."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v and v is not None else float("nan"))

@@ -204,21 +204,36 @@ def _market_base(stats: DataFrame, min_series: int):
     return p.join(broadcast_if_small(eligible.select("person_id")), "person_id", "left_semi")
 
 
+def market_rows(stats: DataFrame, team_stats: DataFrame, quotes: DataFrame, min_series: int = 10,
+                drop_missing: bool = False, persist: bool = True) -> DataFrame:
+    """Eligible players' playoff game rows with the team result, the
+    market's implied probability for the player's side and the residual
+    ``_r`` (win − probability).  Persisted once: every market report reads
+    these rows several times (running total, series totals, series order,
+    career max)."""
+    p = _market_base(stats, min_series)
+    # inputs derived from the same tables: join on renamed keys only, never
+    # on two references to one lineage's column
+    t = team_stats.select(F.col("game_id").alias("_t_game"), F.col("team_id").alias("_t_team"), "win")
+    o = side_odds(quotes, zero="one").select(F.col("game_id").alias("_o_game"),
+                                             F.col("target_team_id").alias("_o_team"), "implied_win_prob")
+    gk = F.col("game_id").cast("bigint")
+    j = (p.join(t, (gk == F.col("_t_game")) & (F.col("player_team_id") == F.col("_t_team")), "inner")
+         .drop("_t_game", "_t_team"))
+    j = j.join(o, (gk == F.col("_o_game")) & (F.col("player_team_id") == F.col("_o_team")), "left") \
+        .drop("_o_game", "_o_team")
+    if drop_missing:
+        j = j.where(F.col("implied_win_prob").isNotNull() & F.col("win").isNotNull())
+    j = j.withColumn("_r", F.col("win").cast("double") - F.col("implied_win_prob"))
+    return materialize(j, "market_rows") if persist else j
+
+
 def market_residual_games(stats: DataFrame, team_stats: DataFrame, quotes: DataFrame,
                           min_series: int = 10, buckets: int = 32) -> DataFrame:
     """D-27: game-grain residual of each eligible player against the market
     (average side price → probability), with the career running total
     (peers included), series total/average, series order and career max."""
-    p = _market_base(stats, min_series)
-    t = team_stats.select("game_id", F.col("team_id").alias("_t_team"), "win")
-    o = side_odds(quotes, zero="one").select(F.col("game_id").alias("_o_game"),
-                                             F.col("target_team_id").alias("_o_team"), "implied_win_prob")
-    j = (p.join(t, (p["game_id"].cast("bigint") == t["game_id"]) & (p["player_team_id"] == t["_t_team"]), "inner")
-         .drop(t["game_id"]).drop("_t_team"))
-    j = j.join(o, (j["game_id"].cast("bigint") == o["_o_game"]) & (j["player_team_id"] == o["_o_team"]), "left") \
-        .drop("_o_game", "_o_team")
-    resid = F.col("win").cast("double") - F.col("implied_win_prob")
-    j = j.withColumn("_r", resid)
+    j = market_rows(stats, team_stats, quotes, min_series)
     j = running_sum(j, ["person_id"], ["game_ts"], "_r", "_cum", frame="range", buckets=buckets)
     series_tot = (j.groupBy("person_id", "series_id")
                   .agg(F.sum("_r").alias("_ssum"), F.avg("_r").alias("_savg")))
@@ -251,17 +266,9 @@ def market_residual_series(stats: DataFrame, team_stats: DataFrame, quotes: Data
     game residuals (missing odds/results dropped first), the series order,
     and running sum / average over the player's series order (peers
     included), sorted by the career peak."""
-    p = _market_base(stats, min_series)
-    t = team_stats.select(F.col("game_id").alias("_t_game"), F.col("team_id").alias("_t_team"), "win")
-    o = side_odds(quotes, zero="one").select(F.col("game_id").alias("_o_game"),
-                                             F.col("target_team_id").alias("_o_team"), "implied_win_prob")
-    j = p.join(t, (p["game_id"].cast("bigint") == F.col("_t_game")) & (p["player_team_id"] == F.col("_t_team")),
-               "inner")
-    j = j.join(o, (j["game_id"].cast("bigint") == F.col("_o_game")) & (j["player_team_id"] == F.col("_o_team")),
-               "left")
-    j = j.where(F.col("implied_win_prob").isNotNull() & F.col("win").isNotNull())
+    j = market_rows(stats, team_stats, quotes, min_series, drop_missing=True)
     g = j.select("person_id", "first_name", "last_name", "series_id", "series_start_ts",
-                 (F.col("win").cast("double") - F.col("implied_win_prob")).alias("game_residual"))
+                 F.col("_r").alias("game_residual"))
     ss = (g.groupBy("person_id", "first_name", "last_name", "series_id", "series_start_ts")
           .agg(F.sum("game_residual").alias("series_sum_residual"),
                F.avg("game_residual").alias("series_avg_residual")))
