@@ -164,13 +164,14 @@ def running_avg(df, keys, order, value, out, frame="rows", buckets=32):
             .drop(f"_s_{out}", f"_c_{out}"))
 
 
-def dense_rank_by(df: DataFrame, keys: list[str], order_col: str, out: str,
-                  buckets: int = 32) -> DataFrame:
-    """``dense_rank() over (partition by keys order by order_col)``.
-
-    Ranks the distinct (keys, order value) set — already reduced by a
-    map-side aggregate — then joins the rank back.  NULL order values rank
-    first, as in an ascending SQL sort.
+def dense_rank_table(df: DataFrame, keys: list[str], order_col: str, out: str,
+                     buckets: int = 32) -> DataFrame:
+    """(keys, order value) → ``dense_rank`` within keys, as a small table.
+
+    Built from the distinct (keys, order value) set — reduced by a map-side
+    aggregate — with a two-level running count.  NULL order values rank
+    first, as in an ascending SQL sort.  Join it back with ``eqNullSafe``
+    on the order column (``dense_rank_by`` does).
     """
     distinct = df.select(*keys, order_col).distinct()
     nulls_first = distinct.withColumn("_isnull", F.col(order_col).isNull())
@@ -183,7 +184,14 @@ def dense_rank_by(df: DataFrame, keys: list[str], order_col: str, out: str,
     null_rank = (has_null.where(F.col("_hn") == 1)
                  .select(*keys, F.lit(None).cast(df.schema[order_col].dataType).alias(order_col),
                          F.lit(1).cast("bigint").alias(out)))
-    ranks = ranked.unionByName(null_rank).select(
+    return ranked.unionByName(null_rank)
+
+
+def dense_rank_by(df: DataFrame, keys: list[str], order_col: str, out: str,
+                  buckets: int = 32) -> DataFrame:
+    """``dense_rank() over (partition by keys order by order_col)``: the rank
+    table of ``dense_rank_table`` joined back (broadcast when small)."""
+    ranks = dense_rank_table(df, keys, order_col, out, buckets).select(
         *[F.col(k).alias(f"_rk_{k}") for k in [*keys, order_col]], out)
     cond = [F.col(k).eqNullSafe(F.col(f"_rk_{k}")) for k in [*keys, order_col]]
     return (df.join(broadcast_if_small(ranks), cond, "left")

@@ -13,7 +13,8 @@ from ..functions.odds import american_price, logit
 from ..sources.sinks import materialize
 from . import residual as R
 from . import series_ops as SO
-from .common import broadcast_if_small, dense_rank_by, join_small, running_avg, running_sum
+from .common import (broadcast_if_small, dense_rank_by, dense_rank_table, join_small, running_aggs,
+                     running_sum)
 from .odds_ops import side_odds
 
 
@@ -69,15 +70,17 @@ def player_game_residuals(stats: DataFrame, elo: DataFrame, min_series: int = 10
     """D-29: the flagship wide table — one row per eligible player game with
     game, series and year residual context and career bounds."""
     t = residual_tables(stats, elo, min_series, mirror_venue)
-    g = R.running_game(t.games, buckets)
+    # the row spine with its running value is read twice (career bounds and
+    # the output): write it once
+    g = materialize(R.running_game(t.games, buckets), "player_game_running")
     game_bounds = R.career_bounds(g, "career_game_running_residual", ["game_ts", "kaggle_game_id"],
                                   "career_game_last_cumulative_residual",
                                   "career_game_max_cumulative_residual")
-    s = R.running_series(t.player_series, buckets)
+    s = materialize(R.running_series(t.player_series, buckets), "player_series_running")
     series_bounds = R.career_bounds(s, "career_series_running_residual", R.SERIES_ORDER,
                                     "career_series_last_cumulative_residual",
                                     "career_series_max_cumulative_residual")
-    y = R.running_year(g, t.player_series, buckets)
+    y = R.running_year(t.games, t.player_series, buckets)
     yb = y.groupBy("person_id").agg(
         R.last_non_null("career_year_game_running_residual", "year_id")
         .alias("career_year_game_last_cumulative_residual"),
@@ -234,11 +237,14 @@ def market_residual_games(stats: DataFrame, team_stats: DataFrame, quotes: DataF
     (average side price → probability), with the career running total
     (peers included), series total/average, series order and career max."""
     j = market_rows(stats, team_stats, quotes, min_series)
-    j = running_sum(j, ["person_id"], ["game_ts"], "_r", "_cum", frame="range", buckets=buckets)
     series_tot = (j.groupBy("person_id", "series_id")
                   .agg(F.sum("_r").alias("_ssum"), F.avg("_r").alias("_savg")))
-    j = j.join(series_tot, ["person_id", "series_id"], "left")
-    j = dense_rank_by(j, ["person_id"], "series_start_ts", "player_series_order", buckets)
+    ranks = dense_rank_table(j, ["person_id"], "series_start_ts", "player_series_order", buckets).select(
+        F.col("person_id").alias("_rk_p"), F.col("series_start_ts").alias("_rk_start"), "player_series_order")
+    j = running_sum(j, ["person_id"], ["game_ts"], "_r", "_cum", frame="range", buckets=buckets)
+    j = join_small(j, series_tot, ["person_id", "series_id"], "left")
+    j = join_small(j, ranks, (F.col("person_id") == F.col("_rk_p"))
+                   & F.col("series_start_ts").eqNullSafe(F.col("_rk_start")), "left").drop("_rk_p", "_rk_start")
     j = j.select("person_id", "first_name", "last_name", "series_id", "series_game_number", "game_id",
                  "game_date_time_est", "win",
                  F.round("implied_win_prob", 4).alias("implied_win_prob"),
@@ -249,6 +255,8 @@ def market_residual_games(stats: DataFrame, team_stats: DataFrame, quotes: DataF
                  F.round("_ssum", 4).alias("cumulative_series_residual"),
                  F.round("_savg", 4).alias("average_series_residual"),
                  "player_series_order")
+    # read twice (career max and the output): write once
+    j = materialize(j, "market_games_spine")
     mx = (j.groupBy("person_id", "first_name", "last_name")
           .agg(F.max("cumulative_career_game_residual").alias("max_cumulative_career_game_residual"))
           .drop("first_name", "last_name"))
@@ -272,11 +280,16 @@ def market_residual_series(stats: DataFrame, team_stats: DataFrame, quotes: Data
     ss = (g.groupBy("person_id", "first_name", "last_name", "series_id", "series_start_ts")
           .agg(F.sum("game_residual").alias("series_sum_residual"),
                F.avg("game_residual").alias("series_avg_residual")))
+    ss = materialize(ss, "market_series")
     ss = dense_rank_by(ss, ["person_id"], "series_start_ts", "player_series_order", buckets)
-    ss = running_sum(ss, ["person_id"], ["player_series_order"], "series_sum_residual",
-                     "cumulative_sum_series_residual", frame="range", buckets=buckets)
-    ss = running_avg(ss, ["person_id"], ["player_series_order"], "series_avg_residual",
-                     "cumulative_avg_series_residual", frame="range", buckets=buckets)
+    ss = running_aggs(ss, ["person_id"], ["player_series_order"],
+                      {"cumulative_sum_series_residual": ("sum", "series_sum_residual"),
+                       "_as": ("sum", "series_avg_residual"), "_ac": ("count", "series_avg_residual")},
+                      frame="range", buckets=buckets)
+    ss = ss.withColumn("cumulative_avg_series_residual",
+                       safe.safe_divide(F.col("_as"), F.col("_ac").cast("double"))).drop("_as", "_ac")
+    # read twice (career peak and the output): write once
+    ss = materialize(ss, "market_series_running")
     mx = ss.groupBy("person_id").agg(F.max("cumulative_sum_series_residual").alias("_peak"))
     out = join_small(ss, mx, "person_id", "inner")
     return (out.orderBy(F.col("_peak").desc(), F.col("player_series_order").desc())
