@@ -64,8 +64,14 @@ def rule_expr(rule: ColumnRule, raw_type: T.DataType | None = None) -> Column:
         e = safe.parse_date(src.cast("string"))
     elif rule.kind == "a":
         # Parquet LIST of strings read as struct<list: array<struct<element>>>:
-        # keep the inner list, as the warehouse model does.
-        e = src.getField("list")
+        # keep the inner list, as the warehouse model does.  A string-landed
+        # cell holds the same structure as JSON.
+        if isinstance(raw_type, T.StructType):
+            e = src.getField("list")
+        elif isinstance(raw_type, T.ArrayType):
+            e = src
+        else:
+            e = F.from_json(src.cast("string"), "list array<struct<element:string>>").getField("list")
     elif rule.hard:
         e = src.cast(rule.spark_type)
     elif rule.kind == "b":
