@@ -87,9 +87,22 @@ def _bucketize(df: DataFrame, keys: list[str], order0: str, buckets: int,
     return joined.withColumn(bucket_col, F.coalesce(idx, F.lit(0))).drop("_bounds")
 
 
+# Inputs whose size estimate (an upper bound) is at most this run cumulative
+# windows as one plain Window: no key can hold more than the whole input, so
+# one task per key is bounded.  Larger inputs take the two-level path.
+PLAIN_WINDOW_MAX_BYTES = 64 * 1024 * 1024
+
+
+def _plain_ok(df: DataFrame, two_level: bool | None) -> bool:
+    if two_level is not None:
+        return not two_level
+    size = estimated_bytes(df)
+    return size is not None and size <= PLAIN_WINDOW_MAX_BYTES
+
+
 def running_aggs(df: DataFrame, keys: list[str], order: list,
                  specs: dict[str, tuple[str, Column | str]], frame: str = "rows",
-                 buckets: int = 32) -> DataFrame:
+                 buckets: int = 32, two_level: bool | None = None) -> DataFrame:
     """Cumulative aggregates per ``keys`` in ``order``, several at once.
 
     ``specs`` maps output name → (fn, value) with fn ``"sum"`` or
@@ -103,6 +116,9 @@ def running_aggs(df: DataFrame, keys: list[str], order: list,
     give each bucket an exclusive prefix offset, and the window runs within
     (key, bucket).  Work per task is bounded by one bucket, not one key.
     The first order column must be numeric, date or timestamp.
+
+    ``two_level=None`` picks the plain window when the input's size bound is
+    at most ``PLAIN_WINDOW_MAX_BYTES`` (True / False force a path).
     """
     order0 = order[0]
     if not isinstance(order0, str):
@@ -113,7 +129,6 @@ def running_aggs(df: DataFrame, keys: list[str], order: list,
     bcol = f"_bkt_{tag}"
     vals = {out: (fn, F.col(v) if isinstance(v, str) else v) for out, (fn, v) in specs.items()}
     base = df.withColumns({f"_v_{out}": v for out, (_, v) in vals.items()})
-    base = _bucketize(base, keys, order0, buckets, bcol)
 
     def agg(fn, out):
         c = F.col(f"_v_{out}")
@@ -123,6 +138,15 @@ def running_aggs(df: DataFrame, keys: list[str], order: list,
             return F.count(c)
         raise ValueError(fn)
 
+    if _plain_ok(df, two_level):
+        w = W.partitionBy(*keys).orderBy(*_cols(order))
+        if frame == "rows":
+            w = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+        res = base.withColumns({o: agg(fn, o).over(w) for o, (fn, _) in vals.items()})
+        return res.drop(*[f"_v_{o}" for o in vals])
+
+    base = _bucketize(base, keys, order0, buckets, bcol)
+
     totals = base.groupBy(*keys, bcol).agg(*[agg(fn, o).alias(f"_t_{o}") for o, (fn, _) in vals.items()])
     prev = W.partitionBy(*keys).orderBy(bcol).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, bcol, *[F.sum(f"_t_{o}").over(prev).alias(f"_o_{o}") for o in vals])
@@ -144,28 +168,28 @@ def running_aggs(df: DataFrame, keys: list[str], order: list,
     return res.withColumns(outs).drop(*drop)
 
 
-def running_agg(df, keys, order, value, out, frame="rows", fn="sum", buckets=32):
-    return running_aggs(df, keys, order, {out: (fn, value)}, frame, buckets)
+def running_agg(df, keys, order, value, out, frame="rows", fn="sum", buckets=32, two_level=None):
+    return running_aggs(df, keys, order, {out: (fn, value)}, frame, buckets, two_level)
 
 
-def running_sum(df, keys, order, value, out, frame="rows", buckets=32):
-    return running_aggs(df, keys, order, {out: ("sum", value)}, frame, buckets)
+def running_sum(df, keys, order, value, out, frame="rows", buckets=32, two_level=None):
+    return running_aggs(df, keys, order, {out: ("sum", value)}, frame, buckets, two_level)
 
 
-def running_count(df, keys, order, out, frame="rows", buckets=32):
-    return running_aggs(df, keys, order, {out: ("count", F.lit(1))}, frame, buckets)
+def running_count(df, keys, order, out, frame="rows", buckets=32, two_level=None):
+    return running_aggs(df, keys, order, {out: ("count", F.lit(1))}, frame, buckets, two_level)
 
 
-def running_avg(df, keys, order, value, out, frame="rows", buckets=32):
+def running_avg(df, keys, order, value, out, frame="rows", buckets=32, two_level=None):
     """Cumulative average = running sum / running count of non-null values."""
     r = running_aggs(df, keys, order, {f"_s_{out}": ("sum", value), f"_c_{out}": ("count", value)},
-                     frame, buckets)
+                     frame, buckets, two_level)
     return (r.withColumn(out, F.try_divide(F.col(f"_s_{out}"), F.col(f"_c_{out}").cast("double")))
             .drop(f"_s_{out}", f"_c_{out}"))
 
 
 def dense_rank_table(df: DataFrame, keys: list[str], order_col: str, out: str,
-                     buckets: int = 32) -> DataFrame:
+                     buckets: int = 32, two_level: bool | None = None) -> DataFrame:
     """(keys, order value) → ``dense_rank`` within keys, as a small table.
 
     Built from the distinct (keys, order value) set — reduced by a map-side
@@ -176,7 +200,7 @@ def dense_rank_table(df: DataFrame, keys: list[str], order_col: str, out: str,
     distinct = df.select(*keys, order_col).distinct()
     nulls_first = distinct.withColumn("_isnull", F.col(order_col).isNull())
     ranked = running_count(nulls_first.where(~F.col("_isnull")), keys, [order_col], "_r",
-                           frame="rows", buckets=buckets)
+                           frame="rows", buckets=buckets, two_level=two_level)
     has_null = (nulls_first.groupBy(*keys)
                 .agg(F.max(F.col("_isnull").cast("int")).alias("_hn")))
     ranked = (join_small(ranked, has_null, keys, "left")
@@ -188,10 +212,10 @@ def dense_rank_table(df: DataFrame, keys: list[str], order_col: str, out: str,
 
 
 def dense_rank_by(df: DataFrame, keys: list[str], order_col: str, out: str,
-                  buckets: int = 32) -> DataFrame:
+                  buckets: int = 32, two_level: bool | None = None) -> DataFrame:
     """``dense_rank() over (partition by keys order by order_col)``: the rank
     table of ``dense_rank_table`` joined back (broadcast when small)."""
-    ranks = dense_rank_table(df, keys, order_col, out, buckets).select(
+    ranks = dense_rank_table(df, keys, order_col, out, buckets, two_level).select(
         *[F.col(k).alias(f"_rk_{k}") for k in [*keys, order_col]], out)
     cond = [F.col(k).eqNullSafe(F.col(f"_rk_{k}")) for k in [*keys, order_col]]
     return (df.join(broadcast_if_small(ranks), cond, "left")
