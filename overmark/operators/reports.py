@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +18,38 @@ from .common import (broadcast_if_small, dense_rank_by, dense_rank_table, join_s
 from .odds_ops import side_odds
 
 
-@dataclass
 class ResidualTables:
-    """Intermediate relations of the flagship, for reuse by later reports."""
-    games: DataFrame          # player-game rows with residuals (game_residuals_with_diff)
-    series_res: DataFrame     # per (series, side, opponent, year)
-    player_series: DataFrame  # per (person, series result)
+    """Intermediate relations of the flagship, for reuse by later reports.
+
+    ``games`` (player-game rows with residuals) is built eagerly; the series
+    and person-series relations are built on first use, so callers that
+    only need the game rows never pay for them.
+    """
+
+    def __init__(self, games: DataFrame, mirror_venue: bool, enumerate_paths: bool, persist: bool):
+        self.games = games
+        self._mirror, self._enum, self._persist = mirror_venue, enumerate_paths, persist
+
+    @cached_property
+    def first_games(self) -> DataFrame:
+        return SO.first_game_per_series(
+            self.games, cols=["year_id", "series_start_ts", "player_home", "player_game_forecast", "game_label"])
+
+    @cached_property
+    def series_odds(self) -> DataFrame:
+        return (SO.series_odds_enumerated(self.first_games) if self._enum
+                else SO.series_odds(self.first_games, self._mirror))
+
+    @cached_property
+    def series_res(self) -> DataFrame:
+        """per (series, side, opponent, year)"""
+        return SO.series_residuals(SO.series_results(self.games), self.series_odds)
+
+    @cached_property
+    def player_series(self) -> DataFrame:
+        """per (person, series result)"""
+        ps = R.player_series_residuals(self.games, self.series_res)
+        return materialize(ps, "player_series_base") if self._persist else ps
 
 
 def residual_tables(stats: DataFrame, elo: DataFrame, min_series: int = 10,
@@ -47,14 +73,7 @@ def residual_tables(stats: DataFrame, elo: DataFrame, min_series: int = 10,
     games = R.game_residuals(joined)
     if persist:
         games = materialize(games, "player_game_base")
-    first = SO.first_game_per_series(
-        games, cols=["year_id", "series_start_ts", "player_home", "player_game_forecast", "game_label"])
-    odds = SO.series_odds_enumerated(first) if enumerate_paths else SO.series_odds(first, mirror_venue)
-    sres = SO.series_residuals(SO.series_results(games), odds)
-    ps = R.player_series_residuals(games, sres)
-    if persist:
-        ps = materialize(ps, "player_series_base")
-    return ResidualTables(games, sres, ps)
+    return ResidualTables(games, mirror_venue, enumerate_paths, persist)
 
 
 GAME_OUT = [
