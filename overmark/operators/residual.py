@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import safe
-from ..functions.odds import american_price, side_american_price
+from ..functions.odds import side_american_price
 from ..functions.series import series_key
 from .common import broadcast_if_small, last_non_null, running_aggs, running_sum
 
@@ -84,12 +84,6 @@ def eligible_persons(df: DataFrame, min_series: int = 10, min_minutes: float | N
     return df.groupBy("person_id").agg(*aggs).where(cond)
 
 
-def elo_games_from(games: DataFrame) -> DataFrame:
-    """Home-view forecast games with resolved ids: the ``final`` relation of
-    the flagship (one row per game)."""
-    return games
-
-
 def join_player_elo(elo: DataFrame, players: DataFrame, eligible: DataFrame) -> DataFrame:
     """J-08 + J-10: attach each eligible player's game row to the forecast
     game of the same date and team pair, in either orientation.
@@ -190,7 +184,3 @@ def career_bounds(df: DataFrame, value: str, order: list[str], last_name: str, m
     the maximum — both partial-aggregated, no per-career sort."""
     return df.groupBy("person_id").agg(last_non_null(value, *order).alias(last_name),
                                        F.max(value).alias(max_name))
-
-
-def forecast_price(col: str = "forecast"):
-    return american_price(col)
