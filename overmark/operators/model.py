@@ -50,39 +50,38 @@ def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_
     A person whose outcomes are all wins or all losses has no finite
     estimate: the coefficient columns are NULL and ``separated`` is true.
     """
-    spark = rows.sparkSession
     d = rows.select(F.col(person).alias("_p"), F.col(y).cast("double").alias("_y"),
                     F.col(offset).cast("double").alias("_o"), (F.col(minutes) / 36.0).alias("_w"))
     d = materialize(d, "glm_rows")
     stats = d.groupBy("_p").agg(F.sum("_y").alias("_ny"), F.count(F.lit(1)).alias("_n"))
-    params = materialize(stats.select("_p", F.lit(0.0).alias("_b"),
-                                      ((F.col("_ny") == 0) | (F.col("_ny") == F.col("_n"))).alias("separated")),
-                         "glm_params")
-
-    def step(params: DataFrame) -> DataFrame:
-        j = d.join(broadcast_if_small(params.where(~F.col("separated")).select("_p", "_b")), "_p", "inner")
+    flags = materialize(stats.select(
+        "_p", ((F.col("_ny") == 0) | (F.col("_ny") == F.col("_n"))).alias("separated")), "glm_flags")
+    # parameter table of the persons with a finite estimate: (_p, _b, _info, _delta)
+    params = flags.where(~F.col("separated")).select("_p", F.lit(0.0).alias("_b"))
+
+    def newton_step(params: DataFrame) -> DataFrame:
+        """One pass over the rows: score and information at the current b,
+        and the updated b, per person (partial-aggregated groupBy)."""
+        j = d.join(broadcast_if_small(params.select("_p", "_b")), "_p", "inner")
         mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_b") + F.col("_o"))))
-        return j.groupBy("_p").agg(F.first("_b").alias("_b"),
-                                   F.sum(F.col("_w") * (F.col("_y") - mu)).alias("_score"),
-                                   F.sum(F.col("_w") * mu * (F.lit(1.0) - mu)).alias("_info"))
+        s = j.groupBy("_p").agg(F.first("_b").alias("_b0"),
+                                F.sum(F.col("_w") * (F.col("_y") - mu)).alias("_score"),
+                                F.sum(F.col("_w") * mu * (F.lit(1.0) - mu)).alias("_info"))
+        step = F.coalesce(safe.safe_divide("_score", "_info"), F.lit(0.0))
+        return s.select("_p", (F.col("_b0") + step).alias("_b"), "_info", F.abs(step).alias("_delta"))
 
     iterations = 0
     for iterations in range(1, max_iter + 1):
-        s = step(params)
-        upd = s.select("_p", (F.col("_b") + F.coalesce(safe.safe_divide("_score", "_info"), F.lit(0.0))).alias("_nb"))
-        new = (params.join(upd, "_p", "left")
-               .select("_p", F.coalesce("_nb", "_b").alias("_b"), "separated",
-                       F.abs(F.coalesce("_nb", "_b") - F.col("_b")).alias("_delta")))
-        new = materialize(new, "glm_params")
-        delta = new.agg(F.max("_delta")).first()[0]
-        params = new.drop("_delta")
+        params = materialize(newton_step(params), "glm_params")
+        delta = params.agg(F.max("_delta")).first()[0]
         if delta is None or delta < tol:
             break
 
-    fin = step(params).select("_p", "_b", "_info")
+    # standard errors from the information of the last pass; at convergence
+    # (|Δb| < tol) it differs from the information at the final b by O(tol)
+    fin = params.select("_p", "_b", "_info")
     se = F.lit(1.0) / F.sqrt(F.col("_info"))
-    coef = (params.select("_p", "separated")
-            .join(fin, "_p", "left")
+    coef = (flags.join(fin, "_p", "left")
             .select(F.col("_p").alias(person), "separated",
                     F.when(~F.col("separated"), F.col("_b")).alias("log_odds_over_expected"),
                     F.when(~F.col("separated"), se).alias("std_error")))
