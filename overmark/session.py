@@ -40,6 +40,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("OVERMARK_DRIVER_MEM", "16g"))
+    if master.startswith("local"):
+        # local runs: catalog tables go to a fresh folder, not the working dir
+        builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="overmark-wh-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_semantics(spark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -29,19 +30,39 @@ def materialize(df: DataFrame, name: str, path: str | None = None,
 
 
 def save_table(df: DataFrame, name: str, database: str | None = None,
-               partition_by: list[str] | None = None, bucket_by: tuple[int, list[str]] | None = None) -> None:
+               partition_by: list[str] | None = None, bucket_by: tuple[int, list[str]] | None = None,
+               comment: str | None = None, column_comments: dict[str, str] | None = None) -> str:
     """``saveAsTable`` into a schema (database) — the per-folder routing of
-    the warehouse models.  Bucketing co-locates later joins on the keys."""
+    the warehouse models — with optional table and column descriptions
+    (persisted docs).  Bucketing co-locates later joins on the keys.
+    Returns the qualified table name."""
     spark = df.sparkSession
     full = f"{database}.{name}" if database else name
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    if column_comments:
+        fields = []
+        for f in df.schema.fields:
+            md = dict(f.metadata)
+            if f.name in column_comments:
+                md["comment"] = column_comments[f.name]
+            fields.append(F.col(f"`{f.name}`").alias(f.name, metadata=md))
+        df = df.select(*fields)
     w = df.write.mode("overwrite").format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if bucket_by:
         w = w.bucketBy(bucket_by[0], *bucket_by[1]).sortBy(*bucket_by[1])
+    if comment:
+        w = w.option("comment", comment)
     w.saveAsTable(full)
+    if comment:
+        spark.sql(f"COMMENT ON TABLE {full} IS '{_sql_str(comment)}'")
+    return full
+
+
+def _sql_str(s: str) -> str:
+    return s.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def as_view(df: DataFrame, name: str) -> DataFrame:

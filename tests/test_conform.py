@@ -41,3 +41,16 @@ def test_missing_raw_columns_become_typed_nulls(spark):
     df = spark.createDataFrame([("7",)], "gameId string")
     out = cf.conform_model(df, "stg_nba_kaggle_games")
     assert len(out.columns) == 23 and out.first()["game_id"] == 7
+
+
+def test_save_table_routes_schema_and_persists_docs(spark):
+    from overmark.sources.sinks import save_table
+    df = spark.createDataFrame([(1, "a")], "game_id bigint, label string")
+    full = save_table(df, "games_doc", database="kaggle", comment="one row per game",
+                      column_comments={"game_id": "game key"})
+    assert full == "kaggle.games_doc"
+    meta = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {full}").collect()}
+    assert meta.get("Comment") == "one row per game"
+    cols = {r["col_name"]: r["comment"] for r in spark.sql(f"DESCRIBE TABLE {full}").collect()}
+    assert cols["game_id"] == "game key"
+    assert spark.table(full).count() == 1
