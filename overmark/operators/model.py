@@ -49,7 +49,19 @@ def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_
 
     A person whose outcomes are all wins or all losses has no finite
     estimate: the coefficient columns are NULL and ``separated`` is true.
+
+    The input is guarded first: the required columns must exist, rows with
+    a NULL in any of them are dropped, and only rows with an outcome of 0/1,
+    an expectation strictly inside (0, 1) and positive minutes are kept.
     """
+    required = [person, "first_name", "last_name", y, "expected_win_prob", offset, minutes]
+    missing = [c for c in required if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    rows = (rows.dropna(subset=required)
+            .where(F.col(y).try_cast("bigint").isin(0, 1)
+                   & (F.col("expected_win_prob") > 0) & (F.col("expected_win_prob") < 1)
+                   & (F.col(minutes) > 0)))
     d = rows.select(F.col(person).alias("_p"), F.col(y).cast("double").alias("_y"),
                     F.col(offset).cast("double").alias("_o"), (F.col(minutes) / 36.0).alias("_w"))
     d = materialize(d, "glm_rows")

@@ -22,8 +22,9 @@ def synthetic(spark, groups=4, per=15, seed=11):
     # one person with all wins: no finite estimate
     for i in range(5):
         rows.append((99, "F99", "L99", 1, random.uniform(-1, 1), 100.0))
-    return spark.createDataFrame(rows, "person_id bigint, first_name string, last_name string, actual_win bigint, "
-                                       "expected_logit double, series_minutes double")
+    df = spark.createDataFrame(rows, "person_id bigint, first_name string, last_name string, actual_win bigint, "
+                                     "expected_logit double, series_minutes double")
+    return df.withColumn("expected_win_prob", 1 / (1 + F.exp(-F.col("expected_logit"))))
 
 
 def test_effects_match_mllib(spark):
@@ -46,3 +47,19 @@ def test_effects_match_mllib(spark):
         z = eff[g]["log_odds_over_expected"] / eff[g]["std_error"]
         assert abs(eff[g]["p_value"] - math.erfc(abs(z) / math.sqrt(2))) < 1e-12
         assert eff[g]["ci_lower"] < eff[g]["log_odds_over_expected"] < eff[g]["ci_upper"]
+
+
+def test_required_columns_and_row_guard(spark):
+    df = synthetic(spark)
+    with pytest.raises(ValueError, match="missing required columns"):
+        M.player_effects(df.drop("expected_logit"))
+    # rows outside the valid domain are ignored, not fitted
+    bad = spark.createDataFrame([(0, "F0", "L0", 2, 0.1, 50.0, 0.5), (0, "F0", "L0", 1, 0.1, 0.0, 0.5),
+                                 (0, "F0", "L0", None, 0.1, 50.0, 0.5)],
+                                "person_id bigint, first_name string, last_name string, actual_win bigint, "
+                                "expected_logit double, series_minutes double, expected_win_prob double")
+    a = {r["person_id"]: r["log_odds_over_expected"] for r in M.player_effects(df).collect()}
+    b = {r["person_id"]: r["log_odds_over_expected"] for r in M.player_effects(df.unionByName(bad)).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert (a[k] is None and b[k] is None) or abs(a[k] - b[k]) < 1e-12
