@@ -77,7 +77,13 @@ def _bucketize(df: DataFrame, keys: list[str], order0: str, buckets: int,
                bucket_col: str) -> DataFrame:
     """Add ``bucket_col``: index of ``order0`` among per-key approximate
     quantile boundaries.  Equal ``order0`` values share a bucket, and buckets
-    are monotone in ``order0`` within a key."""
+    are monotone in ``order0`` within a key.
+
+    The boundaries are one small array per key (partial-aggregated sketch).
+    With few keys the table is broadcast; with very many keys it exceeds
+    the size bound and the join is a sort-merge on the key, where a hot key's
+    partition is split by AQE's skew-join handling (the boundary side has one
+    row per key, so it is the side that gets replicated)."""
     fracs = [i / buckets for i in range(1, buckets)]
     bounds = (df.groupBy(*keys)
               .agg(F.percentile_approx(order0, fracs, 1000).alias("_bounds")))
