@@ -127,9 +127,9 @@ def player_game_residuals(stats: DataFrame, elo: DataFrame, min_series: int = 10
                   "year_series_residual", "career_year_game_running_residual",
                   "career_year_series_running_residual")
     out = join_small(out, game_bounds, "person_id", "left")
-    out = out.join(sr, ["person_id", "series_id", "player_team_id", "opponent_team_id"], "left")
+    out = join_small(out, sr, ["person_id", "series_id", "player_team_id", "opponent_team_id"], "left")
     out = join_small(out, series_bounds, "person_id", "left")
-    out = out.join(yr, ["person_id", "_year_key"], "left")
+    out = join_small(out, yr, ["person_id", "_year_key"], "left")
     out = join_small(out, yb, "person_id", "left")
     return out.select(*FLAGSHIP_COLUMNS)
 
