@@ -37,7 +37,8 @@ Z975 = 1.959963984540054  # standard normal 97.5% quantile
 @pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """2·(1 − Φ(|z|)) = erfc(|z|/√2); Spark SQL has no erf/erfc."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v and v is not None else float("nan"))
+    vals = [math.erfc(abs(v) / math.sqrt(2.0)) if pd.notna(v) else None for v in z]
+    return pd.Series(vals, dtype="object")      # None → NULL (a NaN would stay NaN)
 
 
 def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_win",

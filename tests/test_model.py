@@ -33,6 +33,7 @@ def test_effects_match_mllib(spark):
     df = synthetic(spark)
     eff = {r["person_id"]: r for r in M.player_effects(df).collect()}
     assert eff[99]["separated"] and eff[99]["log_odds_over_expected"] is None
+    assert eff[99]["p_value"] is None and eff[99]["std_error"] is None
 
     fit_df = df.where("person_id != 99").withColumn("w", F.col("series_minutes") / 36.0) \
         .withColumn("label", F.col("actual_win").cast("double")).withColumn("pid", F.col("person_id").cast("double"))
