@@ -7,7 +7,9 @@ pass one in.  ``get_session`` is a convenience for scripts and tests.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -59,8 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised tables.
 
     On a cluster this is the folder the deployment names in
-    ``spark.checkpoint.dir``; it is only set here when it is unset (local
-    runs and tests), and then to a fresh folder under the system temp dir.
+    ``spark.checkpoint.dir``; without one, jobs there cannot share files, so
+    this raises.  Only a local master (tests, scripts) gets a fresh folder
+    under the system temp dir.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -68,6 +71,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="overmark-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -76,14 +81,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{os.getpid()}-{next(_COUNTER)}"
-
-
-def _counter():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_COUNTER = _counter()
+    return f"{base}/tables/{name}-{uuid.uuid4().hex}"
