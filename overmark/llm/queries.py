@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, quality
+from . import chat, decontam, jaccard, langid, quality
 from .common import bucket, table
 
 QUERIES: dict = {}
@@ -86,3 +86,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that overlaps a benchmark item, with the item."""
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have Jaccard >= 0.85."""
+    return jaccard.link_components(table(spark, sf_dir, "documents"), jaccard.JaccardParams(words=4, percent=85))
