@@ -38,7 +38,7 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off.astype(np.int64)
 
 
-def chunks(arr: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def chunks(arr: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(row slice, bytes, offsets from 0) for runs of rows of at most
     ``limit`` bytes together; a longer text is a run of its own."""
     buf, off = utf8(arr)
