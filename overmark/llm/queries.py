@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, quality
+from . import chat, decontam, jaccard, langid, pii, quality
 from .common import bucket, table
 
 QUERIES: dict = {}
@@ -92,3 +92,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have Jaccard >= 0.85."""
     return jaccard.link_components(table(spark, sf_dir, "documents"), jaccard.JaccardParams(words=4, percent=85))
+
+
+def _of_kind(k: int):
+    return lambda x: x["kind"] == k
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans and those that the trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    count = [F.size(F.filter("base_spans", _of_kind(k))).cast("long").alias(f"n_{name}")
+             for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *count, _hex(pii.spelled(F.col("base_spans"))).alias("base_sha256"),
+                        pii.spelled(F.col("all_spans")).alias("spans"))
