@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, pii, quality
+from . import chat, decontam, jaccard, langid, pieces, pii, quality
 from .common import bucket, table
 
 QUERIES: dict = {}
@@ -107,3 +107,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
              for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *count, _hex(pii.spelled(F.col("base_spans"))).alias("base_sha256"),
                         pii.spelled(F.col("all_spans")).alias("spans"))
+
+
+@query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentation of every document, with the decoder's check."""
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load())
