@@ -172,7 +172,7 @@ def _describe(p: JaccardParams):
         if not cols:
             return None
         n, *rest = (np.concatenate(x) for x in zip(*cols, strict=True))
-        return [batch.column(0), pa.array(n), *map(_i64, rest)]
+        return [batch.column(0), batch.column(2), pa.array(n), *map(_i64, rest)]
     return run
 
 
@@ -278,9 +278,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    return _placed(docs, p).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
+    """``docs`` with one row of each component, that of smallest doc_id (of
+    repeated ids, one row).  Rows without words or without an id all stay.
+    Columns unchanged."""
+    named = docs.withColumn("__mark", F.xxhash64("text"))
+    wordy = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    first = (_placed(docs, p).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("component_key")
+             .agg(F.min(F.struct("doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.col("x.mark").alias("__mark")))
+    one = named.where(wordy).join(written(first, "jaccard-kept"), ["doc_id", "__mark"], "left_semi").dropDuplicates(["doc_id", "__mark"])
+    return named.where(~wordy).unionByName(one).select(*docs.columns)
+
+
+def _placed(docs: DataFrame, p: JaccardParams) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, component_key), ``mark`` being
+    a hash of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = docs.select("doc_id", "text")
-    each = written(map_arrow(text, _describe(p), f"doc_id {kind}, n long, c1 long, c2 long, s0 long, s1 long, s2 long, s3 long")
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    each = written(map_arrow(text, _describe(p), f"doc_id {kind}, mark long, n long, c1 long, c2 long, "
+                             "s0 long, s1 long, s2 long, s3 long")
                    .withColumn("key", _key(F.col("c1"), F.col("c2"))), "jaccard-docs")
     classes = written(each.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "c1")
                       .agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("n", "s0", "s1", "s2", "s3"))),
@@ -318,8 +337,8 @@ def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
                   .withColumn("component", F.coalesce("component", "key")))
 
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_key = placed.join(smallest, "component").select("key", "component_id")
+    of_key = placed.join(smallest, "component").select("key", "component_id", F.col("component").alias("component_key"))
     return (each.join(of_key, "key", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+            .select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_key",
                     F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
                     .otherwise(F.col("doc_id")).alias("component_id")))

@@ -90,3 +90,14 @@ def test_linked_pairs_share_a_signature():
                 continue
             sig = [set(J.signatures(x, np.array([0, len(x)]), percent)[1].tolist()) for x in (a, b)]
             assert sig[0] & sig[1]
+
+
+def test_keep_one(spark):
+    rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (3, "a b c d e f g"), (3, "other words here now then"), (9, None),
+            (9, None), (10, ""), (None, "a b c d e f g"), (7, "lone text of a few words")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, mark int")
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    left = sorted(map(tuple, kept.select("doc_id", "text").collect()), key=str)
+    assert len(left) == 7 and sum(r[0] == 3 for r in left) == 2 and not any(r[0] == 5 for r in left)
+    assert sorted(r[0] for r in left if r[0] is not None) == [3, 3, 7, 9, 9, 10]
