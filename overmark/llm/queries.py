@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, pieces, pii, quality
+from . import chat, decontam, jaccard, langid, licenses, lm, pieces, pii, quality
 from .common import bucket, table
 
 QUERIES: dict = {}
@@ -113,3 +113,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentation of every document, with the decoder's check."""
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.load())
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, by coverage of the notice."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_lm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, bucket(F.col("doc_id"), 7) != 2)
