@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, licenses, lm, pieces, pii, quality
+from . import chat, decontam, jaccard, langid, licenses, lm, pieces, pii, quality, repeats
 from .common import bucket, table
 
 QUERIES: dict = {}
@@ -126,3 +126,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and log-bilinear scores of all documents."""
     docs = table(spark, sf_dir, "documents")
     return lm.score(docs, bucket(F.col("doc_id"), 7) != 2)
+
+
+@query("op9_repeat_removal")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat a 50-byte string of an earlier one."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
