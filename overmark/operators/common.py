@@ -1,9 +1,5 @@
 """Join and window building blocks that hold up under skew.
 
-* ``broadcast_if_small`` — broadcast a side only when the optimizer's size
-  estimate (an upper bound for scans, filters, projections and aggregates)
-  is under a limit; otherwise leave the join to sort-merge, where AQE's
-  skew-join splitting applies.
 * ``running_sum`` / ``running_count`` / ``dense_rank_by`` — cumulative
   windows per key computed in two levels (bucket totals → exclusive prefix →
   within-bucket window), so one hot key is spread over many tasks instead of
@@ -16,55 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Default broadcast limit; the session's autoBroadcastJoinThreshold wins when
-# it is set lower.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Size estimate of ``df`` in bytes from the analyzed plan's statistics
-    (None when unknown).
-
-    Without cost-based optimisation these statistics only shrink through
-    LIMIT and global aggregates, so they bound the real size from above: a
-    frame under the limit by this estimate is provably small.  Statistics
-    are cached per plan node, so checking a frame built on an already
-    checked one is cheap (re-optimising the full plan on every check is
-    not)."""
-    try:
-        stats = df._jdf.queryExecution().analyzed().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - estimate unavailable
-        return None
-
-
-def broadcast_limit(df: DataFrame, limit: int | None = None) -> int:
-    if limit is not None:
-        return limit
-    conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        v = int(str(conf).lower().rstrip("b").replace("m", "000000").replace("k", "000"))
-    except ValueError:
-        v = DEFAULT_BROADCAST_BYTES
-    if v <= 0:
-        return 0
-    return max(v, DEFAULT_BROADCAST_BYTES)
-
-
-def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Hint a broadcast when ``df`` is provably small, else return it as is."""
-    size = estimated_bytes(df)
-    lim = broadcast_limit(df, limit)
-    if size is not None and 0 < lim and size <= lim:
-        return F.broadcast(df)
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A side table that may be small.  The choice is left to the session's
+    broadcast threshold and to AQE, which knows sizes at run time; only tables
+    bounded by construction are hinted (by their callers)."""
     return df
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               limit: int | None = None) -> DataFrame:
-    """Join a per-key side table onto a large frame, broadcasting it when it
-    is small enough."""
-    return big.join(broadcast_if_small(small, limit), on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join a per-key side table onto a large frame."""
+    return big.join(broadcast_if_small(small), on, how)
+
+
+def _join_null_safe(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` where NULL equals NULL, as in a window's partition."""
+    side = small.select(*[F.col(k).alias(f"_ns_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"_ns_{k}")) for k in keys]
+    return big.join(side, cond, "left").drop(*[f"_ns_{k}" for k in keys])
 
 
 # -- two-level cumulative windows ------------------------------------------------
@@ -87,28 +52,15 @@ def _bucketize(df: DataFrame, keys: list[str], order0: str, buckets: int,
     fracs = [i / buckets for i in range(1, buckets)]
     bounds = (df.groupBy(*keys)
               .agg(F.percentile_approx(order0, fracs, 1000).alias("_bounds")))
-    joined = join_small(df, bounds, keys, "left")
+    joined = _join_null_safe(df, bounds, keys)
     b = F.col("_bounds")
     idx = F.size(F.filter(F.array_distinct(b), lambda x: x < F.col(order0)))
     return joined.withColumn(bucket_col, F.coalesce(idx, F.lit(0))).drop("_bounds")
 
 
-# Inputs whose size estimate (an upper bound) is at most this run cumulative
-# windows as one plain Window: no key can hold more than the whole input, so
-# one task per key is bounded.  Larger inputs take the two-level path.
-PLAIN_WINDOW_MAX_BYTES = 64 * 1024 * 1024
-
-
-def _plain_ok(df: DataFrame, two_level: bool | None) -> bool:
-    if two_level is not None:
-        return not two_level
-    size = estimated_bytes(df)
-    return size is not None and size <= PLAIN_WINDOW_MAX_BYTES
-
-
 def running_aggs(df: DataFrame, keys: list[str], order: list,
                  specs: dict[str, tuple[str, Column | str]], frame: str = "rows",
-                 buckets: int = 32, two_level: bool | None = None) -> DataFrame:
+                 buckets: int = 32) -> DataFrame:
     """Cumulative aggregates per ``keys`` in ``order``, several at once.
 
     ``specs`` maps output name → (fn, value) with fn ``"sum"`` or
@@ -121,10 +73,8 @@ def running_aggs(df: DataFrame, keys: list[str], order: list,
     of the first order column (equal values share a bucket), bucket totals
     give each bucket an exclusive prefix offset, and the window runs within
     (key, bucket).  Work per task is bounded by one bucket, not one key.
-    The first order column must be numeric, date or timestamp.
-
-    ``two_level=None`` picks the plain window when the input's size bound is
-    at most ``PLAIN_WINDOW_MAX_BYTES`` (True / False force a path).
+    The first order column must be numeric, date or timestamp.  NULL keys form
+    one partition, as in SQL.  There is one path at every size.
     """
     order0 = order[0]
     if not isinstance(order0, str):
@@ -144,13 +94,6 @@ def running_aggs(df: DataFrame, keys: list[str], order: list,
             return F.count(c)
         raise ValueError(fn)
 
-    if _plain_ok(df, two_level):
-        w = W.partitionBy(*keys).orderBy(*_cols(order))
-        if frame == "rows":
-            w = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-        res = base.withColumns({o: agg(fn, o).over(w) for o, (fn, _) in vals.items()})
-        return res.drop(*[f"_v_{o}" for o in vals])
-
     base = _bucketize(base, keys, order0, buckets, bcol)
 
     totals = base.groupBy(*keys, bcol).agg(*[agg(fn, o).alias(f"_t_{o}") for o, (fn, _) in vals.items()])
@@ -161,7 +104,7 @@ def running_aggs(df: DataFrame, keys: list[str], order: list,
     if frame == "rows":
         wb = wb.rowsBetween(W.unboundedPreceding, W.currentRow)
     res = base.withColumns({f"_i_{o}": agg(fn, o).over(wb) for o, (fn, _) in vals.items()})
-    res = join_small(res, offsets, [*keys, bcol], "left")
+    res = _join_null_safe(res, offsets, [*keys, bcol])
     outs = {}
     for o, (fn, _) in vals.items():
         i, off = F.col(f"_i_{o}"), F.col(f"_o_{o}")
@@ -174,28 +117,28 @@ def running_aggs(df: DataFrame, keys: list[str], order: list,
     return res.withColumns(outs).drop(*drop)
 
 
-def running_agg(df, keys, order, value, out, frame="rows", fn="sum", buckets=32, two_level=None):
-    return running_aggs(df, keys, order, {out: (fn, value)}, frame, buckets, two_level)
+def running_agg(df, keys, order, value, out, frame="rows", fn="sum", buckets=32):
+    return running_aggs(df, keys, order, {out: (fn, value)}, frame, buckets)
 
 
-def running_sum(df, keys, order, value, out, frame="rows", buckets=32, two_level=None):
-    return running_aggs(df, keys, order, {out: ("sum", value)}, frame, buckets, two_level)
+def running_sum(df, keys, order, value, out, frame="rows", buckets=32):
+    return running_aggs(df, keys, order, {out: ("sum", value)}, frame, buckets)
 
 
-def running_count(df, keys, order, out, frame="rows", buckets=32, two_level=None):
-    return running_aggs(df, keys, order, {out: ("count", F.lit(1))}, frame, buckets, two_level)
+def running_count(df, keys, order, out, frame="rows", buckets=32):
+    return running_aggs(df, keys, order, {out: ("count", F.lit(1))}, frame, buckets)
 
 
-def running_avg(df, keys, order, value, out, frame="rows", buckets=32, two_level=None):
+def running_avg(df, keys, order, value, out, frame="rows", buckets=32):
     """Cumulative average = running sum / running count of non-null values."""
     r = running_aggs(df, keys, order, {f"_s_{out}": ("sum", value), f"_c_{out}": ("count", value)},
-                     frame, buckets, two_level)
+                     frame, buckets)
     return (r.withColumn(out, F.try_divide(F.col(f"_s_{out}"), F.col(f"_c_{out}").cast("double")))
             .drop(f"_s_{out}", f"_c_{out}"))
 
 
 def dense_rank_table(df: DataFrame, keys: list[str], order_col: str, out: str,
-                     buckets: int = 32, two_level: bool | None = None) -> DataFrame:
+                     buckets: int = 32) -> DataFrame:
     """(keys, order value) → ``dense_rank`` within keys, as a small table.
 
     Built from the distinct (keys, order value) set — reduced by a map-side
@@ -206,10 +149,10 @@ def dense_rank_table(df: DataFrame, keys: list[str], order_col: str, out: str,
     distinct = df.select(*keys, order_col).distinct()
     nulls_first = distinct.withColumn("_isnull", F.col(order_col).isNull())
     ranked = running_count(nulls_first.where(~F.col("_isnull")), keys, [order_col], "_r",
-                           frame="rows", buckets=buckets, two_level=two_level)
+                           frame="rows", buckets=buckets)
     has_null = (nulls_first.groupBy(*keys)
                 .agg(F.max(F.col("_isnull").cast("int")).alias("_hn")))
-    ranked = (join_small(ranked, has_null, keys, "left")
+    ranked = (_join_null_safe(ranked, has_null, keys)
               .select(*keys, order_col, (F.col("_r") + F.col("_hn")).cast("bigint").alias(out)))
     null_rank = (has_null.where(F.col("_hn") == 1)
                  .select(*keys, F.lit(None).cast(df.schema[order_col].dataType).alias(order_col),
@@ -218,10 +161,10 @@ def dense_rank_table(df: DataFrame, keys: list[str], order_col: str, out: str,
 
 
 def dense_rank_by(df: DataFrame, keys: list[str], order_col: str, out: str,
-                  buckets: int = 32, two_level: bool | None = None) -> DataFrame:
+                  buckets: int = 32) -> DataFrame:
     """``dense_rank() over (partition by keys order by order_col)``: the rank
     table of ``dense_rank_table`` joined back (broadcast when small)."""
-    ranks = dense_rank_table(df, keys, order_col, out, buckets, two_level).select(
+    ranks = dense_rank_table(df, keys, order_col, out, buckets).select(
         *[F.col(k).alias(f"_rk_{k}") for k in [*keys, order_col]], out)
     cond = [F.col(k).eqNullSafe(F.col(f"_rk_{k}")) for k in [*keys, order_col]]
     return (df.join(broadcast_if_small(ranks), cond, "left")

@@ -29,7 +29,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import safe
 from ..sources.sinks import materialize
-from .common import broadcast_if_small, join_small, last_non_null, running_aggs
+from .common import join_small, last_non_null, running_aggs
 
 Z975 = 1.959963984540054  # standard normal 97.5% quantile
 
@@ -50,6 +50,7 @@ def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_
 
     A person whose outcomes are all wins or all losses has no finite
     estimate: the coefficient columns are NULL and ``separated`` is true.
+    ``converged`` tells whether the last step was below ``tol``.
 
     The input is guarded first: the required columns must exist, rows with
     a NULL in any of them are dropped, and only rows with an outcome of 0/1,
@@ -66,22 +67,37 @@ def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_
     d = rows.select(F.col(person).alias("_p"), F.col(y).cast("double").alias("_y"),
                     F.col(offset).cast("double").alias("_o"), (F.col(minutes) / 36.0).alias("_w"))
     d = materialize(d, "glm_rows")
-    stats = d.groupBy("_p").agg(F.sum("_y").alias("_ny"), F.count(F.lit(1)).alias("_n"))
+    # The root lies between logit(ybar) - max(offset) and logit(ybar) - min(offset),
+    # ybar being the weighted mean outcome: a bracket that Newton steps must stay in.
+    stats = d.groupBy("_p").agg(F.sum("_y").alias("_ny"), F.count(F.lit(1)).alias("_n"),
+                                (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_mean"),
+                                F.min("_o").alias("_omin"), F.max("_o").alias("_omax"))
     flags = materialize(stats.select(
-        "_p", ((F.col("_ny") == 0) | (F.col("_ny") == F.col("_n"))).alias("separated")), "glm_flags")
-    # parameter table of the persons with a finite estimate: (_p, _b, _info, _delta)
-    params = flags.where(~F.col("separated")).select("_p", F.lit(0.0).alias("_b"))
+        "_p", ((F.col("_ny") == 0) | (F.col("_ny") == F.col("_n"))).alias("separated"), "_mean", "_omin", "_omax"),
+        "glm_flags")
+    logit = F.log(F.col("_mean") / (1 - F.col("_mean")))
+    params = flags.where(~F.col("separated")).select(
+        "_p", (logit - F.col("_omax")).alias("_lo"), (logit - F.col("_omin")).alias("_hi")).select(
+        "_p", "_lo", "_hi", ((F.col("_lo") + F.col("_hi")) / 2).alias("_b"))
+    flags = flags.select("_p", "separated")
 
     def newton_step(params: DataFrame) -> DataFrame:
-        """One pass over the rows: score and information at the current b,
-        and the updated b, per person (partial-aggregated groupBy)."""
-        j = d.join(broadcast_if_small(params.select("_p", "_b")), "_p", "inner")
+        """One pass over the rows: score and information at the current b per
+        person (partial-aggregated groupBy), the bracket narrowed by the
+        score's sign, and Newton's next b, or the bracket's middle if that
+        leaves it."""
+        j = d.join(params.select("_p", "_lo", "_hi", "_b"), "_p", "inner")
         mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_b") + F.col("_o"))))
-        s = j.groupBy("_p").agg(F.first("_b").alias("_b0"),
+        s = j.groupBy("_p").agg(F.first("_b").alias("_b0"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
                                 F.sum(F.col("_w") * (F.col("_y") - mu)).alias("_score"),
                                 F.sum(F.col("_w") * mu * (F.lit(1.0) - mu)).alias("_info"))
-        step = F.coalesce(safe.safe_divide("_score", "_info"), F.lit(0.0))
-        return s.select("_p", (F.col("_b0") + step).alias("_b"), "_info", F.abs(step).alias("_delta"))
+        s = s.withColumns({"_lo": F.when(F.col("_score") > 0, F.col("_b0")).otherwise(F.col("_lo")),
+                           "_hi": F.when(F.col("_score") < 0, F.col("_b0")).otherwise(F.col("_hi"))})
+        newton = F.col("_b0") + F.try_divide(F.col("_score"), F.col("_info"))
+        nxt = (F.when(F.col("_score") == 0, F.col("_b0"))
+               .when((newton >= F.col("_lo")) & (newton <= F.col("_hi")), newton)
+               .otherwise((F.col("_lo") + F.col("_hi")) / 2))
+        return s.select("_p", "_lo", "_hi", nxt.alias("_b"), "_info", F.abs(nxt - F.col("_b0")).alias("_delta"))
 
     iterations = 0
     for iterations in range(1, max_iter + 1):
@@ -92,10 +108,11 @@ def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_
 
     # standard errors from the information of the last pass; at convergence
     # (|Δb| < tol) it differs from the information at the final b by O(tol)
-    fin = params.select("_p", "_b", "_info")
-    se = F.lit(1.0) / F.sqrt(F.col("_info"))
+    done = F.col("_delta") < tol if iterations else F.lit(None).cast("boolean")
+    fin = params.select("_p", "_b", "_info", done.alias("converged"))
+    se = F.try_divide(F.lit(1.0), F.sqrt(F.col("_info")))
     coef = (flags.join(fin, "_p", "left")
-            .select(F.col("_p").alias(person), "separated",
+            .select(F.col("_p").alias(person), "separated", F.coalesce("converged", F.lit(False)).alias("converged"),
                     F.when(~F.col("separated"), F.col("_b")).alias("log_odds_over_expected"),
                     F.when(~F.col("separated"), se).alias("std_error")))
     coef = coef.withColumn("z", safe.safe_divide("log_odds_over_expected", "std_error"))

@@ -31,12 +31,18 @@ def home_away_pivot(sides: DataFrame, game_col: str = "game_id", flag: str = "is
 
 def money_line_summary(quotes: DataFrame, zero: str = "zero") -> DataFrame:
     """Per (game, home team, away team): average prices and average implied
-    probability per side, each rounded to 2 (convert, then average)."""
+    probability per side, each rounded to 2 (convert, then average).
+
+    The mean is rounded as a decimal of 9 places, so a mean of exactly half a
+    hundredth goes up whatever its binary form."""
+    def mean(value):
+        return F.round(F.avg(value).cast("decimal(18,9)"), 2).cast("double")
+
     return (quotes.groupBy("game_id", "team_id", "a_team_id")
-            .agg(F.round(F.avg("price1"), 2).alias("avg_money_line_price_home"),
-                 F.round(F.avg("price2"), 2).alias("avg_money_line_price_away"),
-                 F.round(F.avg(implied_prob("price1", zero)), 2).alias("implied_win_prob_home"),
-                 F.round(F.avg(implied_prob("price2", zero)), 2).alias("implied_win_prob_away")))
+            .agg(mean("price1").alias("avg_money_line_price_home"),
+                 mean("price2").alias("avg_money_line_price_away"),
+                 mean(implied_prob("price1", zero)).alias("implied_win_prob_home"),
+                 mean(implied_prob("price2", zero)).alias("implied_win_prob_away")))
 
 
 def consensus_line(quotes: DataFrame, games: DataFrame, season_type: str = "Playoffs") -> DataFrame:

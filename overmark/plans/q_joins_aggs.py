@@ -217,12 +217,12 @@ def q_join_either_orientation(spark, sf_dir):
 @query("join_semi_eligible", sql=flag_sql("player_playoff_games", """
 select p.person_id, p.game_id, p.series_id from player_playoff_games p
 where p.person_id in (select person_id from player_playoff_games group by person_id
-                      having count(distinct series_id) > 465)"""))
+                      having count(distinct series_id) > 167)"""))
 def q_join_semi_eligible(spark, sf_dir):
     """Semi-join to the per-person eligible set (right side unique per
     person, so no fan-out)."""
     base = R.with_series_start(R.dedup_player_game(R.raw_player_games(Bindings(spark, sf_dir).player_line)))
-    el = R.eligible_persons(base, 465).select("person_id")
+    el = R.eligible_persons(base, 167).select("person_id")
     return base.join(C.broadcast_if_small(el), "person_id", "left_semi").select("person_id", "game_id", "series_id")
 
 

@@ -43,7 +43,8 @@ def q_src_string_first(spark, sf_dir):
     string-first and conform it with a column spec."""
     b = Bindings(spark, sf_dir)
     path = scratch_path(spark, "raw_stat_csv")
-    b.raw_stat.write.mode("overwrite").option("header", True).csv(path)
+    # the export's columns come in another order than the schema's: the header's names bind
+    b.raw_stat.select(*reversed(b.raw_stat.columns)).write.mode("overwrite").option("header", True).csv(path)
     schema = cf.T.StructType([cf.T.StructField(c, cf.T.StringType()) for c in b.raw_stat.columns])
     landed = cf.land_strings(spark, path, schema)
     return cf.conform(landed, RAW_STAT_SPEC)
@@ -176,4 +177,6 @@ from raw
 def q_conform_table(spark, sf_dir):
     """The player-statistics staging spec applied to a string-first export."""
     b = Bindings(spark, sf_dir)
-    return cf.conform_model(raw_player_statistics(b), "stg_nba_kaggle_player_statistics")
+    raw = raw_player_statistics(b)
+    absent = tuple(r.raw for r in cf.staging_rules("stg_nba_kaggle_player_statistics") if r.raw not in raw.columns)
+    return cf.conform_model(raw, "stg_nba_kaggle_player_statistics", optional=absent)

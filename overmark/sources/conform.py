@@ -82,15 +82,19 @@ def rule_expr(rule: ColumnRule, raw_type: T.DataType | None = None) -> Column:
     return e.alias(rule.name)
 
 
-def conform(df: DataFrame, rules: list[ColumnRule] | str, where: str | Column | None = None) -> DataFrame:
+def conform(df: DataFrame, rules: list[ColumnRule] | str, where: str | Column | None = None,
+            optional: tuple[str, ...] = ()) -> DataFrame:
     """Cast, rename and order ``df``'s columns by ``rules``; optional filter.
 
-    Raw columns missing from ``df`` are read as typed NULLs so partial
-    landings still conform to the full schema.
+    Columns are found by name.  A raw column that is absent raises, unless it
+    is named in ``optional``; then it is a typed NULL.
     """
     if isinstance(rules, str):
         rules = parse_spec(rules)
     present = {f.name: f.dataType for f in df.schema.fields}
+    missing = [r.raw for r in rules if r.raw not in present and r.raw not in optional]
+    if missing:
+        raise ValueError(f"raw columns missing: {missing}")
     cols = []
     for r in rules:
         if r.raw in present:
@@ -110,27 +114,40 @@ def staging_rules(model: str) -> list[ColumnRule]:
     return parse_spec(STAGING_SPECS[model][1])
 
 
-def conform_model(df: DataFrame, model: str) -> DataFrame:
+def conform_model(df: DataFrame, model: str, optional: tuple[str, ...] = ()) -> DataFrame:
     """Conform a raw table into the named staging model."""
     base, extra = model, None
     if model in DERIVED_MODELS:
         base, extra = DERIVED_MODELS[model]
-    out = conform(df, staging_rules(base), STAGING_FILTERS.get(base))
+    out = conform(df, staging_rules(base), STAGING_FILTERS.get(base), optional)
     return out.where(extra) if extra else out
 
 
 def raw_string_schema(model: str) -> T.StructType:
-    """All-string schema of a model's raw source, for string-first landing."""
-    return T.StructType([T.StructField(r.raw, T.StringType(), True) for r in staging_rules(model)
-                         if r.kind != "a"])
+    """All-string schema of a model's raw source, for string-first landing;
+    array columns land as their JSON text."""
+    return T.StructType([T.StructField(r.raw, T.StringType(), True) for r in staging_rules(model)])
 
 
 def land_strings(spark: SparkSession, path: str, schema: T.StructType | None = None,
                  fmt: str = "csv", header: bool = True) -> DataFrame:
-    """Read exported files with no type guessing: every column a string."""
+    """Read exported files with no type guessing: every column a string.
+
+    A CSV with a header is bound by the header's names, in any order; a column
+    of ``schema`` that the header lacks raises.  Rows with more or fewer
+    fields than the header, and files whose header differs, fail the read.
+    """
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", header).option("inferSchema", False).option("mode", "PERMISSIVE")
+        reader = reader.option("header", header).option("inferSchema", False).option("mode", "FAILFAST")
+        if header:
+            names = spark.read.format("csv").option("header", True).load(path).columns
+            missing = [f.name for f in schema.fields if f.name not in names] if schema is not None else []
+            if missing:
+                raise ValueError(f"columns missing in the header: {missing}")
+            own = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            landed = reader.option("enforceSchema", False).schema(own).load(path)
+            return landed if schema is None else landed.select(*[F.col(f"`{f.name}`") for f in schema.fields])
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)

@@ -13,28 +13,36 @@ there is no watermark.
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import scratch_path
 from ..sources import conform as cf
 
 
 def landing_stream(spark: SparkSession, src_dir: str, model: str, out_dir: str,
-                   checkpoint: str | None = None, fmt: str = "csv",
+                   checkpoint: str, fmt: str = "csv",
                    max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
     """Start a streaming landing of ``src_dir`` files into ``out_dir`` as the
     conformed staging ``model``.  ``available_now`` processes what is there
     and stops (a scheduled incremental batch); otherwise it runs until
-    stopped."""
+    stopped.
+
+    ``checkpoint`` is the job's own lasting folder: a restart with it lands no
+    file again.  CSV files are bound by the names of the header they have when
+    the stream starts; a file whose header differs from it fails the batch.
+    """
     schema = cf.raw_string_schema(model)
+    if fmt == "csv":
+        names = spark.read.format("csv").option("header", True).load(src_dir).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     conformed = cf.conform_model(reader.load(src_dir), model)
     writer = (conformed.writeStream.format("parquet").outputMode("append")
               .option("path", out_dir)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, f"ckpt-{model}")))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

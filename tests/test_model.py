@@ -64,3 +64,16 @@ def test_required_columns_and_row_guard(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert (a[k] is None and b[k] is None) or abs(a[k] - b[k]) < 1e-12
+
+
+@pytest.mark.parametrize(("expected", "wins", "n", "root"), [
+    (0.05, 6, 10, 3.3499), (0.02, 2, 3, 4.5850), (0.97, 6, 12, -3.4761), (0.15, 6, 10, 2.1401)])
+def test_far_starts_converge(spark, expected, wins, n, root):
+    """Outcomes far from expectation, where plain Newton overshoots."""
+    off = math.log(expected / (1 - expected))
+    rows = [(1, "F", "L", int(i < wins), off, 72.0, expected) for i in range(n)]
+    df = spark.createDataFrame(rows, "person_id bigint, first_name string, last_name string, actual_win bigint, "
+                                     "expected_logit double, series_minutes double, expected_win_prob double")
+    r = M.player_effects(df).first()
+    assert r["converged"] and abs(r["log_odds_over_expected"] - root) < 1e-3
+    assert abs(r["log_odds_over_expected"] - (math.log(wins / (n - wins)) - off)) < 1e-8

@@ -1,12 +1,11 @@
-"""The registered career-window queries, forced onto the two-level
-(skew-safe) path, still match the oracle end to end."""
+"""The registered career-window queries match the oracle end to end on the
+two-level (skew-safe) path, the only one."""
 
 import os
 import sys
 
 import pytest
 
-from overmark.operators import common as C
 from conftest import SF_CHECK
 
 KEYS = ["residual_running_game", "residual_running_year", "win_dense_rank", "market_residual_series",
@@ -14,8 +13,7 @@ KEYS = ["residual_running_game", "residual_running_year", "win_dense_rank", "mar
 
 
 @pytest.mark.parametrize("key", KEYS)
-def test_two_level_path_matches_oracle(spark, key, monkeypatch):
-    monkeypatch.setattr(C, "PLAIN_WINDOW_MAX_BYTES", -1)   # every running window takes two levels
+def test_two_level_path_matches_oracle(spark, key):
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
     from check_oracle import check
     rec = check(spark, SF_CHECK, [key], verbose=False)[key]

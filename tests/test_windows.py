@@ -34,7 +34,7 @@ def test_running_sum_rows_matches_window(spark):
     df = skewed(spark)
     w = W.partitionBy("k").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
     plain = df.select("id", F.sum("v").over(w).alias("r"))
-    two = C.running_sum(df, ["k"], ["ts", "id"], "v", "r", "rows", buckets=8, two_level=True).select("id", "r")
+    two = C.running_sum(df, ["k"], ["ts", "id"], "v", "r", "rows", buckets=8).select("id", "r")
     _cmp(two, plain)
 
 
@@ -42,7 +42,7 @@ def test_running_sum_range_includes_peers(spark):
     df = skewed(spark)
     w = W.partitionBy("k").orderBy("ts")
     plain = df.select("id", F.sum("v").over(w).alias("r"))
-    two = C.running_sum(df, ["k"], ["ts"], "v", "r", "range", buckets=8, two_level=True).select("id", "r")
+    two = C.running_sum(df, ["k"], ["ts"], "v", "r", "range", buckets=8).select("id", "r")
     _cmp(two, plain)
 
 
@@ -50,11 +50,11 @@ def test_running_count_and_avg(spark):
     df = skewed(spark)
     w = W.partitionBy("k").orderBy("ts")
     plain = df.select("id", F.avg("v").over(w).alias("r"))
-    two = C.running_avg(df, ["k"], ["ts"], "v", "r", "range", buckets=8, two_level=True).select("id", "r")
+    two = C.running_avg(df, ["k"], ["ts"], "v", "r", "range", buckets=8).select("id", "r")
     _cmp(two, plain)
     wr = W.partitionBy("k").orderBy("ts", "id")
     p2 = df.select("id", F.row_number().over(wr).cast("double").alias("r"))
-    t2 = C.running_count(df, ["k"], ["ts", "id"], "r", "rows", buckets=8, two_level=True).select(
+    t2 = C.running_count(df, ["k"], ["ts", "id"], "r", "rows", buckets=8).select(
         "id", F.col("r").cast("double").alias("r"))
     _cmp(t2, p2)
 
@@ -63,7 +63,7 @@ def test_dense_rank_by_matches_window(spark):
     df = skewed(spark).withColumn("ts", F.when(F.col("id") % 50 == 0, None).otherwise(F.col("ts")))
     w = W.partitionBy("k").orderBy("ts")
     plain = df.select("id", F.dense_rank().over(w).cast("double").alias("r"))
-    two = C.dense_rank_by(df, ["k"], "ts", "r", buckets=8, two_level=True).select("id", F.col("r").cast("double").alias("r"))
+    two = C.dense_rank_by(df, ["k"], "ts", "r", buckets=8).select("id", F.col("r").cast("double").alias("r"))
     _cmp(two, plain)
 
 
@@ -74,22 +74,20 @@ def test_last_non_null_by_order(spark):
     assert got == {1: 7.0, 2: None}
 
 
-def test_broadcast_only_when_small(spark):
-    small = spark.range(10)
-    assert C.estimated_bytes(small) is not None
-    plan_small = spark.range(1000).join(C.broadcast_if_small(small), "id")._jdf.queryExecution() \
-        .optimizedPlan().toString()
-    assert "broadcast" in plan_small.lower()
-    big = spark.range(10)
-    assert C.broadcast_if_small(big, limit=1) is big
-
-
-def test_plain_path_for_small_inputs_matches(spark):
-    df = skewed(spark)
-    w = W.partitionBy("k").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    plain = df.select("id", F.sum("v").over(w).alias("r"))
-    auto = C.running_sum(df, ["k"], ["ts", "id"], "v", "r", "rows").select("id", "r")
-    _cmp(auto, plain)
-    assert not C._plain_ok(df, None)          # rows from Python: size unknown → two-level
-    assert C._plain_ok(spark.range(100), None)  # provably small → plain window
-    assert not C._plain_ok(spark.range(100), True)
+def test_null_keys_form_one_partition(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), (7, 2, 5.0), (7, None, 1.0), (None, 2, 4.0)],
+                               "k bigint, ts bigint, v double").withColumn("id", F.monotonically_increasing_id())
+    w = W.partitionBy("k").orderBy("ts")
+    want = sorted(map(str, df.select("id", F.dense_rank().over(w).cast("bigint").alias("r")).collect()))
+    assert sorted(map(str, C.dense_rank_by(df, ["k"], "ts", "r").select("id", "r").collect())) == want
+    some = df.where("ts IS NOT NULL")
+    want = sorted(map(str, some.select("id", F.sum("v").over(w).alias("r")).collect()))
+    assert sorted(map(str, C.running_sum(some, ["k"], ["ts"], "v", "r", "range").select("id", "r").collect())) == want
+
+
+def test_one_path_at_every_size(spark):
+    """A small frame and a hot key take the same two levels: rows are never
+    windowed by the key alone."""
+    plan = C.running_sum(spark.range(100).selectExpr("1 as k", "id as ts", "1.0 as v"), ["k"], ["ts"], "v", "r")
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert "_bkt_r" in text and "percentile_approx" in text
