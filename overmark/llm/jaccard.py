@@ -16,8 +16,10 @@ Documents with equal sets form a class; the work is on classes.
    most ``spare`` empty partitions leaves these out, a set with more signs
    them too.  No linked pair is lost.
 2. *Stars.*  In each group of equal signatures every class is paired with the
-   group's first class only, and the distinct pairs are verified.  Large
-   groups of near copies become one component here, at one pair a class.
+   group's first class only (its hub).  Each class is verified with its
+   smallest hub, then with those other hubs that are still in another
+   component.  Large groups of near copies become one component here, at
+   about one pair a class.
 3. *Rest.*  Groups that still span several components are joined with
    themselves, only across components, with an exact lower bound of the
    difference (the Hamming distance of 256-bit parity sketches) in the join
@@ -276,6 +278,15 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    out = pairs
+    for end in ("a", "b"):
+        out = (out.join(found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+               .withColumn(f"of_{end}", F.coalesce(f"of_{end}", end)))
+    return out.where("of_a <> of_b").select("a", "b")
+
+
 def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     return _placed(docs, p).select("doc_id", "n_shingles", "component_id")
@@ -314,8 +325,14 @@ def _placed(docs: DataFrame, p: JaccardParams) -> DataFrame:
     pairs = written(star.join(x, F.col("s.hub") == F.col("x.c1")).join(y, F.col("s.c1") == F.col("y.c1"))
                     .where(_close("x", "y", p.percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")),
                     "jaccard-pairs")
-    links = written(_verify(pairs, docs, classes, p), "jaccard-links")
+    # each class with its smallest hub first; what that leaves in different components, with its other hubs
+    one = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
+    links = written(_verify(one, docs, classes, p), "jaccard-links")
     found = components(links)
+    other = written(_apart(pairs, found).join(one, ["a", "b"], "left_anti"), "jaccard-other")
+    if not other.isEmpty():
+        links = links.union(written(_verify(other, docs, classes, p), "jaccard-links"))
+        found = components(links)
 
     # groups that still span several components
     placed = (classes.join(found.withColumnRenamed("node", "key"), "key", "left")
