@@ -14,19 +14,23 @@ Documents with equal sets form a class; the work is on classes.
    partition at least: each partition's content hash is a signature.  There
    are k + 1 + spare partitions, hence spare + 1 agreements; a set with at
    most ``spare`` empty partitions leaves these out, a set with more signs
-   them too.  No linked pair is lost.
+   them too.  No linked pair is lost.  Sets of one band meet under both labels;
+   their own band's is enough.
 2. *Stars.*  In each group of equal signatures every class is paired with the
    group's first class only (its hub).  Each class is verified with its
    smallest hub, then with those other hubs that are still in another
    component.  Large groups of near copies become one component here, at
    about one pair a class.
-3. *Rest.*  Groups that still span several components are joined with
+3. *Other hubs.*  Each group that still spans several components draws
+   another hub; each class is verified with the nearest one, by sketch, of its
+   groups' hubs in other components.  This is done ``turns`` times.
+4. *Rest.*  Groups that even then span several components are joined with
    themselves, only across components, with an exact lower bound of the
    difference (the Hamming distance of 256-bit parity sketches) in the join
    condition.  The pairs that pass are verified and joined to the components.
 
 Verification compares the sets themselves.  Nothing is capped: all pairs of a
-group are covered by 2 and 3.
+group are covered by 2 to 4.
 
 Defined cases: texts without words, and NULL, have an empty set and link with
 nothing (component: own doc_id); a NULL doc_id has a NULL component and links
@@ -57,6 +61,7 @@ class JaccardParams:
     words: int = 5
     percent: int = 80
     broadcast_ids: int = 500_000     # ids of 8 bytes sent to all tasks at most
+    turns: int = 2                   # draws of other hubs before all pairs that are left
 
 
 @dataclass(frozen=True)
@@ -128,17 +133,18 @@ def sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH), axis=1).view(np.int64).reshape(rows, 4)
 
 
-def signatures(h: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of each row's non-empty partitions, for both labels."""
+def signatures(h: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, step) of each row's non-empty partitions, for its own
+    band (step 0) and the next one (step 1)."""
     size = np.diff(bounds)
     if not size.any():
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int8)
     # bands depend on the size alone; the table is cut at a power of two
     low, table = labels(percent, 1 << int(size.max()).bit_length())
     parts = np.array([x.partitions for x in table])
     spare = np.array([x.spare for x in table])
     band = np.searchsorted(low, size, "right") - 1
-    rows, sigs = [], []
+    rows, sigs, steps = [], [], []
     row = np.repeat(np.arange(len(size)), size)
     for step in (0, 1):
         label = np.where(size > 0, band + step, 0)
@@ -156,7 +162,8 @@ def signatures(h: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndar
         part = np.arange(start[-1]) - start[who]
         rows.append(who[emit])
         sigs.append(B.mix(total[emit] ^ B.mix(salt[who[emit]] + part[emit].astype(U64))))
-    return np.concatenate(rows), np.concatenate(sigs)
+        steps.append(np.full(len(rows[-1]), step, np.int8))
+    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(steps)
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -179,7 +186,7 @@ def _describe(p: JaccardParams):
 
 
 def _sign(p: JaccardParams):
-    """(signature, class) of each class that a batch holds."""
+    """(signature, step, class) of each class that a batch holds."""
     def run(batch):
         out, seen = [], np.zeros(0, U64)
         for _, buf, off in B.chunks(batch.column(0)):
@@ -192,11 +199,12 @@ def _sign(p: JaccardParams):
             seen = np.concatenate([seen, c1[new]])
             size = np.where(new, np.diff(bounds), 0)
             h = h[np.repeat(new, np.diff(bounds))]
-            row, sig = signatures(h, np.append(0, np.cumsum(size)), p.percent)
-            out.append((sig, c1[row]))
+            row, sig, step = signatures(h, np.append(0, np.cumsum(size)), p.percent)
+            out.append((sig, step, c1[row]))
         if not out:
             return None
-        return [_i64(np.concatenate(x)) for x in zip(*out, strict=True)]
+        sig, step, c1 = (np.concatenate(x) for x in zip(*out, strict=True))
+        return [_i64(sig), pa.array(step), _i64(c1)]
     return run
 
 
@@ -227,11 +235,16 @@ def _linked(percent: int):
     return run
 
 
+def _apart_bits(a: str, b: str):
+    """Hamming distance of two classes' sketches."""
+    bits = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)]
+    return bits[0] + bits[1] + bits[2] + bits[3]
+
+
 def _close(a: str, b: str, percent: int):
     """May two described classes link, by size and sketch?"""
     col = lambda t, c: F.col(f"{t}.{c}")
-    apart = sum((F.bit_count(col(a, f"s{i}").bitwiseXOR(col(b, f"s{i}"))) for i in range(1, 4)),
-                F.bit_count(col(a, "s0").bitwiseXOR(col(b, "s0"))))
+    apart = _apart_bits(a, b)
     small, large = F.least(col(a, "n"), col(b, "n")), F.greatest(col(a, "n"), col(b, "n"))
     return ((100 * small >= percent * large)
             & ((100 + percent) * apart <= (100 - percent) * (small + large)))
@@ -240,7 +253,7 @@ def _close(a: str, b: str, percent: int):
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: JaccardParams) -> DataFrame:
     """The pairs (a, b) of class keys that link.  Sets are taken from one
     document a class, the one of smallest id."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "jaccard-keys")
     ids = written(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "jaccard-ids")
     if ids.count() <= p.broadcast_ids:
         ids = F.broadcast(ids)
@@ -287,6 +300,40 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return out.where("of_a <> of_b").select("a", "b")
 
 
+def _with_components(classes: DataFrame, found: DataFrame) -> DataFrame:
+    return (classes.join(found.withColumnRenamed("node", "key"), "key", "left")
+            .withColumn("component", F.coalesce("component", "key")))
+
+
+def _open_members(shared: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The described members of the signature groups that span several components."""
+    member = shared.select("sig", "step", "c1").distinct().join(_with_components(classes, found), "c1")
+    spans = (member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo <> hi").select("sig"))
+    return written(member.join(spans, "sig"), "jaccard-open")
+
+
+def _meet(a: str, b: str):
+    """In different components, and not two sets of one band under the next
+    band's label (these meet under their own, too)."""
+    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & (F.col(f"{a}.step") + F.col(f"{b}.step") < 2)
+
+
+def _nearest_hubs(member: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b), a < b: each class with one hub of another component, the nearest
+    by sketch of those that its groups draw in this turn."""
+    drawn = F.xxhash64("key", "sig", F.lit(turn))
+    described = ("step", "key", "component", "n", "s0", "s1", "s2", "s3")
+    hub = (member.groupBy("sig").agg(F.min_by(F.struct(*described), drawn).alias("h"))
+           .select("sig", *(F.col(f"h.{c}").alias(c) for c in described)))
+    x, y = member.alias("x"), hub.alias("y")
+    return (x.join(y, (F.col("x.sig") == F.col("y.sig")) & _meet("x", "y") & _close("x", "y", percent))
+            .groupBy(F.col("x.key").alias("of"))
+            .agg(F.min(F.struct((_apart_bits("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("d"),
+                                F.col("y.key").alias("hub"))).alias("m"))
+            .select(F.least("of", "m.hub").alias("a"), F.greatest("of", "m.hub").alias("b")).distinct())
+
+
 def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     return _placed(docs, p).select("doc_id", "n_shingles", "component_id")
@@ -317,9 +364,10 @@ def _placed(docs: DataFrame, p: JaccardParams) -> DataFrame:
                       "jaccard-classes")
 
     group = Window.partitionBy("sig")
-    signed = map_arrow(docs.where("doc_id IS NOT NULL").select("text"), _sign(p), "sig long, c1 long")
-    shared = written(signed.select("sig", "c1", F.min("c1").over(group).alias("hub"), F.max("c1").over(group).alias("top"))
-                     .where("hub <> top").select("sig", "c1", "hub"), "jaccard-shared")
+    signed = map_arrow(docs.where("doc_id IS NOT NULL").select("text"), _sign(p), "sig long, step byte, c1 long")
+    shared = written(signed.select("sig", "step", "c1", F.min("c1").over(group).alias("hub"),
+                                   F.max("c1").over(group).alias("top"), F.min("step").over(group).alias("own"))
+                     .where("hub <> top AND own = 0").select("sig", "step", "c1", "hub"), "jaccard-shared")
     x, y = classes.alias("x"), classes.alias("y")
     star = shared.where("c1 <> hub").select("hub", "c1").distinct().alias("s")
     pairs = written(star.join(x, F.col("s.hub") == F.col("x.c1")).join(y, F.col("s.c1") == F.col("y.c1"))
@@ -334,24 +382,25 @@ def _placed(docs: DataFrame, p: JaccardParams) -> DataFrame:
         links = links.union(written(_verify(other, docs, classes, p), "jaccard-links"))
         found = components(links)
 
-    # groups that still span several components
-    placed = (classes.join(found.withColumnRenamed("node", "key"), "key", "left")
-              .withColumn("component", F.coalesce("component", "key")))
-    member = shared.select("sig", "c1").distinct().join(placed, "c1")
-    open_groups = (member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                   .where("lo <> hi").select("sig"))
-    member = written(member.join(open_groups, "sig"), "jaccard-open")
+    # groups that still span several components: other hubs, then all that is left
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(p.turns):
+        member = _open_members(shared, classes, found)
+        near = written(_nearest_hubs(member, turn, p.percent).join(tried, ["a", "b"], "left_anti"), "jaccard-near")
+        if near.isEmpty():
+            break
+        links = links.union(written(_verify(near, docs, classes, p), "jaccard-links"))
+        found, tried = components(links), tried.union(near)
+    member = _open_members(shared, classes, found)
     x, y = member.alias("x"), member.alias("y")
     more = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key"))
-                   & (F.col("x.component") != F.col("y.component")) & _close("x", "y", p.percent))
+                   & _meet("x", "y") & _close("x", "y", p.percent))
             .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.join(done, ["a", "b"], "left_anti"), "jaccard-more")
+    more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
     if not more.isEmpty():
         links = links.union(written(_verify(more, docs, classes, p), "jaccard-links"))
         found = components(links)
-        placed = (classes.join(found.withColumnRenamed("node", "key"), "key", "left")
-                  .withColumn("component", F.coalesce("component", "key")))
+    placed = _with_components(classes, found)
 
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_key = placed.join(smallest, "component").select("key", "component_id", F.col("component").alias("component_key"))
