@@ -270,14 +270,22 @@ def _key(c1, c2):
     return F.unhex(F.concat(F.lpad(F.hex(c1), 16, "0"), F.lpad(F.hex(c2), 16, "0")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Is every edge (a, b) a ray of a star, that is, has each ``a`` one edge
+    and is it no ``b``?"""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("rays"), F.lit(0).alias("centre")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    return (ends.groupBy("node").agg(F.sum("rays").alias("rays"), F.max("centre").alias("centre"))
+            .where("rays > 0 AND rays + centre > 1").isEmpty())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the edges (a, b): the smallest node reachable,
     for every node but the smallest of each component.  Alternating large and
     small stars; each round is a written table."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
                   "star")
-    mark = None
-    while True:
+    while not _settled(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -285,19 +293,32 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
                  .union(least.select("a", F.col("m").alias("b"))).distinct())
         now = written(small, "star")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        if seen == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = seen
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the edges behind ``found`` and of ``links``: only the
+    components that ``links`` joins are worked on."""
+    merged = written(components(_between(links, found)), "star-merged")
+    if merged.isEmpty():
+        return found
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    moved = found.join(into, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return written(moved.union(merged), "star-found")
+
+
+def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The components (a, b) that ``pairs`` joins."""
+    return _apart(pairs, found).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
+    """The pairs whose ends lie in different components, with these."""
     out = pairs
     for end in ("a", "b"):
         out = (out.join(found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
                .withColumn(f"of_{end}", F.coalesce(f"of_{end}", end)))
-    return out.where("of_a <> of_b").select("a", "b")
+    return out.where("of_a <> of_b").select("a", "b", "of_a", "of_b")
 
 
 def _with_components(classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -375,12 +396,10 @@ def _placed(docs: DataFrame, p: JaccardParams) -> DataFrame:
                     "jaccard-pairs")
     # each class with its smallest hub first; what that leaves in different components, with its other hubs
     one = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
-    links = written(_verify(one, docs, classes, p), "jaccard-links")
-    found = components(links)
-    other = written(_apart(pairs, found).join(one, ["a", "b"], "left_anti"), "jaccard-other")
+    found = components(written(_verify(one, docs, classes, p), "jaccard-links"))
+    other = written(_apart(pairs, found).select("a", "b").join(one, ["a", "b"], "left_anti"), "jaccard-other")
     if not other.isEmpty():
-        links = links.union(written(_verify(other, docs, classes, p), "jaccard-links"))
-        found = components(links)
+        found = extended(found, written(_verify(other, docs, classes, p), "jaccard-links"))
 
     # groups that still span several components: other hubs, then all that is left
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -389,8 +408,8 @@ def _placed(docs: DataFrame, p: JaccardParams) -> DataFrame:
         near = written(_nearest_hubs(member, turn, p.percent).join(tried, ["a", "b"], "left_anti"), "jaccard-near")
         if near.isEmpty():
             break
-        links = links.union(written(_verify(near, docs, classes, p), "jaccard-links"))
-        found, tried = components(links), tried.union(near)
+        found = extended(found, written(_verify(near, docs, classes, p), "jaccard-links"))
+        tried = tried.union(near)
     member = _open_members(shared, classes, found)
     x, y = member.alias("x"), member.alias("y")
     more = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key"))
@@ -398,8 +417,7 @@ def _placed(docs: DataFrame, p: JaccardParams) -> DataFrame:
             .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
     more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
     if not more.isEmpty():
-        links = links.union(written(_verify(more, docs, classes, p), "jaccard-links"))
-        found = components(links)
+        found = extended(found, written(_verify(more, docs, classes, p), "jaccard-links"))
     placed = _with_components(classes, found)
 
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))

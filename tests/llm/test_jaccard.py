@@ -101,3 +101,20 @@ def test_keep_one(spark):
     left = sorted(map(tuple, kept.select("doc_id", "text").collect()), key=str)
     assert len(left) == 7 and sum(r[0] == 3 for r in left) == 2 and not any(r[0] == 5 for r in left)
     assert sorted(r[0] for r in left if r[0] is not None) == [3, 3, 7, 9, 9, 10]
+
+
+def test_components_in_two_steps(spark):
+    """All edges at once and a part of them after the others, against union-find."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(40)] + [(7, 7)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    want = sorted((x, y) for x, y in low.items() if x != y)
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    assert got(J.components(frame(edges))) == sorted(want, key=str)
+    assert got(J.extended(J.components(frame(edges[::2])), frame(edges[1::2]))) == sorted(want, key=str)
+    first = J.components(frame(edges))
+    assert got(J.extended(first, frame(edges[:5]))) == sorted(want, key=str)
+    assert J.components(frame([])).count() == 0 and got(J.extended(J.components(frame([])), frame(edges))) == sorted(want, key=str)
