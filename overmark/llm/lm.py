@@ -4,20 +4,28 @@ noise-contrastive estimation.
 Tokens are words (runs other than ASCII white space, A-Z lowered) and one end
 per text.  Counts of all tokens of the learning rows are made by Spark.
 
-*Model.*  The ``classes - 2`` most frequent words, the end, and one class for
-all other words.  With context vectors r, word vectors q, biases b and a
-matrix C_i per context place, s(w | u, v) = (r_u C_1 + r_v C_2) q_w + b_w.
-Tasks run stochastic gradients of the noise-contrastive loss over all their
-learning texts from a common start, with noise words shared by a minibatch;
-the parameters are averaged by tokens.  The normaliser of every context pair
-is tabled once with batched matrix products, so probabilities are exact.
-A word of the open class costs the class's probability times the word's share
-of the smoothed unigram mass outside the other classes, so the model is
+*Vocabulary.*  All words of at most 64 bytes that were seen ``least_seen``
+times, 2 for small inputs and as the square root of the tokens for large ones,
+so the vocabulary grows with the input and so does the share of tokens it
+covers, while its tables grow slower than the input.
+
+*Model.*  Classes are the most frequent words one by one, bins of the other
+vocabulary words by rank (wider down the ranks, as their square root), the
+end, and one for words outside the vocabulary.  With context vectors r of all
+vocabulary words, class vectors q, biases b and a matrix C_i per context
+place, h = r_u C_1 + r_v C_2 and s(k | u, v) = h q_k + b_k; a word of a bin has
+a vector and a bias of its own, and P(w | u, v) = P(bin | u, v) P(w | bin, u, v),
+both exact softmaxes.  Tasks run stochastic gradients of noise-contrastive
+losses (noise classes shared by a minibatch, noise words of the bin per word)
+over all their learning texts from a common start and send the rows they
+touched; each row is averaged by its touches.  Normalisers are computed for
+the context pairs that occur; those of the most frequent contexts are tabled.
+A word outside the vocabulary costs its class's probability times the word's
+share of the smoothed unigram mass outside the other classes, so the model is
 normalised over all words seen and one unseen.
 
-*Counts of rare words.*  The ``head`` most frequent words (of at most 64
-bytes: a bounded table) are looked up in tasks; a text's other words go
-through a join with the counts.
+*Counts of rare words.*  Vocabulary words are looked up in tasks; a text's
+other words go through a join with the counts.
 
 Defined cases: NULL text is empty (one end token); with nothing to learn
 from, base and model both give an end and a word probability 1/1 (N = V = 0);
@@ -29,6 +37,7 @@ split, so scores agree only over equal splits.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +59,15 @@ class LmParams:
     noise: int = 48
     batch: int = 4096
     rate: float = 0.1
-    head: int = 1 << 17
+    within: int = 2          # noise words per word of a bin
+    head: int | None = None  # words of the vocabulary at most; None: all seen ``least_seen`` times
     workers: int = 1024      # tasks that train at most; their averages are summed
     seed: int = 3
 
 
 @dataclass(frozen=True)
 class Counts:
-    words: list[str]         # the head, most frequent first, without the end
+    words: pa.Array          # the vocabulary, most frequent first, without the end
     count: np.ndarray
     ends: int
     n: int
@@ -90,35 +100,61 @@ def count_words(docs: DataFrame) -> DataFrame:
 def head_of(counts: DataFrame, p: LmParams) -> Counts:
     total = counts.agg(F.sum("c"), F.count("*")).head()
     ends = counts.where(F.col("word") == END).head()
-    rows = (counts.where(F.octet_length("word").between(1, 64)).orderBy(F.desc("c"), "word").limit(p.head)).toArrow()
-    return Counts(rows.column("word").to_pylist(), rows.column("c").to_numpy(), int(ends.c) if ends else 0,
-                  int(total[0] or 0), int(total[1]))
+    n = int(total[0] or 0)
+    rows = counts.where(F.octet_length("word").between(1, 64) & (F.col("c") >= least_seen(n))).orderBy(F.desc("c"), "word")
+    rows = (rows if p.head is None else rows.limit(p.head)).toArrow()
+    return Counts(rows.column("word").cast(pa.large_string()).combine_chunks(), rows.column("c").to_numpy(),
+                  int(ends.c) if ends else 0, n, int(total[1]))
+
+
+def least_seen(n: int) -> int:
+    """How often a vocabulary word is seen in ``n`` tokens."""
+    return max(2, isqrt(n) // 1000)
+
+
+class Vocabulary:
+    """Words by rank, the end and the open word, and their classes."""
+
+    def __init__(self, c: Counts, p: LmParams):
+        self.words = v = len(c.words)
+        self.end, self.open = v, v + 1
+        self.listed = v if v <= p.classes - 2 else (p.classes - 2) // 4
+        edge = np.linspace(self.listed ** 0.5, v ** 0.5, p.classes - 1 - self.listed) ** 2
+        edge = np.unique(np.append(np.arange(self.listed), np.rint(edge).astype(np.int64)))
+        self.lo = np.append(edge[edge < v], [v, v + 1])
+        self.size = np.diff(np.append(self.lo, v + 2))
+        self.classes = len(self.lo)
+        self.kind = np.repeat(np.arange(self.classes), self.size)
+        whole = c.n + c.v + 1
+        x = np.append((c.count + 1) / whole, (c.ends + 1) / whole)
+        x = np.append(x, max(1 - x.sum(), 1e-9))
+        self.unigram = np.add.reduceat(x, self.lo)
+        self.unigram /= self.unigram.sum()
+        self.share = (x[:v] / np.add.reduceat(x, self.lo)[self.kind[:v]])      # of a word in its class
 
 
 class Reader:
-    """Texts as class numbers, with the head's counts."""
+    """Texts as vocabulary numbers."""
 
     def __init__(self, c: Counts, p: LmParams):
-        buf, off = B.utf8(pa.array(c.words, pa.large_string()))
+        buf, off = B.utf8(c.words)
         self.index = B.HashIndex(B.byte_spans(buf).hash(off[:-1], off[1:]))
-        self.listed = min(p.classes - 2, len(c.words))
-        self.end, self.open = p.classes - 2, p.classes - 1
+        self.vocabulary = Vocabulary(c, p)
 
     def read(self, buf: np.ndarray, off: np.ndarray):
-        """(lowered bytes, word starts, ends, place in the head or -1, classes
-        with ends, their row bounds)."""
+        """(lowered bytes, word starts, ends, place in the vocabulary or -1,
+        numbers with ends, their row bounds)."""
         buf = B.LOWER[buf]
         s, e, bounds = B.words(buf, off)
         at = self.index.find(B.byte_spans(buf).hash(s, e))
         rows = len(off) - 1
-        kind = np.full(len(s) + rows, self.end, np.int64)
-        own = np.where((at >= 0) & (at < self.listed), at, self.open)
-        kind[np.arange(len(s)) + np.repeat(np.arange(rows), np.diff(bounds))] = own
-        return buf, s, e, at, bounds, kind, bounds + np.arange(rows + 1)
+        word = np.full(len(s) + rows, self.vocabulary.end, np.int64)
+        word[np.arange(len(s)) + np.repeat(np.arange(rows), np.diff(bounds))] = np.where(at >= 0, at, self.vocabulary.open)
+        return buf, s, e, at, bounds, word, bounds + np.arange(rows + 1)
 
 
 def contexts(kind: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two before each token; ends before a text."""
+    """The numbers one and two before each token; ends before a text."""
     u, v = np.full(len(kind), end), np.full(len(kind), end)
     u[1:] = kind[:-1]
     v[2:] = kind[:-2]
@@ -131,127 +167,241 @@ def contexts(kind: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray
 
 @dataclass
 class Lbl:
-    r: np.ndarray
-    q: np.ndarray
+    r: np.ndarray            # contexts x width
+    q: np.ndarray            # classes x width
     b: np.ndarray
     c: np.ndarray            # 2 x width x width
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.b, self.c)]).astype(np.float32)
-
-    @staticmethod
-    def unflat(x: np.ndarray, p: LmParams) -> Lbl:
-        n, d = p.classes, p.width
-        r, q, b, c = np.split(x.astype(np.float32), np.cumsum([n * d, n * d, n]))
-        return Lbl(r.reshape(n, d), q.reshape(n, d), b, c.reshape(2, d, d))
+    own: np.ndarray          # words x (width and bias), within their class
 
     @staticmethod
-    def start(unigram: np.ndarray, p: LmParams) -> Lbl:
+    def start(unigram: np.ndarray, p: LmParams, share: np.ndarray | None = None) -> Lbl:
+        """``share``: of the vocabulary words in their classes; without it
+        the contexts are the classes."""
         rng = np.random.default_rng(p.seed)
-        n, d = p.classes, p.width
-        return Lbl(rng.normal(0, 0.1, (n, d)).astype(np.float32), rng.normal(0, 0.1, (n, d)).astype(np.float32),
-                   np.log(unigram).astype(np.float32), np.stack([np.eye(d), np.eye(d) / 2]).astype(np.float32))
+        n, d = len(unigram), p.width
+        share = np.zeros(0) if share is None else share
+        small = lambda rows: rng.standard_normal((rows, d), np.float32) * np.float32(0.1)
+        q, r = small(n), small(len(share) + 2 if len(share) else n)
+        own = np.column_stack([small(len(share)), np.log(share).astype(np.float32)])
+        return Lbl(r, q, np.log(unigram).astype(np.float32), np.stack([np.eye(d), np.eye(d) / 2]).astype(np.float32), own)
 
 
 class Trainer:
-    """Stochastic gradients of the noise-contrastive loss, scaled per
+    """Stochastic gradients of the noise-contrastive losses, scaled per
     parameter by their past squares."""
 
-    def __init__(self, m: Lbl, unigram: np.ndarray, p: LmParams):
-        self.m, self.p, self.rng = m, p, np.random.default_rng(p.seed + 1)
-        self.past = [np.full(x.shape, 1e-2, np.float32) for x in (m.r, m.q, m.b, m.c)]
-        self.cdf = np.cumsum(unigram)
-        self.shift = np.log(p.noise * unigram).astype(np.float32)
-        self.cells = np.arange(p.width)
+    def __init__(self, voc: Vocabulary, p: LmParams):
+        self.voc, self.p, self.rng = voc, p, np.random.default_rng(p.seed + 1)
+        self.m = m = Lbl.start(voc.unigram, p, voc.share)
+        self.past = [np.full(x.shape, 1e-2, np.float32) for x in (m.q, m.b, m.c)]
+        self.past_r, self.past_own = (np.full(x.shape, y, np.float32) for x, y in ((m.r, 1e-4), (m.own, 1e-1)))
+        self.past_r[:p.classes] = 1e-2
+        self.seen_r, self.seen_own, self.tokens = np.zeros(len(m.r), np.float32), np.zeros(len(m.own), np.float32), 0
+        self.cdf = np.cumsum(voc.unigram)
+        self.shift = np.log(p.noise * voc.unigram).astype(np.float32)
 
-    def _scatter(self, at, rows):
-        cell = (at[:, None] * self.p.width + self.cells).ravel()
-        n = self.p.classes * self.p.width
-        return np.bincount(cell, rows.ravel(), n).astype(np.float32).reshape(self.p.classes, self.p.width)
+    @staticmethod
+    def _sums(at, rows, n):
+        """Sums of ``rows`` by their place ``at`` below ``n``."""
+        d = rows.shape[1]
+        cell = (at[:, None] * d + np.arange(d)).ravel()
+        return np.bincount(cell, rows.ravel(), n * d).astype(np.float32).reshape(n, d)
+
+    def _touch(self, x, past, seen, at, rows):
+        """Step of the rows ``at`` of a large matrix by their summed gradients."""
+        order = np.argsort(at)
+        at = at[order]
+        first = np.append(0, np.flatnonzero(np.diff(at)) + 1)
+        some, times = at[first], np.diff(np.append(first, len(at)))
+        g = np.add.reduceat(rows[order], first, axis=0)
+        squares = past[some] + g * g
+        past[some] = squares
+        x[some] += np.float32(self.p.rate) * g / np.sqrt(squares)
+        seen[some] += times
 
     def step(self, u, v, w):
-        m, p = self.m, self.p
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(p.noise) * self.cdf[-1], "right"), p.classes - 1)
+        m, p, voc = self.m, self.p, self.voc
+        k, n = voc.kind[w], voc.classes
+        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(p.noise) * self.cdf[-1], "right"), n - 1)
         ru, rv = m.r[u], m.r[v]
         h = ru @ m.c[0] + rv @ m.c[1]
-        qw, qn = m.q[w], m.q[noise]
-        gw = 1 / (1 + np.exp(np.clip((h * qw).sum(1) + m.b[w] - self.shift[w], -30, 30)))
+        qw, qn = m.q[k], m.q[noise]
+        gw = 1 / (1 + np.exp(np.clip((h * qw).sum(1) + m.b[k] - self.shift[k], -30, 30)))
         gn = -1 / (1 + np.exp(np.clip(self.shift[noise] - m.b[noise] - h @ qn.T, -30, 30)))
         dh = gw[:, None] * qw + gn @ qn
-        dq = self._scatter(w, gw[:, None] * h) + self._scatter(noise, gn.T @ h)
-        db = (np.bincount(w, gw, p.classes) + np.bincount(noise, gn.sum(0), p.classes)).astype(np.float32)
-        dr = self._scatter(u, dh @ m.c[0].T) + self._scatter(v, dh @ m.c[1].T)
+        dq = self._sums(k, gw[:, None] * h, n) + self._sums(noise, gn.T @ h, n)
+        db = (np.bincount(k, gw, n) + np.bincount(noise, gn.sum(0), n)).astype(np.float32)
+        binned = np.flatnonzero(voc.size[k] > 1)
+        if len(binned):
+            size, hb = voc.size[k[binned]], np.column_stack([h[binned], np.ones(len(binned), np.float32)])
+            drawn = voc.lo[k[binned], None] + (self.rng.random((len(binned), p.within)) * size[:, None]).astype(np.int64)
+            at = np.column_stack([w[binned], drawn])
+            own = m.own[at]
+            s = (own * hb[:, None]).sum(2) - np.log(p.within / size)[:, None].astype(np.float32)
+            g = -1 / (1 + np.exp(np.clip(-s, -30, 30)))
+            g[:, 0] += 1
+            dh[binned] += (g[:, :, None] * own[:, :, :-1]).sum(1)
+            self._touch(m.own, self.past_own, self.seen_own, at.ravel(), (g[:, :, None] * hb[:, None]).reshape(-1, p.width + 1))
         dc = np.stack([ru.T @ dh, rv.T @ dh])
-        for x, g, past in zip((m.r, m.q, m.b, m.c), (dr, dq, db, dc), self.past, strict=True):
-            g = g / np.float32(len(w) ** 0.5)
+        scale = np.float32(len(w) ** 0.5)
+        self._touch(m.r, self.past_r, self.seen_r, np.append(u, v), np.concatenate([dh @ m.c[0].T, dh @ m.c[1].T]) / scale)
+        for x, g, past in zip((m.q, m.b, m.c), (dq, db, dc), self.past, strict=True):
+            g = g / scale
             past += g * g
             x += np.float32(p.rate) * g / np.sqrt(past)
+        self.tokens += len(w)
 
+    def touched(self):
+        """(row numbers, weights, moves from the start) of the parameter rows
+        this task moved, in the order of ``_matrices``."""
+        first, start = 0, _matrices(Lbl.start(self.voc.unigram, self.p, self.voc.share))
+        every = np.float32(self.tokens)
+        for x, was, seen in zip(_matrices(self.m), start, (self.seen_r, self.seen_own, every, every, every), strict=True):
+            at = np.arange(len(x)) if seen is every else np.flatnonzero(seen)
+            yield first + at, np.broadcast_to(seen if seen is every else seen[at], at.shape), x[at] - was[at]
+            first += len(x)
 
-def unigram(c: Counts, p: LmParams) -> np.ndarray:
-    """Smoothed probabilities of the classes."""
-    whole = c.n + c.v + 1
-    x = np.full(p.classes, 1e-9)
-    listed = min(p.classes - 2, len(c.words))
-    x[:listed] = (c.count[:listed] + 1) / whole
-    x[p.classes - 2] = (c.ends + 1) / whole
-    x[p.classes - 1] = max(1 - x[:-1].sum(), 1e-9)
-    return x / x.sum()
+
+def _matrices(m: Lbl) -> list[np.ndarray]:
+    """The parameters as views of rows."""
+    return [m.r, m.own, m.q, m.b[:, None], m.c.reshape(-1, m.c.shape[2])]
+
+
+SLICE = 1 << 14                # parameter rows that are averaged together
+PART = StructType([StructField("slice", LongType()), *(StructField(x, BinaryType()) for x in ("at", "weight", "x"))])
+
+
+def _parts(at, weight, rows, wide: int):
+    """Sorted parameter rows as one record per slice; moves are sent in half
+    precision, as they are small against what they are added to."""
+    cut = np.append(0, np.flatnonzero(np.diff(at // SLICE)) + 1)
+    for i, j in zip(cut, np.append(cut[1:], len(at)), strict=True) if len(at) else ():
+        x = np.zeros((j - i, wide), np.float16)
+        x[:, :rows.shape[1]] = rows[i:j]
+        one = (at[i] // SLICE, (at[i:j] % SLICE).astype(np.int32), weight[i:j].astype(np.float32), x)
+        yield pa.RecordBatch.from_arrays([pa.array([int(one[0])]), *(pa.array([y.tobytes()], pa.binary()) for y in one[1:])],
+                                         PART.names)
 
 
 def train(docs: DataFrame, c: Counts, p: LmParams) -> Lbl:
-    """Every task trains on all its texts; parameters are averaged by tokens."""
+    """Every task trains on all its texts; each parameter row is averaged by
+    how often a task touched it."""
     held = docs.sparkSession.sparkContext.broadcast(c)
+    wide = p.width + 1
 
     def run(batches):
-        counts = held.value
-        reader, base = Reader(counts, p), unigram(counts, p)
-        t, tokens = Trainer(Lbl.start(base, p), base, p), 0
+        t = None
         for batch in batches:
             for _, buf, off in B.chunks(batch.column(0)):
-                *_, kind, bounds = reader.read(buf, off)
-                u, v = contexts(kind, bounds, reader.end)
-                tokens += len(kind)
-                for i in range(0, len(kind), p.batch):
-                    t.step(u[i:i + p.batch], v[i:i + p.batch], kind[i:i + p.batch])
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([t.m.flat().tobytes()], pa.binary())], ["n", "x"])
-
-    def total(batches):
-        n, x = 0, 0.0
+                if t is None:
+                    reader = Reader(held.value, p)
+                    t = Trainer(reader.vocabulary, p)
+                *_, word, bounds = reader.read(buf, off)
+                u, v = contexts(word, bounds, reader.vocabulary.end)
+                for i in range(0, len(word), p.batch):
+                    t.step(u[i:i + p.batch], v[i:i + p.batch], word[i:i + p.batch])
+        if t is not None:
+            for some in t.touched():
+                yield from _parts(*some, wide)
+
+    def average(batches):
+        held: dict[int, tuple] = {}
         for batch in batches:
-            for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                vector = np.frombuffer(raw, np.float32).astype(np.float64)
-                n, x = n + k, x + k * vector
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())], ["n", "x"])
-
-    schema = StructType([StructField("n", LongType()), StructField("x", BinaryType())])
-    trained = docs.select("text").coalesce(p.workers).mapInArrow(run, schema)
-    some = trained.repartition(32).mapInArrow(total, schema).collect()      # 32 vectors of bounded size at most
-    if not some:
-        return Lbl.start(unigram(c, p), p)
-    n = sum(r.n for r in some)
-    return Lbl.unflat(sum(np.frombuffer(r.x, np.float32).astype(np.float64) * (r.n / n) for r in some), p)
+            for number, at, weight, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total, rows = held.setdefault(number, (np.zeros(SLICE), np.zeros((SLICE, wide))))
+                at, weight = np.frombuffer(at, np.int32), np.frombuffer(weight, np.float32)
+                total[at] += weight
+                rows[at] += weight[:, None] * np.frombuffer(x, np.float16).reshape(-1, wide)
+        for number, (total, rows) in held.items():
+            at = np.flatnonzero(total)
+            yield from _parts(number * SLICE + at, total[at], rows[at] / total[at, None], wide)
+
+    trained = docs.select("text").coalesce(p.workers).mapInArrow(run, PART)
+    parts = trained.repartition("slice").mapInArrow(average, PART).select("slice", "at", "x").toLocalIterator()
+    voc = Vocabulary(c, p)
+    m = Lbl.start(voc.unigram, p, voc.share)
+    views = _matrices(m)
+    first = np.append(0, np.cumsum([len(x) for x in views]))
+    for part in parts:                          # one mean per vocabulary row at most
+        at = part["slice"] * SLICE + np.frombuffer(part["at"], np.int32)
+        x = np.frombuffer(part["x"], np.float16).reshape(-1, wide)
+        for view, lo, hi in zip(views, first[:-1], first[1:], strict=True):
+            mine = (at >= lo) & (at < hi)
+            view[at[mine] - lo] += x[mine, :view.shape[1]]
+    return m
+
+
+def _log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray, at: np.ndarray | None = None):
+    """log of the sums over q's rows of exp(h q + b); with ``at`` the logs of
+    those rows' shares."""
+    s = np.column_stack([h, np.ones(len(h), np.float32)]) @ np.column_stack([q, b]).T
+    own = 0 if at is None else s[np.arange(len(s)), at]
+    far = np.sqrt((h * h).sum(1).max() * (q * q).sum(1).max()) + np.abs(b).max()
+    top = np.float32(0)
+    if not far < 60:                       # exp of what is smaller fits a float
+        top = s.max(1)
+        s -= top[:, None]
+    sums = top + np.log(np.exp(s, out=s) @ np.ones(len(q), np.float32))
+    return sums if at is None else own - sums
+
+
+def log_probabilities(m: Lbl, voc: Vocabulary, z: np.ndarray, u: np.ndarray, v: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Natural log of P(word | u, v) in the vocabulary, normalised exactly;
+    ``z``: the normalisers of pairs of the first contexts."""
+    h = m.r[u] @ m.c[0] + m.r[v] @ m.c[1]
+    k = voc.kind[word]
+    norm = np.empty(len(word), np.float32)
+    tabled = (u < len(z)) & (v < len(z))
+    norm[tabled] = z[u[tabled], v[tabled]]
+    rest = np.flatnonzero(~tabled)
+    _, one, back = np.unique(u[rest] * len(m.r) + v[rest], return_index=True, return_inverse=True)
+    sums = np.empty(len(one), np.float32)
+    for i in range(0, len(one), 1024):
+        sums[i:i + 1024] = _log_sums(h[rest[one[i:i + 1024]]], m.q, m.b)
+    norm[rest] = sums[back]
+    out = (h * m.q[k]).sum(1) + m.b[k] - norm
+    binned = np.flatnonzero(voc.size[k] > 1)
+    binned = binned[np.argsort(k[binned], kind="stable")]
+    cut = np.append(0, np.flatnonzero(np.diff(k[binned])) + 1)
+    for i, j in zip(cut, np.append(cut[1:], len(binned)), strict=True) if len(binned) else ():
+        lo = voc.lo[k[binned[i]]]
+        own = m.own[lo:lo + voc.size[k[binned[i]]]]
+        step = max(1, (1 << 20) // len(own))
+        for a in range(i, j, step):
+            some = binned[a:min(a + step, j)]
+            out[some] += _log_sums(h[some], own[:, :-1], own[:, -1], word[some] - lo)
+    return out
 
 
 def normalisers(spark, m: Lbl, p: LmParams) -> np.ndarray:
-    """log of the sum over classes of exp(s), for every context pair [u, v]."""
-    held = spark.sparkContext.broadcast(m)
+    """log of the sum over classes of exp(s), for every pair [u, v] of the
+    first ``classes`` contexts."""
+    n = min(p.classes, len(m.r))
+    held = spark.sparkContext.broadcast((m.r[:n], m.q, m.b, m.c))
 
     def run(batch):
-        m, out = held.value, []
-        far = m.r @ m.c[1]
+        (r, q, b, c), out = held.value, []
+        far = r @ c[1]
         for u in batch.column(0).to_pylist():
-            s = (m.r[u] @ m.c[0] + far) @ m.q.T + m.b
-            top = s.max(1, keepdims=True)
-            out.append((top[:, 0] + np.log(np.exp(s - top).sum(1))).astype(np.float32).tobytes())
+            out.append(_log_sums(r[u] @ c[0] + far, q, b).astype(np.float32).tobytes())
         return [batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())]
 
-    rows = map_arrow(spark.range(p.classes), run, "u long, z binary").collect()      # classes rows of classes floats
+    rows = map_arrow(spark.range(n), run, "u long, z binary").collect()      # classes rows of classes floats
     return np.stack([np.frombuffer(r.z, np.float32) for r in sorted(rows, key=lambda r: r.u)])
 
 
+_readers: dict = {}
+
+
+def _reader(held, p: LmParams) -> Reader:
+    """One reader per model in a Python worker."""
+    c = held.value[0]
+    if id(c) not in _readers:
+        _readers.clear()
+        _readers[id(c)] = (Reader(c, p), c)      # holds the counts, so their id stays their own
+    return _readers[id(c)][0]
+
+
 def score(docs: DataFrame, learn, p: LmParams = LmParams()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score);
     ``learn`` is the condition of the rows to learn from."""
@@ -266,20 +416,19 @@ def score(docs: DataFrame, learn, p: LmParams = LmParams()) -> DataFrame:
 
     def run(batch):
         c, m, z = held.value
-        reader, base = Reader(c, p), np.log10(unigram(c, p))
+        reader = _reader(held, p)
+        voc = reader.vocabulary
+        base = np.log10(voc.unigram)
         log_c = np.append(np.log10((c.count + 1) / whole), 0.0)
         log_end = np.log10((c.ends + 1) / whole)
         cols, words, tf, size = [], [], [], []
         for _, buf, off in B.chunks(batch.column(3)):
-            buf, s, e, at, bounds, k, kb = reader.read(buf, off)
-            u, v = contexts(k, kb, reader.end)
-            h = (m.r @ m.c[0])[u] + (m.r @ m.c[1])[v]
-            own = ((h * m.q[k]).sum(1) + m.b[k] - z[u, v]).astype(np.float64) / np.log(10)
-            value = log_c[at]                                   # 0 for words outside the head
+            buf, s, e, at, bounds, word, wb = reader.read(buf, off)
+            own = log_probabilities(m, voc, z, *contexts(word, wb, voc.end), word).astype(np.float64) / np.log(10)
+            value = log_c[at]                                   # 0 for words outside the vocabulary
             rows, row = len(off) - 1, np.repeat(np.arange(len(off) - 1), np.diff(bounds))
-            free = np.where(at >= reader.listed, value, 0.0)    # head words of the open class
-            cols.append([np.diff(kb), B.per_row(at >= 0, bounds) + (c.ends > 0), B.per_row(value, bounds) + log_end,
-                         B.per_row(own, kb) + B.per_row(free, bounds) - base[-1] * B.per_row(k == reader.open, kb)])
+            cols.append([np.diff(wb), B.per_row(at >= 0, bounds) + (c.ends > 0), B.per_row(value, bounds) + log_end,
+                         B.per_row(own, wb) - base[-1] * B.per_row(at < 0, bounds)])
             rare = np.flatnonzero(at < 0)
             hsh = B.byte_spans(buf).hash(s[rare], e[rare])
             order = np.lexsort((hsh, row[rare]))

@@ -60,3 +60,21 @@ def test_model_is_normalised(spark):
     z = M.normalisers(spark, m, p)
     h = m.r[3] @ m.c[0] + m.r[5] @ m.c[1]
     assert abs(np.exp(h @ m.q.T + m.b - z[3, 5]).sum() - 1) < 1e-5
+
+
+def test_frequent_words_have_probabilities_of_their_own(spark):
+    texts = [(i, " ".join(f"w{(i * 7 + j * j) % 90}" for j in range(60)) + f" once{i}") for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    p = M.LmParams(classes=16, width=4)
+    c = M.head_of(M.count_words(docs), p)
+    assert len(c.words) == len({w for _, t in texts for w in t.split()[:60]})      # all but those seen once
+    m, voc = M.train(docs, c, p), M.Vocabulary(c, p)
+    assert voc.classes <= 16 < len(m.own) == voc.words and len(m.r) == voc.words + 2
+    z, every = M.normalisers(spark, m, p), np.arange(voc.words + 2)
+    for u, v in [(0, 1), (voc.words - 1, 3), (voc.end, voc.end), (voc.open, 40)]:
+        got = M.log_probabilities(m, voc, z, np.full(len(every), u), np.full(len(every), v), every)
+        assert abs(np.exp(got.astype(float)).sum() - 1) < 1e-4
+    last = voc.kind == voc.kind[voc.words - 1]
+    one, two = (M.log_probabilities(m, voc, z, np.full(last.sum(), u), every[last] * 0, every[last]) for u in (60, 70))
+    assert last.sum() > 1 and np.ptp(one - two) > 1e-4        # rare contexts and targets are told apart
+    assert M.least_seen(4_000_000) == 2 and M.least_seen(8_000_000_000) == 89
