@@ -14,14 +14,22 @@ Arrow batches.  Training takes a bounded sample of labelled rows
 (``docs_per_language`` of smallest hash); its trees are bounded by it.
 Letters A-Z and the two-byte capitals U+00C0-U+00DE count as small.
 
-Defined cases: NULL text and text with no letter give ``und`` with score 0;
+The posterior only tells the learned languages from each other.  Whether a
+text is in one of them at all shows in its code length: ``fit`` holds an
+eighth of the learning rows back (by hash of the text) and sets, per language,
+the most bits a byte may take: ``margin`` times the median of the rows
+held back.  A text that takes more, ``START`` bits apart, is ``und``.  A
+language with no row held back has the widest of the others' limits; with none
+at all nothing is refused.
+
+Defined cases: NULL text, text with no letter and refused text give ``und`` with score 0;
 with no learned language every row is ``und``; the language of repeated rows
 is the same; other columns are never read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +41,14 @@ from . import byteops as B
 from .common import map_arrow
 
 U64 = np.uint64
+START = 32.0              # bits that a text's first bytes may take on top
 
 
 @dataclass(frozen=True)
 class PpmParams:
     docs_per_language: int = 200
     max_order: int = 3
+    margin: float = 4.0
 
 
 @dataclass(frozen=True)
@@ -51,6 +61,7 @@ class PpmModel:
     code: list[np.ndarray]
     contexts: list[np.ndarray]
     escape: list[np.ndarray]
+    limit: np.ndarray | None = None      # most bits per byte, per language
 
 
 def fold(buf: np.ndarray) -> np.ndarray:
@@ -143,6 +154,27 @@ def build(language: list[str], k: np.ndarray, gram: np.ndarray, n: np.ndarray, w
     return PpmModel(names, grams, code, contexts, escape)
 
 
+def fit(docs: DataFrame, p: PpmParams = PpmParams()) -> PpmModel:
+    """A model of ``docs`` (as for ``train``) that also refuses texts in none
+    of its languages."""
+    back = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(8)) == 0, F.lit(False))
+    model = train(docs.where(~back), p)
+    if not model.languages:
+        model = train(docs, p)
+    label = _labeller(docs.sparkSession, model)
+
+    def run(batch):
+        got = label(batch.column(1), batch.column(2))
+        return None if got is None else [batch.column(0), got[0], got[2]]
+
+    rows = docs.where(back & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.lit(True).alias("letters"))
+    usual = (map_arrow(rows, run, "lang string, said string, bits double").where("lang = said").groupBy("lang")
+             .agg(F.percentile_approx("bits", 0.5, 10_000).alias("bits")).collect())      # one row a language
+    at = {r.lang: p.margin * r.bits for r in usual}
+    wide = max(at.values(), default=np.inf)
+    return replace(model, limit=np.array([at.get(x, wide) for x in model.languages]))
+
+
 class Coder:
     """Code lengths of texts under a model, per language."""
 
@@ -212,6 +244,8 @@ def _labeller(spark, model: PpmModel):
         least = bits.min(1)
         score = 1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(1)
         known = letters.to_numpy(zero_copy_only=False).astype(bool)
+        if m.limit is not None:
+            known &= least <= m.limit[best] * size + START
         names = np.array([*m.languages, "und"], object)[np.where(known, best, len(m.languages))]
         return [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)),
                 pa.array(np.where(size > 0, least / np.maximum(size, 1), 0.0))]

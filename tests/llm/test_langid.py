@@ -84,3 +84,25 @@ def test_edges(spark):
     assert {r.lang_pred for r in L.predict(df, none).collect()} == {"und"}
     kept = L.keep_known(df, model)
     assert kept.columns == df.columns and kept.count() == 5
+
+
+def test_foreign_and_junk_texts_are_refused(spark):
+    import random
+
+    import corpus_pipeline as C
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    planted = ["Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił " * 4,
+               "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. " * 4,
+               "道可道，非常道。名可名，非常名。无名天地之始；有名万物之母。" * 6,
+               "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura ché la diritta via era smarrita " * 4,
+               " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 12))) for _ in range(80)),
+               "".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(600))]
+    first = docs.limit(1).drop("doc_id", "text").withColumn("lang", F.lit(None).cast("string"))
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(planted)], "doc_id long, text string").crossJoin(first)
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(docs.columns)
+    kept = {r.doc_id for r in C.language(spark, docs.unionByName(rows), SF).select("doc_id").collect()}
+    assert not any(i < 0 for i in kept)
+    clean = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert clean <= kept
