@@ -2,13 +2,16 @@
 
 *Base* spans are the matches of four fixed formats (email, ip, card, phone)
 that pass a check.  *Candidates* come from generators of high recall whose
-spans may overlap: number-like runs and spelled-out addresses.  Boosted trees
+spans may overlap: number-like runs, the parts of runs that are whole groups
+of digits with 7 to 19 digits together, and spelled-out addresses.  Boosted trees
 over small discrete features (format: digits, separators, dots, brackets;
 context: neighbouring characters, cue words before) score them.  The trees
 learn to tell candidates that a rule confirms from the others, without
 seeing what the rules check (checksum, ranges, plus sign), so a candidate
 that looks and stands like personal data is selected though no rule confirms
-it.  Selected candidates do not overlap base spans or each other.
+it.  They learn from whole runs and addresses; parts are only scored, so that
+of two numbers side by side, or of one beside a base span, each can be found.
+Selected candidates do not overlap base spans or each other.
 
 Fitting needs counts per feature cell only.  These come from one aggregation
 over all documents; there are at most ``CELLS`` cells, so the driver's part is
@@ -41,6 +44,8 @@ CUES = "mail|contact|phone|tel|call|mobile|fax|card|visa|account|ip|host|address
 FEATURES = {"shape": 2, "digits": 8, "seps": 4, "dots": 4, "brackets": 2, "before": 3, "after": 3, "cue": 2}
 CELLS = 2 * int(np.prod(list(FEATURES.values())))
 SPAN = "array<struct<kind:int,start:int,stop:int>>"
+CANDIDATE = f"array<struct<start:int,stop:int,{','.join(f'{f}:int' for f in FEATURES)}>>"
+RUN = r"\+?[0-9(][0-9\x20().-]{5,}[0-9]"
 
 
 @dataclass(frozen=True)
@@ -133,34 +138,86 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINT[kind]), spans).otherwise(F.array().cast(SPAN))
 
 
+def _side(c: Column) -> Column:
+    return F.when(c.rlike(r"^[\x20\x09-\x0D]?$"), 0).when(c.rlike(r"^[\p{L}\p{N}]$"), 1).otherwise(2)
+
+
+def _cell(n: Column) -> Column:
+    """Value of the feature digits for ``n`` digits."""
+    return F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 16, 4).when(n == 16, 5).when(n < 20, 6).otherwise(7)
+
+
+def _around(text: Column, x: Column) -> tuple[Column, Column, Column]:
+    """The features before, after and cue of the span ``x``."""
+    near = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+    return (_side(F.substring(text, x["start"], F.when(x["start"] > 0, 1).otherwise(0))).alias("before"),
+            _side(F.substring(text, x["stop"] + 1, F.lit(1))).alias("after"), near.rlike(f"(?i)(?:{CUES})").cast("int").alias("cue"))
+
+
+def _count(x: Column, chars: str) -> Column:
+    return F.length(x) - F.length(F.translate(x, chars, ""))
+
+
+def parts(text: Column) -> Column:
+    """Proposed spans inside the number runs of a cleaned text: neighbouring
+    groups of digits, with the cue of their run."""
+    runs = F.filter(_cut(_mark(text, RUN)), lambda x: x["match"].rlike("[0-9][^0-9]+[0-9]"))
+    runs = F.transform(runs, lambda x: F.struct(            # gaps[i] stands before groups[i]
+        x["start"].alias("start"), F.split(x["match"], "[0-9]+").alias("gaps"),
+        F.filter(F.split(x["match"], "[^0-9]+"), lambda g: g != "").alias("groups"), *_around(text, x)))
+
+    def place(acc, i, x):
+        at = acc["at"] + F.length(x["gaps"][i])
+        return F.struct((at + F.length(x["groups"][i])).alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    runs = F.transform(runs, lambda x: F.struct(x["gaps"].alias("gaps"), x["groups"].alias("groups"), *(
+        x[c].alias(c) for c in ("before", "after", "cue")), F.aggregate(
+            F.sequence(F.lit(0), F.size(x["groups"]) - 1),
+            F.struct(x["start"].alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, i: place(acc, i, x), lambda acc: acc["out"]).alias("at")))
+
+    def grow(acc, j, i, x):
+        """The span from group i, up to group j."""
+        last = F.size(x["groups"]) - 1
+        n = acc["n"] + F.length(x["groups"][j])
+        gap = F.when(j > i, x["gaps"][j]).otherwise("")
+        seps, dots, brackets = (acc[c] + _count(gap, chars) for c, chars in (("seps", " -"), ("dots", "."), ("brackets", "()")))
+        outer = lambda end, own, inner: F.when(end, x[own]).when(inner, 0).otherwise(2).alias(own)
+        one = F.struct(
+            x["at"][i].alias("start"), (x["at"][j] + F.length(x["groups"][j])).alias("stop"), F.lit(0).alias("shape"),
+            _cell(n).alias("digits"), F.least(seps, F.lit(3)).alias("seps"), F.least(dots, F.lit(3)).alias("dots"),
+            F.least(brackets, F.lit(1)).alias("brackets"),
+            outer((i == 0) & (x["gaps"][0] == ""), "before", x["gaps"][i].endswith(" ")),
+            outer(j == last, "after", x["gaps"][j + 1].startswith(" ")), x["cue"].alias("cue"))
+        fits = n.between(7, 19) & ~((i == 0) & (j == last))
+        return F.struct(n.alias("n"), seps.alias("seps"), dots.alias("dots"), brackets.alias("brackets"),
+                        F.when(fits, F.concat(acc["out"], F.array(one).cast(CANDIDATE))).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(*(F.lit(0).alias(c) for c in ("n", "seps", "dots", "brackets")), F.array().cast(CANDIDATE).alias("out"))
+    each = F.transform(runs, lambda x: F.flatten(F.transform(
+        F.sequence(F.lit(0), F.size(x["groups"]) - 1),
+        lambda i: F.aggregate(F.sequence(i, F.least(i + 18, F.size(x["groups"]) - 1)), zero,
+                              lambda acc, j: grow(acc, j, i, x), lambda acc: acc["out"]))))
+    return F.when(text.rlike(r"[0-9][0-9\x20().-]{5}"), F.flatten(each)).otherwise(F.array().cast(CANDIDATE))
+
+
 def candidates(text: Column) -> Column:
-    """Proposed spans of a cleaned text with their features."""
-    runs = r"\+?[0-9(][0-9\x20().-]{5,}[0-9]"
+    """Proposed whole runs and addresses of a cleaned text with their features."""
     said = r"(?i)[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}(?:\.|\(dot\)|\[dot\])[A-Za-z]{2,}"
 
     def describe(x, shape):
         m = x["match"]
-        near = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-        n = F.length(_digits(m))
-        count = lambda chars: F.length(m) - F.length(F.translate(m, chars, ""))
-        side = lambda c: (F.when(c.rlike(r"^[\x20\x09-\x0D]?$"), 0)
-                          .when(c.rlike(r"^[\p{L}\p{N}]$"), 1).otherwise(2))
         return F.struct(
             x["start"].alias("start"), x["stop"].alias("stop"), F.lit(shape).alias("shape"),
-            F.least(F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 16, 4)
-                    .when(n == 16, 5).when(n < 20, 6).otherwise(7), F.lit(7)).alias("digits"),
-            F.least(count(" -"), F.lit(3)).alias("seps"), F.least(count("."), F.lit(3)).alias("dots"),
-            F.least(count("()"), F.lit(1)).alias("brackets"),
-            side(F.substring(text, x["start"], F.when(x["start"] > 0, 1).otherwise(0))).alias("before"),
-            side(F.substring(text, x["stop"] + 1, F.lit(1))).alias("after"),
-            near.rlike(f"(?i)(?:{CUES})").cast("int").alias("cue"))
+            _cell(F.length(_digits(m))).alias("digits"),
+            F.least(_count(m, " -"), F.lit(3)).alias("seps"), F.least(_count(m, "."), F.lit(3)).alias("dots"),
+            F.least(_count(m, "()"), F.lit(1)).alias("brackets"), *_around(text, x))
 
     # a leading bracket or plus belongs to the span; the mark is the whole match
-    number = F.transform(_cut(_mark(text, runs)), lambda x: describe(x, 0))
+    number = F.transform(_cut(_mark(text, RUN)), lambda x: describe(x, 0))
     spelled = F.transform(_cut(_mark(text, said)), lambda x: describe(x, 1))
-    kind = f"array<struct<start:int,stop:int,{','.join(f'{f}:int' for f in FEATURES)}>>"
-    return F.concat(F.when(text.rlike(r"[0-9][0-9\x20().-]{5}"), number).otherwise(F.array()).cast(kind),
-                    F.when(text.rlike(r"(?i)@|[(\[]at[)\]]"), spelled).otherwise(F.array()).cast(kind))
+    return F.concat(F.when(text.rlike(r"[0-9][0-9\x20().-]{5}"), number).otherwise(F.array()).cast(CANDIDATE),
+                    F.when(text.rlike(r"(?i)@|[(\[]at[)\]]"), spelled).otherwise(F.array()).cast(CANDIDATE))
 
 
 def _overlaps(a, b):
@@ -245,17 +302,17 @@ def find(docs: DataFrame, m: Boosted, p: PiiParams = PiiParams()) -> DataFrame:
     struct<kind, start, stop>, each by kind, then start; kinds count in the
     order of ``KINDS``."""
     out = with_spans(docs)
-    scored = F.transform("__cands", lambda c: F.struct(
-        probability(c, m).alias("p"), (-c["start"]).alias("first"), c["start"].alias("start"), c["stop"].alias("stop"),
+    # in the order of choice: what can be one number, the most probable, the first, the longest
+    scored = F.transform(F.concat("__cands", parts(F.col("__text"))), lambda c: F.struct(
+        ((c["shape"] == 0) & (c["digits"] == 7)).alias("over"), (-probability(c, m)).alias("p"), c["start"].alias("start"),
+        (-c["stop"]).alias("last"), c["stop"].alias("stop"),
         F.when(c["shape"] == 1, 0).when(c["dots"] == 3, 1).when(c["digits"] >= 5, 2).otherwise(3).alias("kind")))
-    free = F.filter(scored, lambda c: (c["p"] >= p.threshold) & ~F.exists("__base", lambda b: _overlaps(b, c)))
-    out = out.withColumn("__free", free)
-    # of overlapping ones the most probable stays, then the first and longest
-    rank = lambda c: F.struct(c["p"], c["first"], c["stop"], c["kind"])
-    chosen = F.filter("__free", lambda c: ~F.exists("__free", lambda d: _overlaps(c, d) & (rank(d) > rank(c))))
-    added = F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop")))
-    return (out.withColumn("all_spans", F.array_sort(F.concat("__base", F.array_distinct(added).cast(SPAN))))
-            .withColumn("base_spans", F.col("__base")).drop("__text", "__base", "__cands", "__free"))
+    free = F.filter(scored, lambda c: (c["p"] <= -p.threshold) & ~F.exists("__base", lambda b: _overlaps(b, c)))
+    added = F.aggregate(F.array_sort(free), F.array().cast(SPAN), lambda acc, c: F.when(
+        F.exists(acc, lambda d: _overlaps(c, d)), acc).otherwise(F.concat(acc, F.array(F.struct(
+            c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))).cast(SPAN))))
+    return (out.withColumn("all_spans", F.array_sort(F.concat("__base", added)))
+            .withColumn("base_spans", F.col("__base")).drop("__text", "__base", "__cands"))
 
 
 def spelled(spans: Column) -> Column:

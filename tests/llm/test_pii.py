@@ -77,3 +77,24 @@ def test_trees_add_lookalikes_and_redaction(spark):
     assert P.find(df.limit(0).drop("all_spans"), P.fit(df.limit(0))).count() == 0
     plan = P.redact(df, m)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_numbers_side_by_side_are_found(spark):
+    rng = random.Random(6)
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    rows = [(i, f"the number {card()} and more of it") for i in range(300)]
+    rows += [(400 + i, f"totals 12 {i} 7 of 3.5 and 1{i} 2 3 x") for i in range(300)]
+    one, two = card(), card()
+    rows += [(900, f"the number {one} {two} and more"), (901, f"the 10.0.0.1 {one} and"), (902, f"of {one} {two} {one} it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = P.fit(df)
+    out = {r.doc_id: [(P.KINDS[x.kind], x.start, x.stop) for x in r.all_spans] for r in P.find(df, m).collect()}
+    assert out[900] == [("card", 11, 27), ("card", 28, 44)]
+    assert out[901] == [("ip", 4, 12), ("card", 13, 29)]
+    assert [x[1:] for x in out[902]] == [(3, 19), (20, 36), (37, 53)]
+    assert not out[401]
+    assert P.redact(df, m).where("doc_id = 900").head().text == "the number [card] [card] and more"
