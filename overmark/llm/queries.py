@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, licenses, lm, pieces, pii, quality, repeats
-from .common import bucket, table
+from . import chat, decontam, jaccard, langid, licenses, lm, packing, periodic, pieces, pii, quality, repeats, variants
+from .common import bucket, map_arrow, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -132,3 +136,70 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that repeat a 50-byte string of an earlier one."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def misspell(key, run: str) -> str:
+    """Deletes one letter of a 97th of the runs, chosen by a hash of the
+    document's id (NULL: of none) and the run."""
+    h = 1 if key is None else zlib.crc32(f"{key}:{run}".encode())
+    if h % 97:
+        return run
+    at = h % len(run)
+    return run[:at] + run[at + 1:]
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent spelling one edit away."""
+    return variants.group(variants.count_words(table(spark, sf_dir, "documents"), misspell))
+
+
+def plant_period(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents, by a hash of the id,
+    repeat a stretch of their own words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = docs.select("doc_id", "text", h.alias("h")).select(
+        "doc_id", "text", F.floor(F.col("h") / 10).alias("g"),
+        F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("words"))
+    d = d.select("doc_id", "text", "g", "words", F.when(F.size("words") > 0, F.size("words").cast("long")).alias("n"))
+    d = d.select("doc_id", "text", "g", "words", "n", (F.col("g") % F.col("n")).alias("a"))
+    d = d.select("doc_id", "text", "words", "n", "a",
+                 (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).alias("p"))
+    i = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    at = F.transform(i, lambda x: F.get("words", F.when(x < F.col("a"), x).otherwise(
+        F.col("a") + (x - F.col("a")) % F.col("p")).cast("int")))
+    return d.select("doc_id", F.when(F.col("n").isNotNull(), F.array_join(at, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, the longest one and digests."""
+    got = periodic.find_runs(plant_period(table(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    spelled = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"),
+        F.lit("\n"))), "")
+    return got.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.floor(F.lit(1000) * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"),
+        _hex(spelled).alias("runs_sha256"), _hex(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    pieces_ = packing.pieces(table(spark, sf_dir, "documents"))
+    placed, _ = packing.assign(pieces_.select("key", F.col("length").alias("size")))
+
+    def digest(batch):
+        ids = batch.column(5)
+        off, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(off[:-1], off[1:])]
+        return [*batch.columns[:5], pa.array(np.array(crc, np.int64))]
+
+    kind = pieces_.schema["doc_id"].dataType.simpleString()
+    rows = map_arrow(pieces_.select("key", "doc_id", "piece", "start", "length", "ids"), digest,
+                     f"key long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.join(placed, "key").drop("key")
