@@ -11,8 +11,9 @@ from overmark.llm import queries as Q
 
 @pytest.fixture(scope="module")
 def tokenizer():
+    import public_tokenizers
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(K.tokenizer_path())
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def checked(rows, length=2048):
@@ -49,14 +50,16 @@ def test_query_rebuilds_every_document(spark, tokenizer):
     assert checked(rows) <= -(-total // 2048) + 1
 
 
-def test_words_are_coded_as_in_the_whole_text(tokenizer):
-    with open(K.tokenizer_path(), encoding="utf-8") as f:
-        e = K.Encoder(f.read())
+def test_ids_are_those_of_the_tokenizers_file(tokenizer):
+    e = K.encoder(*K.vocabulary())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{x}b {x} {x}1{x}{x} \n{x}\n" for x in points[k:k + 200]) for k in range(0, len(points), 200)]
     rng = np.random.default_rng(1)
-    parts = [*" \t\n\r 　éÀ×÷ÿaZ09'._-日́\x00\x85", " ", "word", "'ll", " <|endoftext|>", "\U0001F600", "x" * 40]
-    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(4000)]
-    for a, b in zip(e.encode(texts), tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert a.tolist() == b.ids
+    parts = [*" \t\n\r 　éÀ×÷ÿaZ09'._-日́\x00\x85", " ", "word", "'ll", " <|endoftext|>", "\U0001F600", "x" * 40]
+    texts += ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(4000)]
+    texts += ["x" * 20_000, " " * 20_000, "1" * 20_000]
+    for text, b in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert e.encode_to_numpy(text, allowed_special="all").tolist() == b.ids
 
 
 def test_functions_are_dual_feasible_and_best_fit_is_best_fit():
