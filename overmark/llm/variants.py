@@ -13,7 +13,9 @@ the same place or one later, one shorter at the same place or one before.
 And it lies after the first pivot or before the second: then the letters up
 to the first, or from the second on, are equal too.  The join key is a hash
 of the bigram, the length, the place and those letters; the join's condition
-verifies the pair by edit distance, so only true pairs leave it.
+verifies the pair by edit distance, so only true pairs leave it.  Before that
+it compares the words' letters as sets of 64 hashed bits: one edit takes one
+letter away and adds one at most.
 
 The table of bigram counts has 2**16 hashed entries whatever the input (a
 shared entry only makes a bigram count as less rare).
@@ -125,7 +127,7 @@ def pivots(place: np.ndarray, weight: np.ndarray, wanted: int = 2, width: int =
 
 
 def _signatures(words: pa.Array, n: pa.Array, counts: np.ndarray):
-    """Columns side, sig, last_rank, last_code, word, n: prefix rows (side 0)
+    """Columns side, sig, letters, last_rank, last_code, word, n: prefix rows (side 0)
     and pivot rows (side 1).  ``sig`` hashes the bigram, length, place and the
     letters left (0) or right (1) of it; the first pivot has one with those on
     its left, the second with those on its right, for every length and place
@@ -138,7 +140,9 @@ def _signatures(words: pa.Array, n: pa.Array, counts: np.ndarray):
     owner, place, code, rank = owner[order], place[order], code[order], rank[order]
     at = bounds[owner] + place
     spans = B.Spans(B.mix(points.astype(U64) + U64(1)))
-    letters = [spans.hash(bounds[owner], at), spans.hash(at + 2, bounds[owner + 1])]
+    sides = [spans.hash(bounds[owner], at), spans.hash(at + 2, bounds[owner + 1])]
+    bit = U64(1) << (B.mix(points.astype(U64)) & U64(63))
+    letters = np.bitwise_or.reduceat(np.append(bit, U64(0)), bounds[:-1]).astype(np.int64)
     first = np.searchsorted(owner, np.arange(len(size)))
     usable = np.flatnonzero(size >= MIN_LENGTH)
     three = first[usable][:, None] + np.arange(3)
@@ -152,7 +156,7 @@ def _signatures(words: pa.Array, n: pa.Array, counts: np.ndarray):
 
     def add(side, i, hand, more, shift):
         where = (size[owner[i]] + more) << 32 | (place[i] + shift) << 1 | hand
-        sig = B.mix(B.mix(letters[hand][i] ^ B.mix(code[i].astype(U64))) ^ where.astype(U64))
+        sig = B.mix(B.mix(sides[hand][i] ^ B.mix(code[i].astype(U64))) ^ where.astype(U64))
         for col, x in zip(out, (np.full(len(i), side, np.int32), sig.astype(np.int64), owner[i])):
             col.append(x)
 
@@ -162,20 +166,22 @@ def _signatures(words: pa.Array, n: pa.Array, counts: np.ndarray):
             add(1, chosen[:, hand], hand, more, more * hand)
     side, sig, w = (np.concatenate(x) for x in out)
     take = pa.array(w)
-    return [pa.array(side), pa.array(sig), pa.array(last_rank[w]), pa.array(last_code[w]), words.take(take), n.take(take)]
+    return [pa.array(side), pa.array(sig), pa.array(letters[w]), pa.array(last_rank[w]), pa.array(last_code[w]),
+            words.take(take), n.take(take)]
 
 
 def near_pairs(vocab: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n) of all words one edit apart, each pair once."""
     counts = bigram_counts(vocab)
     rows = written(map_arrow(vocab.select("word", "n"), lambda x: _signatures(x.column(0), x.column(1), counts),
-                             "side int, sig long, last_rank long, last_code long, word string, n long"),
+                             "side int, sig long, letters long, last_rank long, last_code long, word string, n long"),
                    "variant-signatures")
     pivot = rows.where("side = 1").select("sig", *[F.col(c).alias(f"p_{c}") for c in rows.columns[2:]])
     prefix = rows.where("side = 0").drop("side")
     earlier = (F.col("p_last_rank") < F.col("last_rank")) | (
         (F.col("p_last_rank") == F.col("last_rank")) & (F.col("p_last_code") <= F.col("last_code")))
-    cond = (pivot["sig"] == prefix["sig"]) & earlier & (F.levenshtein("p_word", "word", 1) == 1)
+    alike = F.bit_count(F.col("p_letters").bitwiseXOR(F.col("letters"))) <= 2
+    cond = (pivot["sig"] == prefix["sig"]) & alike & earlier & (F.levenshtein("p_word", "word", 1) == 1)
     one, two = F.struct(F.col("p_word").alias("w"), F.col("p_n").alias("n")), F.struct(F.col("word").alias("w"), F.col("n"))
     return (pivot.join(prefix, cond)
             .select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))

@@ -95,6 +95,6 @@ def test_edges(spark):
     got = {r[0]: r for r in rows(V.group(words))}
     assert got["color"][1:] == (None, "color", 3, 1, None) and got["kitten"][4] == 0
     assert V.count_words(df.limit(0)).count() == 0 and V.group(words.limit(0)).count() == 0
-    odd = spark.createDataFrame([(None, 3), ("words", None), ("abc", 5), ("abd", 50)], "word string, n long")
-    assert rows(V.group(odd)) == [("abc", None, "abc", 5, 0, None), ("abd", None, "abd", 50, 0, None)]
+    odd = spark.createDataFrame([(None, 3), ("words", None), ("abc", 5), ("abd", 50), ("", 1)], "word string, n long")
+    assert rows(V.group(odd)) == [("", None, "", 1, 0, None), ("abc", None, "abc", 5, 0, None), ("abd", None, "abd", 50, 0, None)]
     assert Q.misspell(None, "word") == "word"
