@@ -3,42 +3,91 @@ careers (D-26).
 
 The effect model is a weighted binomial GLM with a logit offset, one
 coefficient per person and no intercept.  Its design matrix is one-hot by
-person, so the likelihood separates: every person's coefficient solves its
-own one-parameter problem.  ``player_effects`` runs Newton's method for all
-persons at once as a sequence of grouped aggregates over the rows:
-
-    b ← b + Σ w (y − μ) / Σ w μ (1 − μ),   μ = 1 / (1 + exp(−(b + offset)))
-
-Each iteration is one partial-aggregated ``groupBy(person)`` over the rows
-joined to the (small, size-checked broadcast) parameter table, so a person
-with a third of all rows is still summed map-side; no person's rows are
-ever collected into one task or the driver.  The parameter table is written
-to the shared checkpoint folder each iteration, which keeps the plan flat
-and lets a lost executor resume from the last iterate.
+person, so the likelihood separates: every person's coefficient b solves
+
+    sum w y = sum w mu(b + offset),   mu(x) = 1 / (1 + exp(-x)).
+
+The left side is one number per person.  The right side needs the offsets
+only through the weight near each of them: offsets are cut into cells of
+width 1/32, and a cell keeps the moments sum w d^k, k = 0..4, of the distance
+d from its middle.  mu(b + middle + d) is then its Taylor series, exact to
+about 1e-12 a unit of weight.  Moments add, so cells are partial-aggregated
+like any sum: one pass over the rows, a hot person's rows are summed map side
+wherever they lie, and a person is left with few cells (the logit of a double
+lies in [-745, 37], so there are at most 25,024).  Newton's method runs on
+the cells of a person inside one expression; no further pass, no driver
+loop, no Python.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import safe
+from ..functions.stats import let, two_sided_p
 from ..sources.sinks import materialize
-from .common import join_small, last_non_null, running_aggs
+from .common import last_non_null, running_aggs
 
 Z975 = 1.959963984540054  # standard normal 97.5% quantile
-
-
-@pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """2·(1 − Φ(|z|)) = erfc(|z|/√2); Spark SQL has no erf/erfc."""
-    vals = [math.erfc(abs(v) / math.sqrt(2.0)) if pd.notna(v) else None for v in z]
-    return pd.Series(vals, dtype="object")      # None → NULL (a NaN would stay NaN)
+CELL = 32                 # cells a unit of the offset
+MOMENTS = ["m0", "m1", "m2", "m3", "m4"]
+
+
+def _score_parts(cells: Column, b: Column) -> Column:
+    """struct(mean, info): sums over cells of w mu and of w mu (1 - mu) at
+    ``b``, by the Taylor series of mu around each cell's middle."""
+    at = F.transform(cells, lambda c: F.struct(
+        c.alias("c"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-(b + c["middle"])))).alias("mu")))
+    at = F.transform(at, lambda x: F.struct(
+        x["c"].alias("c"), x["mu"].alias("mu"), (x["mu"] * (1 - x["mu"])).alias("s"), (1 - 2 * x["mu"]).alias("q")))
+
+    def add(total, x):
+        m, s, q = x["c"], x["s"], x["q"]
+        d = [x["mu"], s, s * q, s * (1 - 6 * s), s * q * (1 - 12 * s), s * (1 - 30 * s + 120 * s * s)]
+        taylor = lambda k: (m["m0"] * d[k] + m["m1"] * d[k + 1] + m["m2"] * d[k + 2] / 2 + m["m3"] * d[k + 3] / 6
+                            + m["m4"] * d[k + 4] / 24)
+        return F.struct((total["mean"] + taylor(0)).alias("mean"), (total["info"] + taylor(1)).alias("info"))
+
+    zero = F.lit(0.0)
+    return F.aggregate(at, F.struct(zero.alias("mean"), zero.alias("info")), add)
+
+
+def _solve(cells: Column, wins: Column, lo: Column, hi: Column, start: Column, max_iter: int, tol: float) -> Column:
+    """struct(b, delta, info): the root of wins = mean(b) in [lo, hi] by
+    Newton steps; one that leaves the bracket is replaced by its middle."""
+    none = F.lit(None).cast("double")
+    state = lambda lo, hi, b, delta: F.struct(lo.alias("lo"), hi.alias("hi"), b.alias("b"), delta.alias("delta"))
+
+    def step(x, _):
+        def move(p):
+            score = wins - p["mean"]
+            low = F.when(score > 0, x["b"]).otherwise(x["lo"])
+            high = F.when(score < 0, x["b"]).otherwise(x["hi"])
+            newton = x["b"] + F.try_divide(score, p["info"])
+            nxt = (F.when(score == 0, x["b"]).when((newton >= low) & (newton <= high), newton)
+                   .otherwise((low + high) / 2))
+            return let(nxt, lambda n: state(low, high, n, F.abs(n - x["b"])))
+        return F.when(x["delta"] < tol, x).otherwise(let(_score_parts(cells, x["b"]), move))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(max_iter)), state(lo, hi, start, none), step)
+    return let(done, lambda x: F.struct(x["b"].alias("b"), x["delta"].alias("delta"),
+                                        _score_parts(cells, x["b"])["info"].alias("info")))
+
+
+def effect_cells(rows: DataFrame, person: str, names: list[str], y: str, offset: str, minutes: str) -> DataFrame:
+    """Sufficient statistics of the effect model per (person, names, cell)."""
+    d = rows.select(F.col(person).alias("_p"), *names, F.col(y).cast("double").alias("_y"),
+                    F.col(offset).cast("double").alias("_o"), (F.col(minutes) / 36.0).alias("_w"))
+    d = d.withColumn("_cell", F.round(F.col("_o") * CELL).cast("long"))
+    away = F.col("_o") - F.col("_cell") / F.lit(float(CELL))
+    moment, sums = F.col("_w"), []
+    for m in MOMENTS:
+        sums.append(F.sum(moment).alias(m))
+        moment = moment * away
+    return d.groupBy("_p", *names, "_cell").agg(
+        *sums, F.sum(F.col("_w") * F.col("_y")).alias("_wins"), F.sum("_y").alias("_ny"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.col("_w") * F.col("_o")).alias("_wo"), F.min("_o").alias("_omin"), F.max("_o").alias("_omax"))
 
 
 def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_win",
@@ -56,7 +105,8 @@ def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_
     a NULL in any of them are dropped, and only rows with an outcome of 0/1,
     an expectation strictly inside (0, 1) and positive minutes are kept.
     """
-    required = [person, "first_name", "last_name", y, "expected_win_prob", offset, minutes]
+    names = ["first_name", "last_name"]
+    required = [person, *names, y, "expected_win_prob", offset, minutes]
     missing = [c for c in required if c not in rows.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
@@ -64,57 +114,27 @@ def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_
             .where(F.col(y).try_cast("bigint").isin(0, 1)
                    & (F.col("expected_win_prob") > 0) & (F.col("expected_win_prob") < 1)
                    & (F.col(minutes) > 0)))
-    d = rows.select(F.col(person).alias("_p"), F.col(y).cast("double").alias("_y"),
-                    F.col(offset).cast("double").alias("_o"), (F.col(minutes) / 36.0).alias("_w"))
-    d = materialize(d, "glm_rows")
-    # The root lies between logit(ybar) - max(offset) and logit(ybar) - min(offset),
-    # ybar being the weighted mean outcome: a bracket that Newton steps must stay in.
-    stats = d.groupBy("_p").agg(F.sum("_y").alias("_ny"), F.count(F.lit(1)).alias("_n"),
-                                (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_mean"),
-                                F.min("_o").alias("_omin"), F.max("_o").alias("_omax"))
-    flags = materialize(stats.select(
-        "_p", ((F.col("_ny") == 0) | (F.col("_ny") == F.col("_n"))).alias("separated"), "_mean", "_omin", "_omax"),
-        "glm_flags")
-    logit = F.log(F.col("_mean") / (1 - F.col("_mean")))
-    params = flags.where(~F.col("separated")).select(
-        "_p", (logit - F.col("_omax")).alias("_lo"), (logit - F.col("_omin")).alias("_hi")).select(
-        "_p", "_lo", "_hi", ((F.col("_lo") + F.col("_hi")) / 2).alias("_b"))
-    flags = flags.select("_p", "separated")
-
-    def newton_step(params: DataFrame) -> DataFrame:
-        """One pass over the rows: score and information at the current b per
-        person (partial-aggregated groupBy), the bracket narrowed by the
-        score's sign, and Newton's next b, or the bracket's middle if that
-        leaves it."""
-        j = d.join(params.select("_p", "_lo", "_hi", "_b"), "_p", "inner")
-        mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_b") + F.col("_o"))))
-        s = j.groupBy("_p").agg(F.first("_b").alias("_b0"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-                                F.sum(F.col("_w") * (F.col("_y") - mu)).alias("_score"),
-                                F.sum(F.col("_w") * mu * (F.lit(1.0) - mu)).alias("_info"))
-        s = s.withColumns({"_lo": F.when(F.col("_score") > 0, F.col("_b0")).otherwise(F.col("_lo")),
-                           "_hi": F.when(F.col("_score") < 0, F.col("_b0")).otherwise(F.col("_hi"))})
-        newton = F.col("_b0") + F.try_divide(F.col("_score"), F.col("_info"))
-        nxt = (F.when(F.col("_score") == 0, F.col("_b0"))
-               .when((newton >= F.col("_lo")) & (newton <= F.col("_hi")), newton)
-               .otherwise((F.col("_lo") + F.col("_hi")) / 2))
-        return s.select("_p", "_lo", "_hi", nxt.alias("_b"), "_info", F.abs(nxt - F.col("_b0")).alias("_delta"))
-
-    iterations = 0
-    for iterations in range(1, max_iter + 1):
-        params = materialize(newton_step(params), "glm_params")
-        delta = params.agg(F.max("_delta")).first()[0]
-        if delta is None or delta < tol:
-            break
-
-    # standard errors from the information of the last pass; at convergence
-    # (|Δb| < tol) it differs from the information at the final b by O(tol)
-    done = F.col("_delta") < tol if iterations else F.lit(None).cast("boolean")
-    fin = params.select("_p", "_b", "_info", done.alias("converged"))
-    se = F.try_divide(F.lit(1.0), F.sqrt(F.col("_info")))
-    coef = (flags.join(fin, "_p", "left")
-            .select(F.col("_p").alias(person), "separated", F.coalesce("converged", F.lit(False)).alias("converged"),
-                    F.when(~F.col("separated"), F.col("_b")).alias("log_odds_over_expected"),
-                    F.when(~F.col("separated"), se).alias("std_error")))
+    cells = materialize(effect_cells(rows, person, names, y, offset, minutes), "glm_cells")
+    sums = [F.sum(c).alias(c) for c in (*MOMENTS, "_wins", "_ny", "_n", "_wo")]
+    per_cell = cells.groupBy("_p", "_cell").agg(*sums, F.min("_omin").alias("_omin"), F.max("_omax").alias("_omax"))
+    cell = F.struct("_cell", (F.col("_cell") / F.lit(float(CELL))).alias("middle"), *MOMENTS)
+    per = per_cell.groupBy("_p").agg(
+        F.array_sort(F.collect_list(cell)).alias("_cells"), F.sum("m0").alias("_w"),
+        *[F.sum(c).alias(c) for c in ("_wins", "_ny", "_n", "_wo")],
+        F.min("_omin").alias("_omin"), F.max("_omax").alias("_omax"))
+    per = per.withColumn("separated", (F.col("_ny") == 0) | (F.col("_ny") == F.col("_n")))
+    # The root lies between logit(ybar) - max(offset) and logit(ybar) - min(offset), ybar being the weighted mean
+    # outcome: a bracket that Newton steps must stay in; the mean offset, inside it, is the start.
+    logit = F.log(F.col("_wins") / (F.col("_w") - F.col("_wins")))
+    per = per.withColumn("_logit", F.when(~F.col("separated"), logit))
+    per = per.withColumns({"_lo": F.col("_logit") - F.col("_omax"), "_hi": F.col("_logit") - F.col("_omin")})
+    start = F.least(F.greatest(F.col("_logit") - F.col("_wo") / F.col("_w"), F.col("_lo")), F.col("_hi"))
+    fit = per.select("_p", "separated", F.when(~F.col("separated"), _solve(
+        F.col("_cells"), F.col("_wins"), F.col("_lo"), F.col("_hi"), start, max_iter, tol)).alias("_fit"))
+    coef = fit.select(
+        F.col("_p").alias(person), "separated", F.coalesce(F.col("_fit.delta") < tol, F.lit(False)).alias("converged"),
+        F.col("_fit.b").alias("log_odds_over_expected"),
+        F.try_divide(F.lit(1.0), F.sqrt(F.col("_fit.info"))).alias("std_error"))
     coef = coef.withColumn("z", safe.safe_divide("log_odds_over_expected", "std_error"))
     coef = coef.select(
         "*",
@@ -125,10 +145,9 @@ def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_
         F.concat(F.lit(f"C({person})["), F.col(person).cast("string"), F.lit("]")).alias("player_term"), "*",
         F.exp("log_odds_over_expected").alias("odds_multiplier_over_expected"),
         F.exp("ci_lower").alias("odds_multiplier_ci_lower"),
-        F.exp("ci_upper").alias("odds_multiplier_ci_upper"),
-        F.lit(iterations).alias("iterations"))
-    names = rows.select(person, "first_name", "last_name").dropDuplicates()
-    out = join_small(coef, names, person, "left")
+        F.exp("ci_upper").alias("odds_multiplier_ci_upper"))
+    spelled = cells.select(F.col("_p").alias(person), *names).distinct()
+    out = coef.join(spelled, person, "left")
     out = out.withColumn("player_name", F.concat(F.col("first_name"), F.lit(" "), F.col("last_name")))
     return out.orderBy(F.col("log_odds_over_expected").desc_nulls_last(), F.col(person))
 

@@ -77,3 +77,57 @@ def test_far_starts_converge(spark, expected, wins, n, root):
     r = M.player_effects(df).first()
     assert r["converged"] and abs(r["log_odds_over_expected"] - root) < 1e-3
     assert abs(r["log_odds_over_expected"] - (math.log(wins / (n - wins)) - off)) < 1e-8
+
+
+def test_effects_are_exact_where_newton_is_hard(spark):
+    """Hot persons with thousands of distinct offsets, far offsets, and
+    outcomes far from expectation, against bisection on the rows."""
+    random.seed(4)
+    rows = []
+    for p, n, spread, shift in ((1, 20000, 1.0, 0.3), (2, 400, 12.0, 0.0), (3, 300, 0.5, 8.0), (4, 60, 30.0, -3.0)):
+        for i in range(n):
+            off = random.gauss(0, spread)
+            up = 1 / (1 + math.exp(-max(-700, min(700, off + shift))))
+            y = (i % 2) if p == 4 else int(random.random() < up)
+            rows.append((p, f"F{p}", f"L{p}", y, off, random.uniform(0.5, 300)))
+        rows.append((p, f"F{p}", f"L{p}", 0, shift, 30.0))
+        rows.append((p, f"F{p}", f"L{p}", 1, shift, 30.0))
+    df = spark.createDataFrame(rows, "person_id bigint, first_name string, last_name string, actual_win bigint, "
+                                     "expected_logit double, series_minutes double")
+    got = {r["person_id"]: r for r in M.player_effects(df.withColumn("expected_win_prob", F.lit(0.5))).collect()}
+    for p in (1, 2, 3, 4):
+        mine = [(r[3], r[4], r[5] / 36) for r in rows if r[0] == p]
+        mu = lambda x: 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+        lo, hi = -60.0, 60.0
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            score = math.fsum(w * (y - mu(mid + o)) for y, o, w in mine)
+            lo, hi = (mid, hi) if score > 0 else (lo, mid)
+        info = math.fsum(w * mu(lo + o) * (1 - mu(lo + o)) for _, o, w in mine)
+        assert got[p]["converged"] and not got[p]["separated"]
+        assert abs(got[p]["log_odds_over_expected"] - lo) < 1e-8
+        assert abs(got[p]["std_error"] * math.sqrt(info) - 1) < 1e-8
+
+
+def test_normal_tail(spark):
+    from overmark.functions.stats import two_sided_p
+    zs = [0.0, 1e-9, 0.3, -1.0, 1.959963984540054, 2.999999, 3.0, -3.5, 5.0, 8.0, 20.0, 37.0, None]
+    for z, p in spark.createDataFrame([(z,) for z in zs], "z double").select("z", two_sided_p(F.col("z"))).collect():
+        if z is None:
+            assert p is None
+        else:
+            assert abs(p - math.erfc(abs(z) / math.sqrt(2))) <= 1e-12 * math.erfc(abs(z) / math.sqrt(2)) + 1e-300
+
+
+def test_effects_read_the_rows_once_and_use_no_python(spark, tmp_path):
+    src = synthetic(spark)
+    src.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    cells = M.effect_cells(rows, "person_id", ["first_name", "last_name"], "actual_win", "expected_logit",
+                           "series_minutes")
+    text = cells._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and text.count("hashpartitioning") == 1
+    text = M.player_effects(rows)._jdf.queryExecution().toString()
+    assert str(tmp_path) not in text            # what follows reads the cells only
+    assert "Python" not in text and "ArrowEval" not in text
+    assert M.player_effects(rows.limit(0)).count() == 0
