@@ -1,176 +1,19 @@
-"""Join and window building blocks that hold up under skew.
-
-* ``running_sum`` / ``running_count`` / ``dense_rank_by`` — cumulative
-  windows per key computed in two levels (bucket totals → exclusive prefix →
-  within-bucket window), so one hot key is spread over many tasks instead of
-  a single sorted partition.
-"""
+"""Aggregate building blocks that hold up under skew; the cumulative windows
+are in ``prefix``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """A side table that may be small.  The choice is left to the session's
-    broadcast threshold and to AQE, which knows sizes at run time; only tables
-    bounded by construction are hinted (by their callers)."""
-    return df
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a per-key side table onto a large frame."""
-    return big.join(broadcast_if_small(small), on, how)
+from .prefix import (dense_rank_by, dense_rank_table, running_aggs, running_avg, running_count,  # noqa: F401
+                     running_sum)
 
 
-def _join_null_safe(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on ``keys`` where NULL equals NULL, as in a window's partition."""
-    side = small.select(*[F.col(k).alias(f"_ns_{k}") for k in keys], *[c for c in small.columns if c not in keys])
-    cond = [F.col(k).eqNullSafe(F.col(f"_ns_{k}")) for k in keys]
-    return big.join(side, cond, "left").drop(*[f"_ns_{k}" for k in keys])
-
-
-# -- two-level cumulative windows ------------------------------------------------
-
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _bucketize(df: DataFrame, keys: list[str], order0: str, buckets: int,
-               bucket_col: str) -> DataFrame:
-    """Add ``bucket_col``: index of ``order0`` among per-key approximate
-    quantile boundaries.  Equal ``order0`` values share a bucket, and buckets
-    are monotone in ``order0`` within a key.
-
-    The boundaries are one small array per key (partial-aggregated sketch).
-    With few keys the table is broadcast; with very many keys it exceeds
-    the size bound and the join is a sort-merge on the key, where a hot key's
-    partition is split by AQE's skew-join handling (the boundary side has one
-    row per key, so it is the side that gets replicated)."""
-    fracs = [i / buckets for i in range(1, buckets)]
-    bounds = (df.groupBy(*keys)
-              .agg(F.percentile_approx(order0, fracs, 1000).alias("_bounds")))
-    joined = _join_null_safe(df, bounds, keys)
-    b = F.col("_bounds")
-    idx = F.size(F.filter(F.array_distinct(b), lambda x: x < F.col(order0)))
-    return joined.withColumn(bucket_col, F.coalesce(idx, F.lit(0))).drop("_bounds")
-
-
-def running_aggs(df: DataFrame, keys: list[str], order: list,
-                 specs: dict[str, tuple[str, Column | str]], frame: str = "rows",
-                 buckets: int = 32) -> DataFrame:
-    """Cumulative aggregates per ``keys`` in ``order``, several at once.
-
-    ``specs`` maps output name → (fn, value) with fn ``"sum"`` or
-    ``"count"``.  ``frame="rows"`` is UNBOUNDED PRECEDING → CURRENT ROW over a
-    total order; ``frame="range"`` includes peers (rows with equal order
-    values), the SQL default frame.  NULL values are skipped; a running sum
-    is NULL until the first non-null value, as in SQL.
-
-    Two levels: rows are cut into per-key buckets at approximate quantiles
-    of the first order column (equal values share a bucket), bucket totals
-    give each bucket an exclusive prefix offset, and the window runs within
-    (key, bucket).  Work per task is bounded by one bucket, not one key.
-    The first order column must be numeric, date or timestamp.  NULL keys form
-    one partition, as in SQL.  There is one path at every size.
-    """
-    order0 = order[0]
-    if not isinstance(order0, str):
-        raise ValueError("first order column must be a column name")
-    if frame not in ("rows", "range"):
-        raise ValueError(frame)
-    tag = "_".join(specs)
-    bcol = f"_bkt_{tag}"
-    vals = {out: (fn, F.col(v) if isinstance(v, str) else v) for out, (fn, v) in specs.items()}
-    base = df.withColumns({f"_v_{out}": v for out, (_, v) in vals.items()})
-
-    def agg(fn, out):
-        c = F.col(f"_v_{out}")
-        if fn == "sum":
-            return F.sum(c)
-        if fn == "count":
-            return F.count(c)
-        raise ValueError(fn)
-
-    base = _bucketize(base, keys, order0, buckets, bcol)
-
-    totals = base.groupBy(*keys, bcol).agg(*[agg(fn, o).alias(f"_t_{o}") for o, (fn, _) in vals.items()])
-    prev = W.partitionBy(*keys).orderBy(bcol).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bcol, *[F.sum(f"_t_{o}").over(prev).alias(f"_o_{o}") for o in vals])
-
-    wb = W.partitionBy(*keys, bcol).orderBy(*_cols(order))
-    if frame == "rows":
-        wb = wb.rowsBetween(W.unboundedPreceding, W.currentRow)
-    res = base.withColumns({f"_i_{o}": agg(fn, o).over(wb) for o, (fn, _) in vals.items()})
-    res = _join_null_safe(res, offsets, [*keys, bcol])
-    outs = {}
-    for o, (fn, _) in vals.items():
-        i, off = F.col(f"_i_{o}"), F.col(f"_o_{o}")
-        if fn == "sum":
-            outs[o] = (F.when(i.isNull() & off.isNull(), F.lit(None))
-                       .otherwise(F.coalesce(i, F.lit(0)) + F.coalesce(off, F.lit(0))))
-        else:
-            outs[o] = i + F.coalesce(off, F.lit(0))
-    drop = [bcol] + [f"_{p}_{o}" for o in vals for p in ("v", "i", "o")]
-    return res.withColumns(outs).drop(*drop)
-
-
-def running_agg(df, keys, order, value, out, frame="rows", fn="sum", buckets=32):
-    return running_aggs(df, keys, order, {out: (fn, value)}, frame, buckets)
-
-
-def running_sum(df, keys, order, value, out, frame="rows", buckets=32):
-    return running_aggs(df, keys, order, {out: ("sum", value)}, frame, buckets)
-
-
-def running_count(df, keys, order, out, frame="rows", buckets=32):
-    return running_aggs(df, keys, order, {out: ("count", F.lit(1))}, frame, buckets)
-
-
-def running_avg(df, keys, order, value, out, frame="rows", buckets=32):
-    """Cumulative average = running sum / running count of non-null values."""
-    r = running_aggs(df, keys, order, {f"_s_{out}": ("sum", value), f"_c_{out}": ("count", value)},
-                     frame, buckets)
-    return (r.withColumn(out, F.try_divide(F.col(f"_s_{out}"), F.col(f"_c_{out}").cast("double")))
-            .drop(f"_s_{out}", f"_c_{out}"))
-
-
-def dense_rank_table(df: DataFrame, keys: list[str], order_col: str, out: str,
-                     buckets: int = 32) -> DataFrame:
-    """(keys, order value) → ``dense_rank`` within keys, as a small table.
-
-    Built from the distinct (keys, order value) set — reduced by a map-side
-    aggregate — with a two-level running count.  NULL order values rank
-    first, as in an ascending SQL sort.  Join it back with ``eqNullSafe``
-    on the order column (``dense_rank_by`` does).
-    """
-    distinct = df.select(*keys, order_col).distinct()
-    nulls_first = distinct.withColumn("_isnull", F.col(order_col).isNull())
-    ranked = running_count(nulls_first.where(~F.col("_isnull")), keys, [order_col], "_r",
-                           frame="rows", buckets=buckets)
-    has_null = (nulls_first.groupBy(*keys)
-                .agg(F.max(F.col("_isnull").cast("int")).alias("_hn")))
-    ranked = (_join_null_safe(ranked, has_null, keys)
-              .select(*keys, order_col, (F.col("_r") + F.col("_hn")).cast("bigint").alias(out)))
-    null_rank = (has_null.where(F.col("_hn") == 1)
-                 .select(*keys, F.lit(None).cast(df.schema[order_col].dataType).alias(order_col),
-                         F.lit(1).cast("bigint").alias(out)))
-    return ranked.unionByName(null_rank)
-
-
-def dense_rank_by(df: DataFrame, keys: list[str], order_col: str, out: str,
-                  buckets: int = 32) -> DataFrame:
-    """``dense_rank() over (partition by keys order by order_col)``: the rank
-    table of ``dense_rank_table`` joined back (broadcast when small)."""
-    ranks = dense_rank_table(df, keys, order_col, out, buckets).select(
-        *[F.col(k).alias(f"_rk_{k}") for k in [*keys, order_col]], out)
-    cond = [F.col(k).eqNullSafe(F.col(f"_rk_{k}")) for k in [*keys, order_col]]
-    return (df.join(broadcast_if_small(ranks), cond, "left")
-            .drop(*[f"_rk_{k}" for k in [*keys, order_col]]))
-
-
 def last_non_null(value: Column | str, *order: Column | str) -> Column:
     """Aggregate: ``value`` at the greatest ``order`` among rows where value
     is not NULL (ties: any).  Partial-aggregated map side."""

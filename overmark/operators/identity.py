@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import ColumnOrName, _c, element0, slice0
-from .common import broadcast_if_small
 
 # City / nickname parsing rules for full team names.
 # Exact full names with an irregular split: name → (city, nickname); a None
@@ -101,7 +100,7 @@ def match_team_season(teams: DataFrame, histories: DataFrame, name_col="full_tea
     cond = ((F.lower(F.trim(t["team_city"])) == F.col("_h_city"))
             & (F.lower(F.trim(t["team_name"])) == F.col("_h_name"))
             & (t[year_col] - year_lag).between(F.col("_h_from"), F.col("_h_till")))
-    j = t.join(broadcast_if_small(h), cond, "left")
+    j = t.join(h, cond, "left")
     # First match per team-season: a two-key priority min.  The group is one
     # team-season (a handful of candidate rows), so this is a tiny aggregate.
     prio = F.when(F.trim(F.col(abbrev_col)) == F.col("_h_abbr"), 0).otherwise(1)
@@ -125,7 +124,7 @@ def _validity_join(df: DataFrame, hist: DataFrame, key: Column, hkey: str, year:
     if only_if_null is not None:
         cond = cond & F.col(only_if_null).isNull()
     h = hist.select(F.col("_h_id").alias(out), hkey, "_h_from", "_h_till")
-    return df.join(broadcast_if_small(h), cond, "left").drop(hkey, "_h_from", "_h_till")
+    return df.join(h, cond, "left").drop(hkey, "_h_from", "_h_till")
 
 
 def resolve_team_validity(games: DataFrame, histories: DataFrame,
@@ -175,12 +174,12 @@ def resolve_team_override(games: DataFrame, teams: DataFrame, overrides: DataFra
     upper-cased abbreviation; else the manual override for (abbrev, year).
     One id per (game, raw code): the smallest matched id, NULL first.  The
     home id is the first side's (these games are home-team rows)."""
-    t = broadcast_if_small(teams.select(F.col("kaggle_team_id").alias("_t_id"),
+    t = teams.select(F.col("kaggle_team_id").alias("_t_id"),
                                         F.upper(F.trim("team_abbrev")).alias("_t_abbr"),
-                                        F.col("year_id").alias("_t_year")))
-    o = broadcast_if_small(overrides.select(F.col("abbrev").alias("_o_abbr"),
+                                        F.col("year_id").alias("_t_year"))
+    o = overrides.select(F.col("abbrev").alias("_o_abbr"),
                                             F.col("year_id").alias("_o_year"),
-                                            F.col("team_id").alias("_o_id")))
+                                            F.col("team_id").alias("_o_id"))
     df = games
     for raw, out in sides:
         code = F.upper(F.trim(raw))
@@ -213,7 +212,7 @@ def backfill_team_id(stats: DataFrame, histories: DataFrame,
                          F.lower(F.trim("team_name")).alias("_h_name"),
                          F.col("season_founded").alias("_h_from"),
                          F.col("season_active_till").alias("_h_till"))
-    hb = broadcast_if_small(h)
+    hb = h
     df = stats
     year = F.year(F.col(ts_col))
     for raw, city, name, out in sides:

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ..functions import safe
 from ..functions.stats import let, two_sided_p
 from ..sources.sinks import materialize
-from .common import last_non_null, running_aggs
+from .common import last_non_null
+from .prefix import PIECE_ROWS, running_aggs
 
 Z975 = 1.959963984540054  # standard normal 97.5% quantile
 CELL = 32                 # cells a unit of the offset
@@ -155,7 +156,7 @@ def player_effects(rows: DataFrame, person: str = "person_id", y: str = "actual_
 TIMELINE_ORDER = ["series_start_date", "series_id", "year_id", "player_team_id", "opponent_team_id"]
 
 
-def player_timeline(rows: DataFrame, buckets: int = 32) -> DataFrame:
+def player_timeline(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """D-25: per person, series number in career order and the cumulative
     series residual (a NULL residual stays NULL; later rows continue).
 
@@ -168,7 +169,7 @@ def player_timeline(rows: DataFrame, buckets: int = 32) -> DataFrame:
     })
     df = running_aggs(df, ["person_key"], TIMELINE_ORDER,
                       {"player_series_number": ("count", F.lit(1)),
-                       "_cum": ("sum", "series_residual")}, "rows", buckets)
+                       "_cum": ("sum", "series_residual")}, "rows", piece_rows)
     return (df.withColumn("player_series_number", F.col("player_series_number").cast("bigint"))
             .withColumn("career_cumulative_series_residual",
                         F.when(F.col("series_residual").isNotNull(), F.col("_cum")))

@@ -13,9 +13,8 @@ from ..functions.odds import american_price, logit
 from ..sources.sinks import materialize
 from . import residual as R
 from . import series_ops as SO
-from .common import (broadcast_if_small, dense_rank_by, dense_rank_table, join_small, running_aggs,
-                     running_sum)
 from .odds_ops import side_odds
+from .prefix import PIECE_ROWS, dense_rank_by, dense_rank_table, running_aggs, running_sum
 
 
 class ResidualTables:
@@ -85,21 +84,21 @@ GAME_OUT = [
 
 
 def player_game_residuals(stats: DataFrame, elo: DataFrame, min_series: int = 10,
-                          mirror_venue: bool = False, buckets: int = 32) -> DataFrame:
+                          mirror_venue: bool = False, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """D-29: the flagship wide table — one row per eligible player game with
     game, series and year residual context and career bounds."""
     t = residual_tables(stats, elo, min_series, mirror_venue)
     # the row spine with its running value is read twice (career bounds and
     # the output): write it once
-    g = materialize(R.running_game(t.games, buckets), "player_game_running")
+    g = materialize(R.running_game(t.games, piece_rows), "player_game_running")
     game_bounds = R.career_bounds(g, "career_game_running_residual", ["game_ts", "kaggle_game_id"],
                                   "career_game_last_cumulative_residual",
                                   "career_game_max_cumulative_residual")
-    s = materialize(R.running_series(t.player_series, buckets), "player_series_running")
+    s = materialize(R.running_series(t.player_series, piece_rows), "player_series_running")
     series_bounds = R.career_bounds(s, "career_series_running_residual", R.SERIES_ORDER,
                                     "career_series_last_cumulative_residual",
                                     "career_series_max_cumulative_residual")
-    y = R.running_year(t.games, t.player_series, buckets)
+    y = R.running_year(t.games, t.player_series, piece_rows)
     yb = y.groupBy("person_id").agg(
         R.last_non_null("career_year_game_running_residual", "year_id")
         .alias("career_year_game_last_cumulative_residual"),
@@ -126,11 +125,11 @@ def player_game_residuals(stats: DataFrame, elo: DataFrame, min_series: int = 10
     yr = y.select("person_id", F.col("year_id").alias("_year_key"), "year_game_residual",
                   "year_series_residual", "career_year_game_running_residual",
                   "career_year_series_running_residual")
-    out = join_small(out, game_bounds, "person_id", "left")
-    out = join_small(out, sr, ["person_id", "series_id", "player_team_id", "opponent_team_id"], "left")
-    out = join_small(out, series_bounds, "person_id", "left")
-    out = join_small(out, yr, ["person_id", "_year_key"], "left")
-    out = join_small(out, yb, "person_id", "left")
+    out = out.join(game_bounds, "person_id", "left")
+    out = out.join(sr, ["person_id", "series_id", "player_team_id", "opponent_team_id"], "left")
+    out = out.join(series_bounds, "person_id", "left")
+    out = out.join(yr, ["person_id", "_year_key"], "left")
+    out = out.join(yb, "person_id", "left")
     return out.select(*FLAGSHIP_COLUMNS)
 
 
@@ -199,7 +198,7 @@ def rate_features(ps: DataFrame, min_series: int = 10, min_minutes: float = 4000
                    F.sum("series_rebounds_total").alias("career_playoff_rebounds_total"))
               .where((F.col("career_playoff_series") > min_series)
                      & (F.col("career_playoff_minutes") > min_minutes)))
-    out = join_small(base, career, "person_id", "inner")
+    out = base.join(career, "person_id", "inner")
     per36 = lambda c, n: (safe.safe_divide(F.col(c), F.col("series_minutes")) * 36).alias(n)
     return out.select("*", per36("series_points", "series_points_per_36"),
                       per36("series_assists", "series_assists_per_36"),
@@ -223,7 +222,7 @@ def _market_base(stats: DataFrame, min_series: int):
                    safe.extract_digits(F.col("series_game_number").cast("string")).alias("series_game_number"))
     p = R.with_series_start(p)
     eligible = R.eligible_persons(p, min_series)
-    return p.join(broadcast_if_small(eligible.select("person_id")), "person_id", "left_semi")
+    return p.join(eligible.select("person_id"), "person_id", "left_semi")
 
 
 def market_rows(stats: DataFrame, team_stats: DataFrame, quotes: DataFrame, min_series: int = 10,
@@ -251,18 +250,18 @@ def market_rows(stats: DataFrame, team_stats: DataFrame, quotes: DataFrame, min_
 
 
 def market_residual_games(stats: DataFrame, team_stats: DataFrame, quotes: DataFrame,
-                          min_series: int = 10, buckets: int = 32) -> DataFrame:
+                          min_series: int = 10, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """D-27: game-grain residual of each eligible player against the market
     (average side price → probability), with the career running total
     (peers included), series total/average, series order and career max."""
     j = market_rows(stats, team_stats, quotes, min_series)
     series_tot = (j.groupBy("person_id", "series_id")
                   .agg(F.sum("_r").alias("_ssum"), F.avg("_r").alias("_savg")))
-    ranks = dense_rank_table(j, ["person_id"], "series_start_ts", "player_series_order", buckets).select(
+    ranks = dense_rank_table(j, ["person_id"], "series_start_ts", "player_series_order", piece_rows).select(
         F.col("person_id").alias("_rk_p"), F.col("series_start_ts").alias("_rk_start"), "player_series_order")
-    j = running_sum(j, ["person_id"], ["game_ts"], "_r", "_cum", frame="range", buckets=buckets)
-    j = join_small(j, series_tot, ["person_id", "series_id"], "left")
-    j = join_small(j, ranks, (F.col("person_id") == F.col("_rk_p"))
+    j = running_sum(j, ["person_id"], ["game_ts"], "_r", "_cum", frame="range", piece_rows=piece_rows)
+    j = j.join(series_tot, ["person_id", "series_id"], "left")
+    j = j.join(ranks, (F.col("person_id") == F.col("_rk_p"))
                    & F.col("series_start_ts").eqNullSafe(F.col("_rk_start")), "left").drop("_rk_p", "_rk_start")
     j = j.select("person_id", "first_name", "last_name", "series_id", "series_game_number", "game_id",
                  "game_date_time_est", "win",
@@ -279,7 +278,7 @@ def market_residual_games(stats: DataFrame, team_stats: DataFrame, quotes: DataF
     mx = (j.groupBy("person_id", "first_name", "last_name")
           .agg(F.max("cumulative_career_game_residual").alias("max_cumulative_career_game_residual"))
           .drop("first_name", "last_name"))
-    out = join_small(j, mx, "person_id", "inner")
+    out = j.join(mx, "person_id", "inner")
     out = out.where(F.col("implied_win_prob").isNotNull() & F.col("game_residual").isNotNull()
                     & F.col("cumulative_career_game_residual").isNotNull()
                     & F.col("cumulative_series_residual").isNotNull())
@@ -288,7 +287,7 @@ def market_residual_games(stats: DataFrame, team_stats: DataFrame, quotes: DataF
 
 
 def market_residual_series(stats: DataFrame, team_stats: DataFrame, quotes: DataFrame,
-                           min_series: int = 10, buckets: int = 32) -> DataFrame:
+                           min_series: int = 10, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """D-28: series-grain market residuals: per-series sum and average of the
     game residuals (missing odds/results dropped first), the series order,
     and running sum / average over the player's series order (peers
@@ -300,17 +299,17 @@ def market_residual_series(stats: DataFrame, team_stats: DataFrame, quotes: Data
           .agg(F.sum("game_residual").alias("series_sum_residual"),
                F.avg("game_residual").alias("series_avg_residual")))
     ss = materialize(ss, "market_series")
-    ss = dense_rank_by(ss, ["person_id"], "series_start_ts", "player_series_order", buckets)
+    ss = dense_rank_by(ss, ["person_id"], "series_start_ts", "player_series_order", piece_rows)
     ss = running_aggs(ss, ["person_id"], ["player_series_order"],
                       {"cumulative_sum_series_residual": ("sum", "series_sum_residual"),
                        "_as": ("sum", "series_avg_residual"), "_ac": ("count", "series_avg_residual")},
-                      frame="range", buckets=buckets)
+                      frame="range", piece_rows=piece_rows)
     ss = ss.withColumn("cumulative_avg_series_residual",
                        safe.safe_divide(F.col("_as"), F.col("_ac").cast("double"))).drop("_as", "_ac")
     # read twice (career peak and the output): write once
     ss = materialize(ss, "market_series_running")
     mx = ss.groupBy("person_id").agg(F.max("cumulative_sum_series_residual").alias("_peak"))
-    out = join_small(ss, mx, "person_id", "inner")
+    out = ss.join(mx, "person_id", "inner")
     return (out.orderBy(F.col("_peak").desc(), F.col("player_series_order").desc())
             .select("first_name", "last_name", "series_id", "player_series_order",
                     F.round("series_sum_residual", 4).alias("series_sum_residual"),

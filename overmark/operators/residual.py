@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import safe
 from ..functions.odds import side_american_price
 from ..functions.series import series_key
-from .common import broadcast_if_small, last_non_null, running_aggs, running_sum
+from .common import last_non_null
+from .prefix import PIECE_ROWS, running_aggs, running_sum
 
 # Career order of a person's series: start time and id, then the season
 # and sides so that the order is total even when one series id spans two
@@ -97,7 +98,7 @@ def join_player_elo(elo: DataFrame, players: DataFrame, eligible: DataFrame) ->
         "_lo": safe.least_nn(F.col("kaggle_team_id").cast("bigint"), F.col("kaggle_opp_team_id").cast("bigint")),
         "_hi": safe.greatest_nn(F.col("kaggle_team_id").cast("bigint"), F.col("kaggle_opp_team_id").cast("bigint")),
     })
-    p = (players.join(broadcast_if_small(eligible.select("person_id")), "person_id", "left_semi")
+    p = (players.join(eligible.select("person_id"), "person_id", "left_semi")
          .withColumns({"_pd": F.col("game_date"),
                        "_plo": safe.least_nn("player_team_id", "opponent_team_id"),
                        "_phi": safe.greatest_nn("player_team_id", "opponent_team_id")})
@@ -134,11 +135,11 @@ def game_residuals(joined: DataFrame) -> DataFrame:
 # -- running residuals at three grains -------------------------------------------------
 
 
-def running_game(df: DataFrame, buckets: int = 32) -> DataFrame:
+def running_game(df: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """D-19 (game grain): career running sum of game residuals by game time
     and id, rounded to 4."""
     out = running_sum(df, ["person_id"], ["game_ts", "kaggle_game_id"], "game_residual",
-                      "_run", frame="rows", buckets=buckets)
+                      "_run", frame="rows", piece_rows=piece_rows)
     return out.withColumn("career_game_running_residual", F.round("_run", 4)).drop("_run")
 
 
@@ -153,15 +154,15 @@ def player_series_residuals(games: DataFrame, series_res: DataFrame) -> DataFram
                 "series_forecast", "series_money_line", "series_residual").distinct()
 
 
-def running_series(ps: DataFrame, buckets: int = 32) -> DataFrame:
+def running_series(ps: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """D-19 (series grain): career running sum of series residuals by series
     start and id, rounded to 4."""
     out = running_sum(ps, ["person_id"], SERIES_ORDER, "series_residual",
-                      "_run", frame="rows", buckets=buckets)
+                      "_run", frame="rows", piece_rows=piece_rows)
     return out.withColumn("career_series_running_residual", F.round("_run", 4)).drop("_run")
 
 
-def running_year(games: DataFrame, ps: DataFrame, buckets: int = 32) -> DataFrame:
+def running_year(games: DataFrame, ps: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """D-19 (year grain): per (person, year) the rounded sums of game and of
     series residuals (a year without series counts 0), and their career
     running sums — rounded sums accumulate, then round again."""
@@ -173,7 +174,7 @@ def running_year(games: DataFrame, ps: DataFrame, buckets: int = 32) -> DataFram
         "year_series_residual", F.coalesce("year_series_residual", F.lit(0.0)))
     y = running_aggs(y, ["person_id"], ["year_id"],
                      {"_g": ("sum", "year_game_residual"), "_s": ("sum", "year_series_residual")},
-                     "rows", buckets)
+                     "rows", piece_rows)
     return (y.withColumn("career_year_game_running_residual", F.round("_g", 4))
             .withColumn("career_year_series_running_residual", F.round("_s", 4))
             .drop("_g", "_s"))

@@ -84,9 +84,9 @@ def q_join_validity_interval(spark, sf_dir):
     """Code equality plus year inside [founded, till]; an open end counts as
     2100.  The history side is a bounded dimension: broadcast."""
     b = Bindings(spark, sf_dir)
-    h = C.broadcast_if_small(b.team_hist.select(
+    h = b.team_hist.select(
         F.col("team_id").alias("kaggle_team_id"), F.upper(F.trim("team_abbrev")).alias("_abbr"),
-        "season_founded", F.coalesce("season_active_till", F.lit(2100)).alias("_till")))
+        "season_founded", F.coalesce("season_active_till", F.lit(2100)).alias("_till"))
     g = b.game_code
     cond = (F.upper(F.trim(g["team_code"])) == h["_abbr"]) & g["season"].between(h["season_founded"], h["_till"])
     return g.join(h, cond, "left").select("game_id", "team_code", "season", "kaggle_team_id")
@@ -181,7 +181,7 @@ def q_join_cascade_coalesce(spark, sf_dir):
     (date, team); the second join keeps the miss test in its ON clause."""
     b = Bindings(spark, sf_dir)
     g = b.game_code
-    h = C.broadcast_if_small(b.team_hist)
+    h = b.team_hist
     ids = (g.where(F.col("game_id") % 2 == 0)
            .join(h, (F.upper(F.trim(g["team_code"])) == h["team_abbrev"])
                  & g["season"].between(h["season_founded"], F.coalesce(h["season_active_till"], F.lit(2100))))
@@ -223,7 +223,7 @@ def q_join_semi_eligible(spark, sf_dir):
     person, so no fan-out)."""
     base = R.with_series_start(R.dedup_player_game(R.raw_player_games(Bindings(spark, sf_dir).player_line)))
     el = R.eligible_persons(base, 167).select("person_id")
-    return base.join(C.broadcast_if_small(el), "person_id", "left_semi").select("person_id", "game_id", "series_id")
+    return base.join(el, "person_id", "left_semi").select("person_id", "game_id", "series_id")
 
 
 @query("join_self_aggregate", sql=ob.with_("player_line", extra=[("m", """
@@ -236,7 +236,7 @@ def q_join_self_aggregate(spark, sf_dir):
     window sort)."""
     p = Bindings(spark, sf_dir).player_line
     m = p.groupBy("person_id").agg(F.max("points").alias("max_points"))
-    return C.join_small(p.select("person_id", "game_id", "points"), m, "person_id", "inner")
+    return p.select("person_id", "game_id", "points").join(m, "person_id", "inner")
 
 
 # -- laterals ---------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Window queries (W-01 … W-12).
 
-Per-key cumulative windows go through the two-level helpers in
-``operators.common`` (a hot key is split into buckets); windows whose
+Per-key cumulative windows go through the prefix scan of
+``operators.prefix`` (a hot key is cut into range pieces); windows whose
 partition is one small group (a series, a game-date pair) use plain
 ``Window`` specs.
 """
@@ -112,7 +112,7 @@ def q_win_priority_pick(spark, sf_dir):
     """Top-1 per game by a CASE priority (abbreviation match first), then the
     latest founding season."""
     b = Bindings(spark, sf_dir)
-    h = C.broadcast_if_small(b.team_hist)
+    h = b.team_hist
     j = b.game_code.join(h, F.upper(F.trim(b.game_code["fran"])) == h["team_name"], "inner")
     prio = F.when(F.upper(F.trim("team_code")) == F.col("team_abbrev"), 0).otherwise(1)
     w = W.partitionBy("game_id").orderBy(prio, F.col("season_founded").desc())

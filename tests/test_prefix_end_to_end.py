@@ -1,5 +1,5 @@
 """The registered career-window queries match the oracle end to end on the
-two-level (skew-safe) path, the only one."""
+prefix scan, the only path."""
 
 import os
 import sys
@@ -13,7 +13,7 @@ KEYS = ["residual_running_game", "residual_running_year", "win_dense_rank", "mar
 
 
 @pytest.mark.parametrize("key", KEYS)
-def test_two_level_path_matches_oracle(spark, key):
+def test_prefix_scan_matches_oracle(spark, key):
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
     from check_oracle import check
     rec = check(spark, SF_CHECK, [key], verbose=False)[key]
