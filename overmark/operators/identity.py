@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import ColumnOrName, _c, element0, slice0
+from .intervals import interval_join, ranked_lookup
 
 # City / nickname parsing rules for full team names.
 # Exact full names with an irregular split: name → (city, nickname); a None
@@ -94,13 +95,11 @@ def match_team_season(teams: DataFrame, histories: DataFrame, name_col="full_tea
     h = histories.select(F.col("team_id").alias("_h_id"),
                          F.lower(F.trim("team_city")).alias("_h_city"),
                          F.lower(F.trim("team_name")).alias("_h_name"),
-                         F.trim("team_abbrev").alias("_h_abbr"),
+                         F.trim("team_abbrev").alias("_h_abbr"), F.col("season_founded").alias("_h_founded"),
                          F.col("season_founded").alias("_h_from"),
                          F.col("season_active_till").alias("_h_till"))
-    cond = ((F.lower(F.trim(t["team_city"])) == F.col("_h_city"))
-            & (F.lower(F.trim(t["team_name"])) == F.col("_h_name"))
-            & (t[year_col] - year_lag).between(F.col("_h_from"), F.col("_h_till")))
-    j = t.join(h, cond, "left")
+    j = interval_join(t, h, [(F.lower(F.trim("team_city")), "_h_city"), (F.lower(F.trim("team_name")), "_h_name")],
+                      F.col(year_col) - year_lag, "_h_from", "_h_till")
     # First match per team-season: a two-key priority min.  The group is one
     # team-season (a handful of candidate rows), so this is a tiny aggregate.
     prio = F.when(F.trim(F.col(abbrev_col)) == F.col("_h_abbr"), 0).otherwise(1)
@@ -108,7 +107,7 @@ def match_team_season(teams: DataFrame, histories: DataFrame, name_col="full_tea
     rest = [c for c in t.columns if c not in keys]
     best = (j.groupBy(*keys)
             .agg(F.min_by(F.struct("_h_id", *[F.col(c) for c in rest]),
-                          F.struct(prio.alias("p"), (-F.col("_h_from")).alias("f"))).alias("_b")))
+                          F.struct(prio.alias("p"), (-F.col("_h_founded")).alias("f"))).alias("_b")))
     out = best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest], F.col("_b._h_id").alias("_id"))
     pin = None
     for full, tid in pinned.items():
@@ -118,15 +117,6 @@ def match_team_season(teams: DataFrame, histories: DataFrame, name_col="full_tea
     return out.select(team_id.cast("bigint").alias("team_id"), *t.columns)
 
 
-def _validity_join(df: DataFrame, hist: DataFrame, key: Column, hkey: str, year: Column,
-                   out: str, only_if_null: str | None = None) -> DataFrame:
-    cond = (key == F.col(hkey)) & year.between(F.col("_h_from"), F.col("_h_till"))
-    if only_if_null is not None:
-        cond = cond & F.col(only_if_null).isNull()
-    h = hist.select(F.col("_h_id").alias(out), hkey, "_h_from", "_h_till")
-    return df.join(h, cond, "left").drop(hkey, "_h_from", "_h_till")
-
-
 def resolve_team_validity(games: DataFrame, histories: DataFrame,
                           sides=(("team_id", "fran_id", "kaggle_team_id"),
                                  ("opp_id", "opp_fran", "kaggle_opp_team_id")),
@@ -139,6 +129,9 @@ def resolve_team_validity(games: DataFrame, histories: DataFrame,
 
     A NULL interval end is open (``open_end``) unless ``open_end`` is None.
     Overlapping intervals fan out, as a plain left join does.
+
+    Only the distinct (code, name, year) of both sides are matched with the
+    intervals; the games are joined with the outcome, once a side.
     """
     till = F.col("season_active_till")
     if open_end is not None:
@@ -149,15 +142,32 @@ def resolve_team_validity(games: DataFrame, histories: DataFrame,
                              F.col("season_founded").alias("_h_from"), till.alias("_h_till"))
             .where(F.col("_h_till") >= min_end))
     year = F.col(year_col).try_cast("bigint")
+    names = ["_r_code", "_r_fran", "_r_year"]
+
+    def asked(code_col, fran_col):
+        fran = F.upper(F.trim(fran_col))
+        for k, (v, before) in (fran_aliases or {}).items():
+            fran = F.when((fran == k) & (year < before), F.lit(v)).otherwise(fran)
+        return [F.upper(F.trim(code_col)), fran, year]
+
+    known = None
+    for code_col, fran_col, _ in sides:
+        one = games.select(*[e.alias(n) for n, e in zip(names, asked(code_col, fran_col), strict=True)]).distinct()
+        known = one if known is None else known.union(one)
+    known = known.distinct()
+    span = ["_h_from", "_h_till"]
+    known = interval_join(known, hist.select("_h_abbr", *span, F.col("_h_id").alias("_r_a")),
+                          [(F.col("_r_code"), "_h_abbr")], F.col("_r_year"), *span)
+    known = interval_join(known, hist.select("_h_name", *span, F.col("_h_id").alias("_r_f")),
+                          [(F.col("_r_fran"), "_h_name")], F.when(F.col("_r_a").isNull(), F.col("_r_year")), *span)
+    known = known.select(*names, F.coalesce("_r_a", "_r_f").alias("_r_id"))
     df = games
     for code_col, fran_col, out in sides:
-        fran = F.upper(F.trim(fran_col))
-        if fran_aliases:
-            for k, (v, before) in fran_aliases.items():
-                fran = F.when((fran == k) & (year < before), F.lit(v)).otherwise(fran)
-        df = _validity_join(df, hist, F.upper(F.trim(code_col)), "_h_abbr", year, f"_{out}_a")
-        df = _validity_join(df, hist, fran, "_h_name", year, f"_{out}_f", only_if_null=f"_{out}_a")
-        df = df.withColumn(out, F.coalesce(f"_{out}_a", f"_{out}_f")).drop(f"_{out}_a", f"_{out}_f")
+        side = known.select(*[F.col(n).alias(f"{n}_s") for n in names], F.col("_r_id").alias(out))
+        cond = F.lit(True)
+        for n, e in zip(names, asked(code_col, fran_col), strict=True):
+            cond = cond & e.eqNullSafe(F.col(f"{n}_s"))
+        df = df.join(side, cond, "left").drop(*[f"{n}_s" for n in names])
     first, second = sides[0][2], sides[1][2] if len(sides) > 1 else None
     home = F.when(F.col(location_col) == "H", F.col(first))
     if second:
@@ -168,34 +178,29 @@ def resolve_team_validity(games: DataFrame, histories: DataFrame,
 def resolve_team_override(games: DataFrame, teams: DataFrame, overrides: DataFrame,
                           sides=(("elo_team_abbrev_raw", "kaggle_team_id"),
                                  ("elo_opp_abbrev_raw", "kaggle_opp_team_id")),
-                          year_col: str = "year_id", game_col: str = "game_id",
-                          min_year: int | None = 1977) -> DataFrame:
+                          year_col: str = "year_id", min_year: int | None = 1977) -> DataFrame:
     """D-11: per side, the season's team table matched on year and trimmed,
     upper-cased abbreviation; else the manual override for (abbrev, year).
-    One id per (game, raw code): the smallest matched id, NULL first.  The
-    home id is the first side's (these games are home-team rows)."""
-    t = teams.select(F.col("kaggle_team_id").alias("_t_id"),
-                                        F.upper(F.trim("team_abbrev")).alias("_t_abbr"),
-                                        F.col("year_id").alias("_t_year"))
-    o = overrides.select(F.col("abbrev").alias("_o_abbr"),
-                                            F.col("year_id").alias("_o_year"),
-                                            F.col("team_id").alias("_o_id"))
-    df = games
+    Of several matches the smallest id counts, NULL first: a team row
+    without an id leaves the choice to the override.  The home id is the
+    first side's (these games are home-team rows).
+
+    Team table and overrides are folded to one row a (year, code) first;
+    games before ``min_year`` go before the joins, and the rest are joined
+    with that unique table once a side.
+    """
+    t = teams.select(F.col("year_id").alias("_l_year"), F.upper(F.trim("team_abbrev")).alias("_l_code"),
+                     F.col("kaggle_team_id").alias("_l_id"))
+    gap = t.groupBy("_l_year", "_l_code").agg(F.when(F.count(F.lit(1)) == F.count("_l_id"), F.min("_l_id")).alias("_l_id"))
+    o = overrides.select(F.col("year_id").alias("_l_year"), F.col("abbrev").alias("_l_code"),
+                         F.col("team_id").alias("_l_id"))
+    ids = ranked_lookup([gap, o], ["_l_year", "_l_code"], "_l_id")
+    df = games if min_year is None else games.where(F.col(year_col) >= min_year)
     for raw, out in sides:
-        code = F.upper(F.trim(raw))
-        m = (df.select(game_col, raw, year_col).distinct()
-             .join(t, (F.col(year_col) == F.col("_t_year")) & (code == F.col("_t_abbr")), "left")
-             .join(o, (code == F.col("_o_abbr")) & (F.col(year_col) == F.col("_o_year")), "left")
-             .withColumn("_id", F.coalesce("_t_id", "_o_id"))
-             .groupBy(game_col, raw)
-             # smallest team id with NULL first: NULL when any candidate is NULL.
-             .agg(F.when(F.count(F.lit(1)) > F.count("_t_id"), F.first("_o_id", ignorenulls=True))
-                  .otherwise(F.min("_id")).alias(out)))
-        df = df.join(m, [game_col, raw], "left")
-    df = df.withColumn("kaggle_home_team_id", F.col(sides[0][1]))
-    if min_year is not None:
-        df = df.where(F.col(year_col) >= min_year)
-    return df
+        side = ids.withColumnRenamed("_l_id", out)
+        df = df.join(side, (F.col(year_col) == F.col("_l_year")) & (F.upper(F.trim(raw)) == F.col("_l_code")),
+                     "left").drop("_l_year", "_l_code")
+    return df.withColumn("kaggle_home_team_id", F.col(sides[0][1]))
 
 
 def backfill_team_id(stats: DataFrame, histories: DataFrame,
@@ -205,21 +210,17 @@ def backfill_team_id(stats: DataFrame, histories: DataFrame,
                              "opponent_team_id")),
                      ts_col: str = "game_date_time_est") -> DataFrame:
     """D-13: keep the raw id; only where it is NULL, look the team up by
-    city + name with the game's year inside the validity interval.  The
-    NULL check stays in the ON clause (a left join that never drops rows)."""
-    h = histories.select(F.col("team_id").alias("_h_id"),
-                         F.lower(F.trim("team_city")).alias("_h_city"),
-                         F.lower(F.trim("team_name")).alias("_h_name"),
-                         F.col("season_founded").alias("_h_from"),
-                         F.col("season_active_till").alias("_h_till"))
-    hb = h
+    city + name with the game's year inside the validity interval.  Rows
+    with an id are not matched and never dropped."""
     df = stats
-    year = F.year(F.col(ts_col))
     for raw, city, name, out in sides:
-        cond = (F.col(raw).isNull() & (F.lower(F.trim(city)) == F.col("_h_city"))
-                & (F.lower(F.trim(name)) == F.col("_h_name"))
-                & year.between(F.col("_h_from"), F.col("_h_till")))
-        df = (df.join(hb, cond, "left")
-              .withColumn(out, F.coalesce(F.col(raw), F.col("_h_id")))
-              .drop("_h_id", "_h_city", "_h_name", "_h_from", "_h_till"))
+        h = histories.select(F.col("team_id").alias("_h_id"),
+                             F.lower(F.trim("team_city")).alias("_h_city"),
+                             F.lower(F.trim("team_name")).alias("_h_name"),
+                             F.col("season_founded").alias("_h_from"),
+                             F.col("season_active_till").alias("_h_till"))
+        asked = F.when(F.col(raw).isNull(), F.year(F.col(ts_col)))
+        df = interval_join(df, h, [(F.lower(F.trim(city)), "_h_city"), (F.lower(F.trim(name)), "_h_name")],
+                           asked, "_h_from", "_h_till")
+        df = df.withColumn(out, F.coalesce(F.col(raw), F.col("_h_id"))).drop("_h_id")
     return df

@@ -12,6 +12,7 @@ from ..operators import odds_ops
 from ..operators import reports as RP
 from ..operators import residual as R
 from ..operators import series_ops as SO
+from ..operators.intervals import cascade, interval_join
 from . import oracle_bindings as ob
 from .bindings import Bindings
 from .q_reports import flag_sql
@@ -82,14 +83,14 @@ from game_code g left join team_hist h
  and g.season between h.season_founded and coalesce(h.season_active_till, 2100)""")
 def q_join_validity_interval(spark, sf_dir):
     """Code equality plus year inside [founded, till]; an open end counts as
-    2100.  The history side is a bounded dimension: broadcast."""
+    2100."""
     b = Bindings(spark, sf_dir)
     h = b.team_hist.select(
         F.col("team_id").alias("kaggle_team_id"), F.upper(F.trim("team_abbrev")).alias("_abbr"),
         "season_founded", F.coalesce("season_active_till", F.lit(2100)).alias("_till"))
-    g = b.game_code
-    cond = (F.upper(F.trim(g["team_code"])) == h["_abbr"]) & g["season"].between(h["season_founded"], h["_till"])
-    return g.join(h, cond, "left").select("game_id", "team_code", "season", "kaggle_team_id")
+    out = interval_join(b.game_code, h, [(F.upper(F.trim("team_code")), "_abbr")], F.col("season"),
+                        "season_founded", "_till")
+    return out.select("game_id", "team_code", "season", "kaggle_team_id")
 
 
 def _stats_with_raw_ids(b: Bindings):
@@ -175,25 +176,22 @@ def q_backfill_team_id(spark, sf_dir):
 select g.game_id, coalesce(m1.kaggle_team_id, m2.kaggle_team_id) as kaggle_team_id
 from game_code g
 left join ids m1 on g.game_id = m1.game_id
-left join ids m2 on m1.game_id is null and g.game_date = m2.game_date and upper(trim(g.team_code)) = m2.team_key""")
+left join (select game_date, team_key, min(kaggle_team_id) as kaggle_team_id from ids group by all) m2
+  on m1.game_id is null and g.game_date = m2.game_date and upper(trim(g.team_code)) = m2.team_key""")
 def q_join_cascade_coalesce(spark, sf_dir):
     """Second lookup only where the first missed: match by game id, else by
-    (date, team); the second join keeps the miss test in its ON clause."""
+    (date, team), the smallest id of that day; a game stays one row."""
     b = Bindings(spark, sf_dir)
     g = b.game_code
-    h = b.team_hist
-    ids = (g.where(F.col("game_id") % 2 == 0)
-           .join(h, (F.upper(F.trim(g["team_code"])) == h["team_abbrev"])
-                 & g["season"].between(h["season_founded"], F.coalesce(h["season_active_till"], F.lit(2100))))
-           .select(g["game_id"], g["game_date"], F.upper(F.trim(g["team_code"])).alias("team_key"),
-                   h["team_id"].alias("kaggle_team_id")))
-    m1 = ids.select(F.col("game_id").alias("_g1"), F.col("kaggle_team_id").alias("_id1"))
-    m2 = ids.select(F.col("game_date").alias("_d2"), F.col("team_key").alias("_k2"),
-                    F.col("kaggle_team_id").alias("_id2"))
-    j = g.join(m1, g["game_id"] == m1["_g1"], "left")
-    j = j.join(m2, F.col("_g1").isNull() & (F.col("game_date") == F.col("_d2"))
-               & (F.upper(F.trim("team_code")) == F.col("_k2")), "left")
-    return j.select("game_id", F.coalesce("_id1", "_id2").alias("kaggle_team_id"))
+    key = F.upper(F.trim("team_code"))
+    h = b.team_hist.withColumn("_till", F.coalesce("season_active_till", F.lit(2100))).select(
+        "team_abbrev", "season_founded", "_till", F.col("team_id").alias("kaggle_team_id"))
+    ids = interval_join(g.where(F.col("game_id") % 2 == 0), h, [(key, "team_abbrev")], F.col("season"),
+                        "season_founded", "_till", how="inner").withColumn("team_key", key)
+    out = cascade(g.select("game_id", "game_date", "team_code"), [
+        ([(F.col("game_id"), "game_id")], ids, "kaggle_team_id"),
+        ([(F.col("game_date"), "game_date"), (key, "team_key")], ids, "kaggle_team_id")], "kaggle_team_id")
+    return out.select("game_id", "kaggle_team_id")
 
 
 @query("join_either_orientation", sql=flag_sql("base_player_games", """
