@@ -81,17 +81,30 @@ class Bindings:
                 ))
 
     @cached_property
-    def game1(self) -> DataFrame:
-        """``game`` with one game per (date, unordered team pair)."""
+    def game_first(self) -> DataFrame:
+        """First game of each (date, unordered team pair)."""
+        return self._numbered.where(F.col("_rn") == 1).drop("_rn")
+
+    @cached_property
+    def _numbered(self) -> DataFrame:
         w = W.partitionBy("game_date", F.least("home_team", "away_team"),
                           F.greatest("home_team", "away_team")).orderBy("game_id")
-        return (self.game.withColumn("_rn", F.row_number().over(w))
-                .where(F.col("_rn") == 1).drop("_rn"))
+        return self.game.withColumn("_rn", F.row_number().over(w))
+
+    @cached_property
+    def game1(self) -> DataFrame:
+        """Every game, with teams such that a pair plays once a day: the n-th
+        game of a pair on a date is one of the n-th division's four teams.
+        The season is the year moved by the pair, so a series has one."""
+        up = 4 * (F.col("_rn") - 1).cast("bigint")
+        g = self._numbered.withColumns({"home_team": F.col("home_team") + up, "away_team": F.col("away_team") + up})
+        pair = (F.col("home_team") + F.col("away_team")) % 3
+        return g.withColumn("season", F.year("game_date").cast("bigint") + 18 * (pair - 1)).drop("_rn")
 
     @cached_property
     def game_sides(self) -> DataFrame:
         """Long form: one row per game and side, ``is_home`` flag."""
-        g = self.game
+        g = self.game1
         return g.select(
             "game_id", "game_date", "game_type", "game_label", "season",
             F.explode(F.array(
@@ -170,7 +183,7 @@ class Bindings:
 
     @cached_property
     def quote(self) -> DataFrame:
-        g = self.game.select("game_id", F.col("home_team").alias("team_id"),
+        g = self.game1.select("game_id", F.col("home_team").alias("team_id"),
                              F.col("away_team").alias("a_team_id"))
         return self.quote_raw.join(g, "game_id", "inner")
 
@@ -180,8 +193,12 @@ class Bindings:
         li = self.t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                        "l_quantity")
         g = self.game1.where(F.col("game_type") == "Playoffs")
-        home = F.col("l_suppkey") % 2 == 0
-        pid = (F.col("l_suppkey") % 20).cast("bigint")
+        # a third of the lines are one person's; half of the suppliers are a person each, a quarter share their lines
+        # among 8 persons, a quarter among 40, so that career thresholds decide something at every scale
+        sup, order = F.col("l_suppkey").cast("bigint"), F.col("l_orderkey").cast("bigint")
+        pid = (F.when((order + F.col("l_linenumber")) % 3 == 0, F.lit(0).cast("bigint"))
+               .when(sup % 4 < 2, sup * 100).when(sup % 4 == 2, sup * 100 + order % 8).otherwise(sup * 100 + order % 40))
+        home = pid % 2 == 0
         q = F.col("l_quantity")
         return (li.join(g, li.l_orderkey == g.game_id, "inner")
                 .select(

@@ -32,18 +32,23 @@ CTES = {
       'Game ' || cast(o_orderkey % 7 + 1 as varchar) as series_game_number_raw,
       c_nationkey as nation_key
     from orders join customer on o_custkey = c_custkey""",
+    "numbered": """
+    select *, row_number() over (
+      partition by game_date, least(home_team, away_team), greatest(home_team, away_team) order by game_id) as rn
+    from game""",
+    "game_first": "select * exclude (rn) from numbered where rn = 1",
     "game1": """
-    select * from game
-    qualify row_number() over (
-      partition by game_date, least(home_team, away_team), greatest(home_team, away_team)
-      order by game_id) = 1""",
+    select * exclude (rn) replace (cast(home_team + 4 * (rn - 1) as bigint) as home_team,
+      cast(away_team + 4 * (rn - 1) as bigint) as away_team,
+      cast(year(game_date) as bigint) + 18 * ((home_team + away_team + 8 * (rn - 1)) % 3 - 1) as season)
+    from numbered""",
     "game_sides": """
     select game_id, game_date, game_type, game_label, season,
-      home_team as team_id, true as is_home, game_result as wl from game
+      home_team as team_id, true as is_home, game_result as wl from game1
     union all
     select game_id, game_date, game_type, game_label, season,
       away_team as team_id, false as is_home,
-      case game_result when 'W' then 'L' when 'L' then 'W' end as wl from game""",
+      case game_result when 'W' then 'L' when 'L' then 'W' end as wl from game1""",
     "games_all": """
     select game_id, game_date,
       'G' || cast(game_id as varchar) || case when is_home then ' home' else ' away' end as matchup,
@@ -78,16 +83,14 @@ CTES = {
     from lineitem""",
     "quote": """
     select q.*, g.home_team as team_id, g.away_team as a_team_id
-    from quote_raw q join game g on q.game_id = g.game_id""",
+    from quote_raw q join game1 g on q.game_id = g.game_id""",
     "player_line": """
-    select cast(l_suppkey % 20 as bigint) as person_id,
-      'P' || cast(l_suppkey % 20 as varchar) as first_name,
-      'L' || cast(l_suppkey % 20 as varchar) as last_name,
+    select person_id, 'P' || cast(person_id as varchar) as first_name, 'L' || cast(person_id as varchar) as last_name,
       g.game_id,
-      case when l_suppkey % 2 = 0 then home_team else away_team end as player_team_id,
-      case when l_suppkey % 2 = 0 then away_team else home_team end as opponent_team_id,
-      cast(case when l_suppkey % 2 = 0 then 1 else 0 end as bigint) as player_home,
-      cast(case when l_suppkey % 2 = 0 then (case when game_result = 'W' then 1 else 0 end)
+      case when person_id % 2 = 0 then home_team else away_team end as player_team_id,
+      case when person_id % 2 = 0 then away_team else home_team end as opponent_team_id,
+      cast(case when person_id % 2 = 0 then 1 else 0 end as bigint) as player_home,
+      cast(case when person_id % 2 = 0 then (case when game_result = 'W' then 1 else 0 end)
                 else (case when game_result = 'W' then 0 else 1 end) end as bigint) as win,
       l_quantity as num_minutes,
       cast(l_quantity as bigint) as points,
@@ -102,7 +105,9 @@ CTES = {
       game_ts as game_date_time_est,
       series_game_number_raw as series_game_number,
       season as year_id
-    from lineitem join game1 g on l_orderkey = g.game_id
+    from (select *, cast(case when (l_orderkey + l_linenumber) % 3 = 0 then 0 when l_suppkey % 4 < 2 then l_suppkey * 100
+        when l_suppkey % 4 = 2 then l_suppkey * 100 + l_orderkey % 8 else l_suppkey * 100 + l_orderkey % 40 end as bigint)
+        as person_id from lineitem) join game1 g on l_orderkey = g.game_id
     where g.game_type = 'Playoffs'""",
     "raw_stat": """
     select l_orderkey as game_id, l_linenumber as line_no,
@@ -147,9 +152,9 @@ CTES = {
 }
 
 DEPS = {
-    "game": [], "game1": ["game"], "game_sides": ["game"], "quote_raw": [],
+    "game": [], "numbered": ["game"], "game_first": ["numbered"], "game1": ["numbered"], "game_sides": ["game1"], "quote_raw": [],
     "games_all": ["game_sides"], "elo_games": ["game1"], "team_stat": ["game_sides"],
-    "quote": ["quote_raw", "game"], "player_line": ["game", "game1"], "raw_stat": [],
+    "quote": ["quote_raw", "game1"], "player_line": ["game1"], "raw_stat": [],
     "team_hist": [], "game_code": [], "series_quote": [],
 }
 

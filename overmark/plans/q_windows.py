@@ -94,12 +94,12 @@ def q_win_dense_rank(spark, sf_dir):
     return out
 
 
-@query("win_first_per_group", sql=ob.with_("game1") + """
-select game_id, game_date, home_team, away_team from game1""")
+@query("win_first_per_group", sql=ob.with_("game_first") + """
+select game_id, game_date, home_team, away_team from game_first""")
 def q_win_first_per_group(spark, sf_dir):
     """``qualify row_number() = 1`` per (date, unordered pair): plans as a
     WindowGroupLimit (partial top-1 before the shuffle)."""
-    return Bindings(spark, sf_dir).game1.select("game_id", "game_date", "home_team", "away_team")
+    return Bindings(spark, sf_dir).game_first.select("game_id", "game_date", "home_team", "away_team")
 
 
 @query("win_priority_pick", sql=ob.with_("game_code", "team_hist", extra=[("c", """

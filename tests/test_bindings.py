@@ -15,7 +15,13 @@ def test_game_and_game1(spark):
     assert g.where(F.col("forecast").isNull()).count() == 155
     assert g.where(F.col("forecast") == 1.0).count() == 147
     assert g.where(F.col("home_team") == F.col("away_team")).count() == 0
-    assert b.game1.count() == 9304
+    assert b.game_first.count() == 9304
+    g1 = b.game1
+    assert g1.count() == 15000
+    pair = [F.least("home_team", "away_team"), F.greatest("home_team", "away_team")]
+    assert g1.groupBy("game_date", *pair).count().where("count > 1").count() == 0
+    one = g1.groupBy(F.year("game_date"), *pair).agg(F.count_distinct("season").alias("n"))
+    assert one.where("n > 1").count() == 0
 
 
 def test_quote(spark):
@@ -27,10 +33,12 @@ def test_quote(spark):
 
 def test_player_line(spark):
     p = Bindings(spark, SF_CHECK).player_line
-    assert p.count() == 29492
-    assert p.select("person_id").distinct().count() == 20
+    assert p.count() == 47983
+    assert p.select("person_id").distinct().count() == 1249
+    assert p.where("person_id = 0").count() == 16357
+    assert p.groupBy("person_id", "game_id").agg(F.count_distinct("player_home").alias("n")).where("n > 1").count() == 0
     dup = p.groupBy("person_id", "game_id").count().where("count > 1").count()
-    assert dup == 2563
+    assert dup == 5109
 
 
 def test_raw_stat_safe_int(spark):
