@@ -9,13 +9,16 @@ Documents with equal sets form a class; the work is on classes.
 1. *Signatures.*  Sizes are cut into bands such that linked sets lie in the
    same or in neighbouring bands.  A set signs for its own band and the next
    one, so any linked pair has a band label in common.  Sets of one label that
-   link differ in at most k features, so if the feature domain is dealt into
-   more than k partitions, two linked sets agree on all features of one
-   partition at least: each partition's content hash is a signature.  There
-   are k + 1 + spare partitions, hence spare + 1 agreements; a set with at
-   most ``spare`` empty partitions leaves these out, a set with more signs
-   them too.  No linked pair is lost.  Sets of one band meet under both labels;
-   their own band's is enough.
+   link differ in at most k features.  The feature domain is dealt into n1
+   partitions and each of these into n2 parts.  With n1 * (k2 + 1) > k, two
+   linked sets differ in at most k2 features of some partition, so they agree
+   on n2 - k2 of its parts: every subset of n2 - k2 parts of every partition
+   is a signature (the hash of the features in it).  There are ``spare`` more
+   partitions than that takes, hence spare + 1 agreements; a set with at most
+   ``spare`` empty signatures leaves these out, a set with more signs them
+   too.  No linked pair is lost.  n1, n2 and k2 are chosen per label for the
+   most features a signature within a number of signatures (``scheme``).  Sets
+   of one band meet under both labels; their own band's is enough.
 2. *Stars.*  In each group of equal signatures every class is paired with the
    group's first class only (its hub).  Each class is verified with its
    smallest hub, then with those other hubs that are still in another
@@ -26,7 +29,7 @@ Documents with equal sets form a class; the work is on classes.
    groups' hubs in other components.  This is done ``turns`` times.
 4. *Rest.*  Groups that even then span several components are joined with
    themselves, only across components, with an exact lower bound of the
-   difference (the Hamming distance of 256-bit parity sketches) in the join
+   difference (the Hamming distance of 1024-bit parity sketches) in the join
    condition.  The pairs that pass are verified and joined to the components.
 
 Verification compares the sets themselves.  Nothing is capped: all pairs of a
@@ -43,6 +46,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +54,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import byteops as B
-from .common import map_arrow, written
+from .common import fresh, map_arrow, written
 
 U64 = np.uint64
-SKETCH = 256
+SKETCH = 1024
+WORDS = tuple(f"s{i}" for i in range(SKETCH // 64))      # the columns of a sketch
 
 
 @dataclass(frozen=True)
@@ -66,31 +71,52 @@ class JaccardParams:
 
 @dataclass(frozen=True)
 class Label:
-    partitions: int
+    first: int          # partitions
+    second: int         # parts of a partition
+    differ: int         # parts that a subset leaves out
     spare: int
 
+    @property
+    def subsets(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(self.second), self.second - self.differ))
+
+
+def _spared(k: int, least: int, differ: int, second: int) -> tuple[Label, float, int]:
+    """The scheme of these parts, its features and signatures a set of
+    ``least`` features: spare partitions for the empty ones expected."""
+    subsets, spare = math.comb(second, differ), 0
+    while True:
+        first = k // (differ + 1) + 1 + spare
+        features = least / first * (second - differ) / second
+        mean = first * subsets * math.exp(-features)
+        wanted = min(math.ceil(mean + 4 * math.sqrt(mean)), k + 2) if k else 0
+        if wanted <= spare:
+            return Label(first, second, differ, spare), features, first * subsets
+        spare = wanted
+
+
+def scheme(k: int, least: int) -> Label:
+    """Partitions and parts for sets of at least ``least`` features that differ
+    in at most ``k``: the most features a signature within 96 signatures or
+    7/4 of those that undivided partitions would take."""
+    plain = _spared(k, least, 0, 1)
+    most = max(96, 7 * plain[2] // 4)
+    divided = [_spared(k, least, differ, second)
+               for differ in range(1, min(k, 4) + 1) for second in range(differ + 1, differ + 6)]
+    return max([plain, *(x for x in divided if x[2] <= most)], key=lambda x: x[1])[0]
+
 
 @lru_cache(maxsize=4)
 def labels(percent: int, largest: int) -> tuple[np.ndarray, list[Label]]:
     """Lower bounds of the size bands up to ``largest`` and, per label t, the
-    partitions for sets of bands t-1 and t."""
+    scheme for sets of bands t-1 and t."""
     low = [1]
     while low[-1] <= largest:
         low.append(low[-1] * 100 // percent + 1)
     low.append(low[-1] * 100 // percent + 1)
     low.append(low[-1] * 100 // percent + 1)
-    out = []
-    for t in range(len(low) - 1):
-        k = (100 - percent) * 2 * (low[t + 1] - 1) // (100 + percent)
-        spare = 0
-        for _ in range(20):                     # more than the empty partitions of a small set, by far
-            mean = (k + 1 + spare) * math.exp(-low[max(t - 1, 0)] / (k + 1 + spare))
-            wanted = min(math.ceil(mean + 4 * math.sqrt(mean)), k + 2) if k else 0
-            if wanted == spare:
-                break
-            spare = wanted
-        out.append(Label(k + 1 + spare, spare))
-    return np.array(low), out
+    return np.array(low), [scheme((100 - percent) * 2 * (low[t + 1] - 1) // (100 + percent), low[max(t - 1, 0)])
+                           for t in range(len(low) - 1)]
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,48 +150,59 @@ def class_keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Parity of the features in each of 256 cells: rows of 4 longs.  Two
+    """Parity of the features in each of 1024 cells: rows of 16 longs.  Two
     sketches differ in at most as many bits as the sets in features."""
     rows = len(bounds) - 1
     row = np.repeat(np.arange(rows), np.diff(bounds))
     cell = (B.mix(h ^ U64(0x9FB21C651E98DF25)) & U64(SKETCH - 1)).astype(np.int64)
-    odd = np.bincount(row * SKETCH + cell, minlength=rows * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH), axis=1).view(np.int64).reshape(rows, 4)
+    odd = np.zeros(rows * SKETCH, np.uint8)
+    np.add.at(odd, row * SKETCH + cell, np.uint8(1))         # wraps at 256, which keeps the parity
+    return np.packbits(odd.reshape(rows, SKETCH) & 1, axis=1).view(np.int64).reshape(rows, len(WORDS))
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, signature, step) of each row's non-empty partitions, for its own
-    band (step 0) and the next one (step 1)."""
+    """(row, signature, step) of each row's signatures, for its own band
+    (step 0) and the next one (step 1)."""
     size = np.diff(bounds)
-    if not size.any():
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int8)
-    # bands depend on the size alone; the table is cut at a power of two
-    low, table = labels(percent, 1 << int(size.max()).bit_length())
-    parts = np.array([x.partitions for x in table])
-    spare = np.array([x.spare for x in table])
-    band = np.searchsorted(low, size, "right") - 1
-    rows, sigs, steps = [], [], []
-    row = np.repeat(np.arange(len(size)), size)
-    for step in (0, 1):
-        label = np.where(size > 0, band + step, 0)
-        n = np.where(size > 0, parts[label], 0)
-        start = np.append(0, np.cumsum(n))
-        salt = B.mix(label.astype(U64) * U64(0x2545F4914F6CDD1D) + U64(11))
-        high = B.mix(h ^ salt[row]) >> U64(32)
-        cell = start[row] + ((high * n[row].astype(U64)) >> U64(32)).astype(np.int64)
-        total = np.zeros(start[-1], U64)
-        np.add.at(total, cell, B.mix(h + U64(0xA0761D6478BD642F)))
-        count = np.bincount(cell, minlength=start[-1])
-        who = np.repeat(np.arange(len(size)), n)
-        empty = np.bincount(who[count == 0], minlength=len(size))
-        emit = (count > 0) | (empty > spare[label])[who]
-        part = np.arange(start[-1]) - start[who]
-        rows.append(who[emit])
-        sigs.append(B.mix(total[emit] ^ B.mix(salt[who[emit]] + part[emit].astype(U64))))
-        steps.append(np.full(len(rows[-1]), step, np.int8))
+    rows, sigs, steps = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int8)]
+    if size.any():
+        # bands depend on the size alone; the table is cut at a power of two
+        low, table = labels(percent, 1 << int(size.max()).bit_length())
+        band = np.searchsorted(low, size, "right") - 1
+        row = np.repeat(np.arange(len(size)), size)
+        weight = B.mix(h + U64(0xA0761D6478BD642F))
+        for step in (0, 1):
+            for label in np.unique(band[size > 0]) + step:
+                who = np.flatnonzero((size > 0) & (band + step == label))
+                its = np.flatnonzero(band[row] + step == label)
+                at, sig = _label_signatures(h[its], weight[its], np.searchsorted(who, row[its]), len(who),
+                                            int(label), table[label])
+                rows.append(who[at])
+                sigs.append(sig)
+                steps.append(np.full(len(at), step, np.int8))
     return np.concatenate(rows), np.concatenate(sigs), np.concatenate(steps)
 
 
+def _label_signatures(h, weight, row, rows: int, label: int, s: Label) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) under one label; ``row`` is that of each feature."""
+    salt = B.mix(np.array([label], U64) * U64(0x2545F4914F6CDD1D) + U64(11))[0]
+    x = B.mix(h ^ salt)
+    first = ((x >> U64(32)) * U64(s.first)) >> U64(32)
+    second = ((x & U64(0xFFFFFFFF)) * U64(s.second)) >> U64(32)
+    cell = (row * s.first + first.astype(np.int64)) * s.second + second.astype(np.int64)
+    shape = (rows, s.first, s.second)
+    total = np.zeros(rows * s.first * s.second, U64)
+    np.add.at(total, cell, weight)
+    total = total.reshape(shape)
+    count = np.bincount(cell, minlength=total.size).reshape(shape)
+    held = np.stack([total[:, :, x].sum(2, dtype=U64) for x in map(list, s.subsets)], 2)
+    full = np.stack([count[:, :, x].sum(2) > 0 for x in map(list, s.subsets)], 2)
+    empty = (~full).sum((1, 2))
+    at, i, j = np.nonzero(full | (empty > s.spare)[:, None, None])
+    name = B.mix(salt + (i * len(s.subsets) + j).astype(U64))
+    return at, B.mix(held[at, i, j] ^ name)
+
+
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -237,8 +274,7 @@ def _linked(percent: int):
 
 def _apart_bits(a: str, b: str):
     """Hamming distance of two classes' sketches."""
-    bits = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)]
-    return bits[0] + bits[1] + bits[2] + bits[3]
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in WORDS), F.lit(0))
 
 
 def _close(a: str, b: str, percent: int):
@@ -344,7 +380,7 @@ def _nearest_hubs(member: DataFrame, turn: int, percent: int) -> DataFrame:
     """(a, b), a < b: each class with one hub of another component, the nearest
     by sketch of those that its groups draw in this turn."""
     drawn = F.xxhash64("key", "sig", F.lit(turn))
-    described = ("step", "key", "component", "n", "s0", "s1", "s2", "s3")
+    described = ("step", "key", "component", "n", *WORDS)
     hub = (member.groupBy("sig").agg(F.min_by(F.struct(*described), drawn).alias("h"))
            .select("sig", *(F.col(f"h.{c}").alias(c) for c in described)))
     x, y = member.alias("x"), hub.alias("y")
@@ -364,11 +400,12 @@ def keep_one(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """``docs`` with one row of each component, that of smallest doc_id (of
     repeated ids, one row).  Rows without words or without an id all stay.
     Columns unchanged."""
-    named = docs.withColumn("__mark", F.xxhash64("text"))
+    mark = fresh(docs, "mark")
+    named = docs.withColumn(mark, F.xxhash64("text"))
     wordy = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     first = (_placed(docs, p).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("component_key")
-             .agg(F.min(F.struct("doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.col("x.mark").alias("__mark")))
-    one = named.where(wordy).join(written(first, "jaccard-kept"), ["doc_id", "__mark"], "left_semi").dropDuplicates(["doc_id", "__mark"])
+             .agg(F.min(F.struct("doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.col("x.mark").alias(mark)))
+    one = named.where(wordy).join(written(first, "jaccard-kept"), ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     return named.where(~wordy).unionByName(one).select(*docs.columns)
 
 
@@ -378,10 +415,10 @@ def _placed(docs: DataFrame, p: JaccardParams) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     each = written(map_arrow(text, _describe(p), f"doc_id {kind}, mark long, n long, c1 long, c2 long, "
-                             "s0 long, s1 long, s2 long, s3 long")
+                             + ", ".join(f"{s} long" for s in WORDS))
                    .withColumn("key", _key(F.col("c1"), F.col("c2"))), "jaccard-docs")
     classes = written(each.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "c1")
-                      .agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("n", "s0", "s1", "s2", "s3"))),
+                      .agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("n", *WORDS))),
                       "jaccard-classes")
 
     group = Window.partitionBy("sig")
