@@ -384,7 +384,7 @@ def q_arr_split_slice_join(spark, sf_dir):
 # Full team names as they come, cut between city and nickname.
 PARSED_TEAM_NAMES = [
     ("Spirits of St. Louis", "St. Louis", "Spirits"), ("Fort Wayne Pistons", "Fort Wayne", "Pistons"),
-    ("Golden State Warriors", "Golden State", "Warriors"), ("Kansas City-Omaha Kings", "Kansas City-Omaha", "Kings"),
+    ("Golden State Warriors", "Golden State", "Warriors"), ("Kansas City-Omaha Kings", "Kansas City-Omaha", "City-Omaha Kings"),
     ("Kansas City Kings", "Kansas City", "Kings"), ("Los Angeles Lakers", "Los Angeles", "Lakers"),
     ("New Jersey Nets", "New Jersey", "Nets"),
     ("New Orleans/Oklahoma City Hornets", "New Orleans/Oklahoma City", "Hornets"),
