@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import byteops as B
-from .common import map_arrow
+from .common import fresh, map_arrow
 
 U64 = np.uint64
 START = 32.0              # bits that a text's first bytes may take on top
@@ -211,7 +211,9 @@ class Coder:
 
 
 def predict(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, bits_per_byte) of every row."""
+    """(doc_id, lang_pred, score, bits_per_byte, refused) of every row:
+    ``lang_pred`` is the nearest learned language (``und``: no letter),
+    ``refused`` says that the text is in none of them."""
     id_type = docs.schema[id_col].dataType.simpleString()
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     label = _labeller(docs.sparkSession, model)
@@ -221,7 +223,7 @@ def predict(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
         return None if got is None else [batch.column(0), *got]
 
     return map_arrow(docs.select(id_col, text_col, letters), run,
-                     f"{id_col} {id_type}, lang_pred string, score double, bits_per_byte double")
+                     f"{id_col} {id_type}, lang_pred string, score double, bits_per_byte double, refused boolean")
 
 
 def _labeller(spark, model: PpmModel):
@@ -233,7 +235,7 @@ def _labeller(spark, model: PpmModel):
         m = held.value
         if not m.languages:
             n = len(text)
-            return [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n))]
+            return [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n)), pa.array(np.ones(n, bool))]
         coder = _coder(held)
         bits, size = [], []
         for _, buf, off in B.chunks(text, 1 << 20):
@@ -244,11 +246,12 @@ def _labeller(spark, model: PpmModel):
         least = bits.min(1)
         score = 1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(1)
         known = letters.to_numpy(zero_copy_only=False).astype(bool)
+        refused = ~known
         if m.limit is not None:
-            known &= least <= m.limit[best] * size + START
+            refused |= least > m.limit[best] * size + START
         names = np.array([*m.languages, "und"], object)[np.where(known, best, len(m.languages))]
         return [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)),
-                pa.array(np.where(size > 0, least / np.maximum(size, 1), 0.0))]
+                pa.array(np.where(size > 0, least / np.maximum(size, 1), 0.0)), pa.array(refused)]
 
     return label
 
@@ -266,11 +269,11 @@ def _coder(held) -> Coder:
 
 
 def keep_known(docs: DataFrame, model: PpmModel, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least
-    ``min_score``; columns unchanged."""
+    """The rows of ``docs`` that are not refused and whose language is known
+    with at least ``min_score``; columns unchanged."""
     held = _labeller(docs.sparkSession, model)
     at = docs.columns.index("text")
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__has_letter")
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs, "has_letter"))
     fields = docs.schema
 
     def run(batch):
@@ -278,7 +281,7 @@ def keep_known(docs: DataFrame, model: PpmModel, min_score: float = 0.0) -> Data
         got = held(batch.column(at), batch.column(n))
         if got is None:
             return None
-        good = pc.and_(pc.not_equal(got[0], "und"), pc.greater_equal(got[1], min_score))
+        good = pc.and_(pc.invert(got[3]), pc.greater_equal(got[1], min_score))
         return [c.filter(good) for c in batch.columns[:n]]
 
     return map_arrow(docs.select("*", letters), run, fields)

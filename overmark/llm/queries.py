@@ -78,12 +78,12 @@ def _learnable(docs: DataFrame) -> DataFrame:
 
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document by shortest code, und for those in none."""
+    """Language of every document by shortest code; ``refused``: in none of the learned ones."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(_learnable(docs))
     return langid.predict(docs, model).select(
         "doc_id", F.coalesce(bucket(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
-        "lang_pred", "score", "bits_per_byte")
+        "lang_pred", "score", "bits_per_byte", "refused")
 
 
 @query("op5_decontamination")

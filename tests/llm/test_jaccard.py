@@ -80,7 +80,7 @@ def test_linked_pairs_share_a_signature():
     rng = np.random.default_rng(3)
     for percent in (80, 85):
         for _ in range(400):
-            n = int(rng.integers(1, 400))
+            n = int(rng.integers(1, 900))
             a = rng.integers(1, 1 << 62, n, dtype=np.uint64)
             cut = int(rng.integers(0, max(1, n * (100 - percent) // 100) + 1))
             b = np.concatenate([a[cut:], rng.integers(1, 1 << 62, int(rng.integers(0, 2)), dtype=np.uint64)])
@@ -92,12 +92,23 @@ def test_linked_pairs_share_a_signature():
             assert sig[0] & sig[1]
 
 
+def test_schemes_hold_the_bound():
+    """Enough partitions for the difference, and divided ones where they pay."""
+    for percent in (50, 80, 85):
+        low, table = J.labels(percent, 4096)
+        for t, s in enumerate(table):
+            k = (100 - percent) * 2 * (low[t + 1] - 1) // (100 + percent)
+            assert (s.first - s.spare) * (s.differ + 1) > k and s.second > s.differ
+            assert len(s.subsets) == len({frozenset(x) for x in s.subsets})
+        assert any(s.differ for s in table) or percent == 50
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (3, "a b c d e f g"), (3, "other words here now then"), (9, None),
             (9, None), (10, ""), (None, "a b c d e f g"), (7, "lone text of a few words")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, mark int")
     kept = J.keep_one(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {r.mark for r in kept.collect()} == {1}
     left = sorted(map(tuple, kept.select("doc_id", "text").collect()), key=str)
     assert len(left) == 7 and sum(r[0] == 3 for r in left) == 2 and not any(r[0] == 5 for r in left)
     assert sorted(r[0] for r in left if r[0] is not None) == [3, 3, 7, 9, 9, 10]

@@ -82,8 +82,9 @@ def test_edges(spark):
     assert L.predict(df.limit(0), model).count() == 0
     none = L.train(docs.limit(0))
     assert {r.lang_pred for r in L.predict(df, none).collect()} == {"und"}
-    kept = L.keep_known(df, model)
-    assert kept.columns == df.columns and kept.count() == 5
+    clash = df.withColumn("has_letter", F.lit(7))
+    kept = L.keep_known(clash, model)
+    assert kept.columns == clash.columns and kept.count() == 5 and {r.has_letter for r in kept.collect()} == {7}
 
 
 def test_foreign_and_junk_texts_are_refused(spark):
@@ -102,6 +103,9 @@ def test_foreign_and_junk_texts_are_refused(spark):
     first = docs.limit(1).drop("doc_id", "text").withColumn("lang", F.lit(None).cast("string"))
     rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(planted)], "doc_id long, text string").crossJoin(first)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(docs.columns)
+    model = L.fit(docs.select("doc_id", "text", "lang"))
+    said = L.predict(rows, model).collect()
+    assert len(said) == len(planted) and all(r.refused and r.lang_pred in model.languages for r in said)
     kept = {r.doc_id for r in C.language(spark, docs.unionByName(rows), SF).select("doc_id").collect()}
     assert not any(i < 0 for i in kept)
     clean = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
