@@ -18,12 +18,13 @@ The posterior only tells the learned languages from each other.  Whether a
 text is in one of them at all shows in its code length: ``fit`` holds an
 eighth of the learning rows back (by hash of the text) and sets, per language,
 the most bits a byte may take: ``margin`` times the median of the rows
-held back.  A text that takes more, ``START`` bits apart, is ``und``.  A
+held back.  A text that takes more, ``START`` bits apart, is ``refused``.  A
 language with no row held back has the widest of the others' limits; with none
 at all nothing is refused.
 
-Defined cases: NULL text, text with no letter and refused text give ``und`` with score 0;
-with no learned language every row is ``und``; the language of repeated rows
+Defined cases: NULL text and text with no letter give ``und`` with score 0 and are
+refused; a refused text with letters has the nearest learned language; with no
+learned language every row is ``und`` and refused; the language of repeated rows
 is the same; other columns are never read.
 """
 
