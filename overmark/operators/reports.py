@@ -149,6 +149,15 @@ FLAGSHIP_COLUMNS = [
 ]
 
 
+SERIES_OUT = [
+    "series_start_date", "series_end_date", "player_series_games_played", "series_minutes", "series_points",
+    "series_assists", "series_rebounds_total", "series_blocks", "series_steals", "series_field_goals_attempted",
+    "series_field_goals_made", "series_field_goals_percentage", "series_turnovers", "actual_win",
+    "expected_win_prob", "expected_money_line", "series_residual", "series_sum_game_residual",
+    "avg_player_game_forecast",
+]
+
+
 def player_series(flagship: DataFrame) -> DataFrame:
     """D-21: one row per (person, year, series, side, opponent) with valid
     series odds: box-score sums, field-goal ratio, outcome, expectation and
@@ -177,7 +186,9 @@ def player_series(flagship: DataFrame) -> DataFrame:
                  F.max("series_money_line").alias("expected_money_line"),
                  F.max("series_residual").alias("series_residual"),
                  F.sum("game_residual").alias("series_sum_game_residual"),
-                 F.avg("player_game_forecast").alias("avg_player_game_forecast")))
+                 F.avg("player_game_forecast").alias("avg_player_game_forecast"))
+            .select("person_id", "first_name", "last_name", "year_id", "series_id", "player_team_id",
+                    "opponent_team_id", *SERIES_OUT))
 
 
 def rate_features(ps: DataFrame, min_series: int = 10, min_minutes: float = 4000.0) -> DataFrame:

@@ -67,32 +67,63 @@ def _staging(model: str) -> Callable[[Warehouse], DataFrame]:
     return build
 
 
-def _same(parent: str) -> Callable[[Warehouse], DataFrame]:
-    return lambda w: w.model(parent)
-
-
-def _kaggle_curated(parent: str, series: bool = True, label: bool = True, number: str | None = "fix",
-                    rename_ts: bool = False) -> Callable[[Warehouse], DataFrame]:
-    """Curated kaggle model: short series id, label without '- ', game
-    number fix (or plain float cast), optional timestamp rename."""
+# Curated models that are one projection of one model: a DataFrame selects these
+# SQL expressions, and a persistent view is made of the same text.
+# name → (parent, series id before this column, label, game number, renamed time, columns put after another)
+CURATED = {
+    "nba_kaggle_games": ("stg_nba_kaggle_games", "game_label", True, "fix", False,
+                         {"game_sublabel": "series_game_number"}),
+    "nba_kaggle_player_statistics": ("stg_nba_kaggle_player_statistics", "game_label", True, "fix", False, {}),
+    "nba_kaggle_player_statistics_extended": ("stg_nba_kaggle_player_statistics_extended", "game_type", True, "fix",
+                                              True, {}),
+    "nba_kaggle_team_statistics": ("stg_nba_kaggle_team_statistics", None, True, "cast", True, {}),
+    "nba_kaggle_team_statistics_extended": ("stg_nba_kaggle_team_statistics_extended", None, True, "fix", True, {}),
+    "nba_kaggle_play_by_play": ("stg_nba_kaggle_play_by_play", None, False, None, True, {}),
+}
+SAME = {**{m: f"stg_{m}" for m in (
+    "nba_elo_post_1977", "nba_elo_pre_1976", "nba_elo_playoffs_post_1977", "nba_elo_playoffs_pre_1976",
+    "nba_betting_games_all", "nba_betting_money_line", "nba_betting_totals", "nba_betting_teams_all",
+    "nba_betting_players_all", "nba_betting_players_game_stats", "nba_kaggle_players", "nba_kaggle_team_histories")},
+    "nba_betting_final": "stg_nba_custom_betting_final"}
+
+SERIES_ID = ("regexp_replace(lower(concat(cast(year(to_date(game_date_time_est)) as string), game_label)), "
+             "'[^a-z0-9]', '') as series_id")
+NUMBER = {"fix": "cast(case when series_game_number like '%1%' then '1' else series_game_number end as double)",
+          "cast": "cast(series_game_number as double)"}
+
+
+def parent_of(name: str) -> str | None:
+    """The model that ``name`` is one projection of; None for other models."""
+    return CURATED[name][0] if name in CURATED else SAME.get(name)
+
+
+def projection(name: str, columns: list[str]) -> list[str]:
+    """SQL expressions over the ``columns`` of the model's parent."""
+    if name in SAME:
+        return [f"`{c}`" for c in columns]
+    _, series, label, number, rename, moved = CURATED[name]
+    order = [c for c in columns if c not in moved]
+    for c, after in moved.items():
+        order.insert(order.index(after) + 1, c)
+    out = []
+    for c in order:
+        if c == series:
+            out.append(SERIES_ID)
+        if c == "game_label" and label:
+            out.append("replace(game_label, '- ', '') as game_label")
+        elif c == "series_game_number" and number:
+            out.append(f"{NUMBER[number]} as series_game_number")
+        elif c == "game_date_time_est" and rename:
+            out.append("game_date_time_est as game_datetime_est")
+        else:
+            out.append(f"`{c}`")
+    return out
+
+
+def _projected(name: str) -> Callable[[Warehouse], DataFrame]:
     def build(w: Warehouse) -> DataFrame:
-        df = w.model(parent)
-        cols = []
-        for c in df.columns:
-            if c == "game_label" and label:
-                if series:
-                    cols.append(safe.slug(F.concat(F.year(F.to_date("game_date_time_est")).cast("string"),
-                                                   F.col("game_label"))).alias("series_id"))
-                cols.append(safe.label_cleanup("game_label").alias("game_label"))
-            elif c == "series_game_number" and number == "fix":
-                cols.append(safe.game_number_fix("series_game_number").alias("series_game_number"))
-            elif c == "series_game_number" and number == "cast":
-                cols.append(F.col("series_game_number").cast("double").alias("series_game_number"))
-            elif c == "game_date_time_est" and rename_ts:
-                cols.append(F.col(c).alias("game_datetime_est"))
-            else:
-                cols.append(F.col(c))
-        return df.select(*cols)
+        parent = w.model(parent_of(name))
+        return parent.selectExpr(*projection(name, parent.columns))
     return build
 
 
@@ -174,6 +205,8 @@ def _elo_playoffs(w: Warehouse) -> DataFrame:
 def _elo_teams_mapping(w: Warehouse) -> DataFrame:
     """CUR-21: D-12 over the post-1977 playoff forecasts."""
     e = _elo_playoffs(w).drop("notes")
+    codes = ["team_id", "opp_id"]
+    e = e.select(*[c for c in e.columns if c not in codes], *codes)
     return I.resolve_team_validity(e, w.model("stg_nba_kaggle_team_histories"), fran_aliases=FRAN_ALIASES)
 
 
@@ -245,31 +278,9 @@ BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "stg_nba_betting_games_all": _games_all,
     "stg_nba_elo_teams": _elo_teams,
     "stg_nba_custom_betting_final": _custom_betting_final,
-    # curated: explicit projections of their staging models
-    "nba_elo_post_1977": _same("stg_nba_elo_post_1977"),
-    "nba_elo_pre_1976": _same("stg_nba_elo_pre_1976"),
-    "nba_elo_playoffs_post_1977": _same("stg_nba_elo_playoffs_post_1977"),
-    "nba_elo_playoffs_pre_1976": _same("stg_nba_elo_playoffs_pre_1976"),
-    "nba_betting_games_all": _same("stg_nba_betting_games_all"),
-    "nba_betting_money_line": _same("stg_nba_betting_money_line"),
-    "nba_betting_totals": _same("stg_nba_betting_totals"),
-    "nba_betting_teams_all": _same("stg_nba_betting_teams_all"),
-    "nba_betting_players_all": _same("stg_nba_betting_players_all"),
-    "nba_betting_players_game_stats": _same("stg_nba_betting_players_game_stats"),
+    # curated: projections of their staging models
+    **{m: _projected(m) for m in (*SAME, *CURATED)},
     "nba_betting_series_odds": _series_odds,
-    "nba_betting_final": _same("stg_nba_custom_betting_final"),
-    "nba_kaggle_games": _kaggle_curated("stg_nba_kaggle_games"),
-    "nba_kaggle_player_statistics": _kaggle_curated("stg_nba_kaggle_player_statistics"),
-    "nba_kaggle_player_statistics_extended": _kaggle_curated("stg_nba_kaggle_player_statistics_extended",
-                                                             rename_ts=True),
-    "nba_kaggle_team_statistics": _kaggle_curated("stg_nba_kaggle_team_statistics", series=False, number="cast",
-                                                  rename_ts=True),
-    "nba_kaggle_team_statistics_extended": _kaggle_curated("stg_nba_kaggle_team_statistics_extended",
-                                                           series=False, rename_ts=True),
-    "nba_kaggle_play_by_play": _kaggle_curated("stg_nba_kaggle_play_by_play", series=False, label=False,
-                                               number=None, rename_ts=True),
-    "nba_kaggle_players": _same("stg_nba_kaggle_players"),
-    "nba_kaggle_team_histories": _same("stg_nba_kaggle_team_histories"),
     "elo_teams_mapping": _elo_teams_mapping,
     "elo_games_all_time": _elo_games_all_time,
     "elo_games_mapping": _elo_games_mapping,

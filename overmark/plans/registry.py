@@ -26,5 +26,5 @@ def query(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so its keys register."""
-    from . import (q_domain, q_joins_aggs, q_model, q_reports, q_scalar,  # noqa: F401
+    from . import (q_domain, q_joins_aggs, q_model, q_models, q_reports, q_scalar,  # noqa: F401
                    q_sources, q_windows)

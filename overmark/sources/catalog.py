@@ -21,13 +21,21 @@ class Catalog:
 
     spark: SparkSession
     entries: dict[str, tuple[str, str, T.StructType | None]] = field(default_factory=dict)
+    frames: dict[str, DataFrame] = field(default_factory=dict)
 
     def register(self, name: str, path: str, fmt: str = "parquet",
                  schema: T.StructType | None = None) -> "Catalog":
         self.entries[name] = (path, fmt, schema)
         return self
 
+    def register_frame(self, name: str, df: DataFrame) -> "Catalog":
+        """A name for what another job or reader gives."""
+        self.frames[name] = df
+        return self
+
     def scan(self, name: str) -> DataFrame:
+        if name in self.frames:
+            return self.frames[name]
         if name not in self.entries:
             # Fall back to a table or view in the session catalog.
             return self.spark.table(name)
