@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import conform as cf
+from ..session import scratch_path
+from ..sources.catalog import test_catalog
 from ..sources.specs import DERIVED_MODELS, STAGING_FILTERS, STAGING_SPECS
 from .build import build
 from .models import CURATED, SAME, Warehouse
-from .raw_exports import raw_catalog, staging_sql
+from ..streaming.landing import landing_with_rejects
+from .raw_exports import export, raw_catalog, staging_sql
 from .registry import query
 
 # The models with a pivot, rating or matching step have queries of their own operators; this one looks
@@ -96,3 +99,50 @@ def q_catalog_build(spark, sf_dir):
         F.count_distinct("series_id").alias("n_series"), F.sum("series_game_number").alias("sum_game_number"),
         F.lit(t.tableType.lower()).alias("kind"), F.lit(t.description).alias("about"),
         F.lit(about["series_id"]).alias("about_series"), F.lit(parent.description).alias("about_parent"))
+
+
+LANDED = "stg_nba_betting_totals"
+
+
+def _csv_lines(spark, sf_dir):
+    """(file number, line) of exports: a file per 20,000 keys, every other one with its columns reversed, with
+    lines that have a field too many or too few or an open quote, and a file whose header lacks a column."""
+    raw = export(test_catalog(spark, sf_dir).scan("orders").select(
+        F.col("o_orderkey").cast("bigint").alias("k"), F.to_date("o_orderdate").alias("d")), LANDED, keep=["k"])
+    names = [c for c in raw.columns if c != "k"]
+    text = lambda cols: F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cols])
+    quoted = [F.concat(F.lit('"'), F.col(c), F.lit('"')) if c == "book_name" else F.col(c) for c in names]
+    line = F.when(F.col("k") % 50 == 7, F.concat(text(quoted), F.lit(",surplus"))) \
+        .when(F.col("k") % 50 == 6, text(quoted[1:])).when(F.col("k") % 50 == 5, F.concat(text(quoted), F.lit('"'))) \
+        .when(F.floor(F.col("k") / 20000) % 2 == 1, text(quoted[::-1])).otherwise(text(quoted))
+    rows = raw.select(F.floor(F.col("k") / 20000).alias("part"), F.lit(1).alias("o"), line.alias("line"))
+    heads = rows.select("part").distinct().select(
+        "part", F.lit(0), F.when(F.col("part") % 2 == 1, F.lit(",".join(names[::-1]))).otherwise(F.lit(",".join(names))))
+    short = raw.where(F.col("k") % 500 == 1).select(F.lit(-1).cast("bigint"), F.lit(1), text(quoted[1:]))
+    return rows.union(heads).union(short).union(
+        spark.range(1).select(F.lit(-1).cast("bigint"), F.lit(0), F.lit(",".join(names[1:]))))
+
+
+@query("landing_rejects", sql=f"""
+with o as (select cast(o_orderkey as bigint) as k, cast(o_orderdate as date) as d from orders),
+good as (select * from ({staging_sql(LANDED, "k % 50 not in (5, 6, 7)")}))
+select 'landed' as outcome, count(*) as n_lines, sum(book_id) as sum_book_id, sum(total1) as sum_total1,
+  count(book_name) as n_named from good
+union all select 'fields', count(*), null, null, null from o where k % 50 in (6, 7)
+union all select 'quotes', count(*), null, null, null from o where k % 50 = 5
+union all select 'header: game_id', count(*), null, null, null from o where k % 500 = 1
+""")
+def q_landing_rejects(spark, sf_dir):
+    """CSV exports streamed into conformed rows and rejects, in two runs of the job over one checkpoint."""
+    src, out, bad, ck = (scratch_path(spark, f"landing_{x}") for x in ("src", "out", "rejects", "checkpoint"))
+    lines = _csv_lines(spark, sf_dir)
+    for first in (True, False):
+        now = lines.where(F.col("part") <= 0 if first else F.col("part") > 0)
+        (now.repartition("part").sortWithinPartitions("part", "o").select(F.col("part").alias("p"), F.col("line").alias("value"))
+         .write.mode("append").partitionBy("p").text(src))
+        landing_with_rejects(spark, src, LANDED, out, bad, ck).awaitTermination()
+    landed = spark.read.parquet(out).agg(
+        F.lit("landed").alias("outcome"), F.count(F.lit(1)).alias("n_lines"), F.sum("book_id").alias("sum_book_id"),
+        F.sum("total1").alias("sum_total1"), F.count("book_name").alias("n_named"))
+    return landed.union(spark.read.parquet(bad).groupBy("reason").agg(
+        F.count(F.lit(1)), F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("bigint")))

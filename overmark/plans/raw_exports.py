@@ -96,20 +96,20 @@ def raw_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return cat
 
 
-def export(base: DataFrame, model: str) -> DataFrame:
+def export(base: DataFrame, model: str, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """One array a kind of column, computed once a row, and the columns as its elements (a hundred inlined
     CASEs would be too much code for one compiled stage)."""
     rules = cf.staging_rules(model)
     forms = list(dict.fromkeys(form(r) for r in rules if r.name not in FORMS))
     arrays = base.select("k", "d", *[F.expr(f"transform(sequence(0, {len(rules) - 1}), j -> {x})").alias(f"x{i}")
                                      for i, x in enumerate(forms)])
-    return arrays.select(*[(F.expr(FORMS[r.name].replace("varchar(9)", "string")) if r.name in FORMS
+    return arrays.select(*keep, *[(F.expr(FORMS[r.name].replace("varchar(9)", "string")) if r.name in FORMS
                             else F.get(f"x{forms.index(form(r))}", F.lit(j))).alias(r.raw)
                            for j, r in enumerate(rules)])
 
 
-def staging_sql(model: str) -> str:
+def staging_sql(model: str, where: str = "true") -> str:
     """DuckDB SQL of a staging model's rows over the exports."""
     cols = ",\n  ".join(f"{expected_sql(r, j)} as {r.name}" for j, r in enumerate(cf.staging_rules(model)))
     return ("select " + cols + "\nfrom (select cast(o_orderkey as bigint) as k, cast(o_orderdate as date) as d "
-            "from orders)")
+            f"from orders) where {where}")
