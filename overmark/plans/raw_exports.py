@@ -8,6 +8,9 @@ casting the text (DuckDB's casts accept what the models' casts refuse).
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ..sources import conform as cf
 from ..sources.catalog import Catalog, test_catalog
 from ..sources.specs import STAGING_SPECS
 
+TASK_ROWS = 25_000      # orders exported by one task
+
 # Columns that filters, flags and series need in a form of their own, as SQL over k
 # that both engines read.  They are never unreadable.
 FORMS = {
@@ -88,24 +93,24 @@ def expected_sql(rule: cf.ColumnRule, j: int) -> str:
 
 
 def raw_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Catalog whose raw sources are the exports (lazy, one row an order)."""
+    """Catalog whose raw sources are the exports (lazy, one row an order).  An order is a few bytes and its export
+    a hundred cells, so tasks are cut by rows: by bytes a file of a million orders would be one task."""
     cat = test_catalog(spark, sf_dir)
-    base = cat.scan("orders").select(F.col("o_orderkey").cast("bigint").alias("k"), F.to_date("o_orderdate").alias("d"))
+    orders = cat.scan("orders")
+    base = orders.select(F.col("o_orderkey").cast("bigint").alias("k"), F.to_date("o_orderdate").alias("d"))
+    base = base.repartition(max(1, math.ceil(orders.count() / TASK_ROWS)), "k", "d")
     for model, (source, _) in STAGING_SPECS.items():
         cat.register_frame(source, export(base, model))
     return cat
 
 
 def export(base: DataFrame, model: str, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    """One array a kind of column, computed once a row, and the columns as its elements (a hundred inlined
-    CASEs would be too much code for one compiled stage)."""
-    rules = cf.staging_rules(model)
-    forms = list(dict.fromkeys(form(r) for r in rules if r.name not in FORMS))
-    arrays = base.select("k", "d", *[F.expr(f"transform(sequence(0, {len(rules) - 1}), j -> {x})").alias(f"x{i}")
-                                     for i, x in enumerate(forms)])
-    return arrays.select(*keep, *[(F.expr(FORMS[r.name].replace("varchar(9)", "string")) if r.name in FORMS
-                            else F.get(f"x{forms.index(form(r))}", F.lit(j))).alias(r.raw)
-                           for j, r in enumerate(rules)])
+    """Every column as an expression of its own over the row's key and date, with the column's number written in
+    (compiled code; a lambda over an array of the columns is interpreted element by element)."""
+    return base.select(*keep, *[
+        F.expr(FORMS[r.name].replace("varchar(9)", "string") if r.name in FORMS
+               else re.sub(r"\bj\b", str(j), form(r))).alias(r.raw)
+        for j, r in enumerate(cf.staging_rules(model))])
 
 
 def staging_sql(model: str, where: str = "true") -> str:
