@@ -244,7 +244,7 @@ FIRST_COLS = ["year_id", "series_start_ts", "player_home", "player_game_forecast
 
 def _first_games(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    t = RP.residual_tables(b.player_line, b.elo_games)
+    t = RP.residual_tables(b.player_line, b.elo_games, columns=[])
     return SO.with_series_format(SO.first_game_per_series(t.games, cols=FIRST_COLS))
 
 
@@ -380,7 +380,7 @@ from (select distinct series_id, kaggle_game_id, player_team_id, opponent_team_i
 group by 1, 2, 3"""))
 def q_agg_over_distinct(spark, sf_dir):
     b = Bindings(spark, sf_dir)
-    g = RP.residual_tables(b.player_line, b.elo_games).games
+    g = RP.residual_tables(b.player_line, b.elo_games, columns=[]).games
     d = g.select("series_id", "kaggle_game_id", "player_team_id", "opponent_team_id", "player_win").distinct()
     return d.groupBy("series_id", "player_team_id", "opponent_team_id").agg(
         F.count_distinct("kaggle_game_id").alias("games"), F.sum("player_win").alias("wins"))
