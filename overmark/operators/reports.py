@@ -312,14 +312,17 @@ def market_residual_games(stats: DataFrame, team_stats: DataFrame, quotes: DataF
     (average side price → probability), with the career running total
     (peers included), series total/average, series order and career max."""
     j = market_rows(stats, team_stats, quotes, min_series)
-    series_tot = (j.groupBy("person_id", "series_id")
-                  .agg(F.sum("_r").alias("_ssum"), F.avg("_r").alias("_savg")))
     ranks = dense_rank_table(j, ["person_id"], "series_start_ts", "player_series_order", piece_rows).select(
         F.col("person_id").alias("_rk_p"), F.col("series_start_ts").alias("_rk_start"), "player_series_order")
+    # a series of a person has one start, so totals and rank are one row and meet the game rows in one join; rows
+    # without a series have a rank but no totals
+    series_tot = (j.groupBy("person_id", "series_id")
+                  .agg(F.sum("_r").alias("_ssum"), F.avg("_r").alias("_savg"), F.min("series_start_ts").alias("_start")))
+    series_tot = series_tot.withColumns({c: F.when(F.col("series_id").isNotNull(), F.col(c)) for c in ("_ssum", "_savg")})
+    series_tot = series_tot.join(ranks, (F.col("person_id") == F.col("_rk_p"))
+                                 & F.col("_start").eqNullSafe(F.col("_rk_start")), "left").drop("_rk_p", "_rk_start", "_start")
     j = running_sum(j, ["person_id"], ["game_ts"], "_r", "_cum", frame="range", piece_rows=piece_rows)
-    j = j.join(series_tot, ["person_id", "series_id"], "left")
-    j = j.join(ranks, (F.col("person_id") == F.col("_rk_p"))
-                   & F.col("series_start_ts").eqNullSafe(F.col("_rk_start")), "left").drop("_rk_p", "_rk_start")
+    j = R.join_series(j, series_tot)
     j = j.select("person_id", "first_name", "last_name", "series_id", "series_game_number", "game_id",
                  "game_date_time_est", "win",
                  F.round("implied_win_prob", 4).alias("implied_win_prob"),

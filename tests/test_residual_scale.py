@@ -79,3 +79,22 @@ def test_game_rows_keep_what_is_read(spark):
     t = RP.residual_tables(stats, elo, columns=["points"])
     assert t.games.columns == [*RP.RESIDUAL_COLS, "points"]
     assert t.player_series.count() == R.player_series_residuals(RP.residual_tables(stats, elo).games, t.series_res).count()
+
+
+def test_market_series_totals_rank_and_peak_meet_rows_by_series(spark):
+    """Against the same results stated by windows; rows without a series count for the career only."""
+    stats, _ = _inputs(spark)
+    team = stats.selectExpr("game_id", "player_team_id as team_id", "cast(game_id % 3 > 0 as bigint) as win").distinct()
+    quotes = stats.selectExpr("game_id", "1 as book_id", "10 as team_id", "20 as a_team_id", "cast(100 + 10 * (game_id % 4) as double) as price1",
+                              "cast(-120 as double) as price2").distinct()
+    got = RP.market_residual_games(stats, team, quotes, piece_rows=20)
+    RP.market_rows(stats, team, quotes).createOrReplaceTempView("market_rows_seen")
+    want = spark.sql("""
+      select person_id, game_id, round(total, 4) as cumulative_series_residual, player_series_order, peak as max_cumulative_career_game_residual
+      from (select *, max(cum) over (partition by person_id) as peak from (
+        select *, round(sum(_r) over (partition by person_id order by game_ts), 4) as cum,
+          sum(_r) over (partition by person_id, series_id) as total,
+          dense_rank() over (partition by person_id order by series_start_ts) as player_series_order from market_rows_seen))
+      where series_id is not null and _r is not null""")
+    assert _rows(got.select(*want.columns)) == _rows(want) and want.count() == 84
+    assert {r.person_id for r in got.collect()} == {0, 1}
