@@ -117,17 +117,19 @@ def player_game_residuals(stats: DataFrame, elo: DataFrame, min_series: int = 10
     context = [c for c in columns if c in _CONTEXT]
     t = residual_tables(stats, elo, min_series, mirror_venue,
                         columns=[ROW, *[FLAGSHIP_SOURCE.get(c, c) for c in columns if c not in _CONTEXT]])
-    # the row spine with its running value is read twice (career bounds and
-    # the output): write it once
+    # the spines with their running values are read twice (career bounds and
+    # the output): write them once; where only the series context is read,
+    # nothing reads a running value, and a write would hold it for nobody
     series = ["person_id", "series_id", "player_team_id", "opponent_team_id"]
     by_series = set(context) <= set(SERIES_CONTEXT) and set(series) <= set(columns)
     carried = [] if by_series else [ROW, *series[1:], F.col("year_id").try_cast("bigint").alias("_year_key")]
     g = R.running_game(t.games.select("person_id", "game_ts", "kaggle_game_id", "game_residual", *carried), piece_rows)
-    g = materialize(g, "player_game_running")
+    s = R.running_series(t.player_series, piece_rows)
+    if not by_series:
+        g, s = materialize(g, "player_game_running"), materialize(s, "player_series_running")
     game_bounds = R.career_bounds(g, "career_game_running_residual", ["game_ts", "kaggle_game_id"],
                                   "career_game_last_cumulative_residual",
                                   "career_game_max_cumulative_residual")
-    s = materialize(R.running_series(t.player_series, piece_rows), "player_series_running")
     series_bounds = R.career_bounds(s, "career_series_running_residual", R.SERIES_ORDER,
                                     "career_series_last_cumulative_residual",
                                     "career_series_max_cumulative_residual")

@@ -103,9 +103,12 @@ def join_series(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 def eligible_series_rows(rows: DataFrame, min_series: int = 10) -> DataFrame:
     """W-01 + D-22 in one join: the rows of persons with more than
-    ``min_series`` series, with the first game time of their (person, series)."""
+    ``min_series`` series, with the first game time of their (person, series).
+    The series are one row each here, so D-22 counts them over the person,
+    where they are dealt anyway, and they go from there to the rows."""
     spans = rows.groupBy("person_id", "series_id").agg(F.min("game_ts").alias("series_start_ts"))
-    return join_series(rows, by_series(spans, eligible_persons(spans, min_series).select("person_id")))
+    spans = spans.withColumn("_n", F.count("series_id").over(W.partitionBy("person_id")))
+    return join_series(rows, spans.where(F.col("_n") > min_series).drop("_n"))
 
 
 def join_player_elo(elo: DataFrame, players: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
@@ -170,10 +173,12 @@ def running_game(df: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
 
 def player_series_residuals(games: DataFrame, series_res: DataFrame) -> DataFrame:
     """Distinct (person, series result) rows: a person's series with its
-    result and residual."""
-    g = games.select("person_id", "series_id", "player_team_id", "opponent_team_id",
-                     F.col("year_id").try_cast("bigint").alias("year_id")).distinct()
-    return g.join(series_res, ["series_id", "player_team_id", "opponent_team_id", "year_id"], "inner") \
+    result and residual.  The rows are dealt by series once: the distinct
+    rows, the join and the distinct result all stay there."""
+    keys = ["series_id", "player_team_id", "opponent_team_id", "year_id"]
+    g = games.select("person_id", *keys[:3], F.col("year_id").try_cast("bigint").alias("year_id")) \
+        .repartition(*keys).distinct()
+    return g.join(series_res, keys, "inner") \
         .select("person_id", "year_id", "series_id", "player_team_id", "opponent_team_id", "series_start_ts",
                 "team_series_games", "team_series_wins", "opponent_series_wins", "series_win",
                 "series_forecast", "series_money_line", "series_residual").distinct()

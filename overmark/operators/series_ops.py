@@ -95,10 +95,11 @@ def series_odds_enumerated(first_games: DataFrame) -> DataFrame:
 def series_results(games: DataFrame) -> DataFrame:
     """D-18 part 1: per (series, side, opponent, year) over the distinct team
     games: games, wins each way, and the majority outcome (1/0, NULL on a
-    tie)."""
-    d = games.select("series_id", "kaggle_game_id", "player_team_id", "opponent_team_id",
-                     F.col("year_id").try_cast("bigint").alias("year_id"), "series_start_ts",
-                     "player_win").distinct()
+    tie).  The distinct games are a set per series, which is reduced map side
+    and dealt once, by series; its games are counted where they are."""
+    d = (games.groupBy(*SIDE_KEYS, F.col("year_id").try_cast("bigint").alias("year_id"))
+         .agg(F.collect_set(F.struct("kaggle_game_id", "series_start_ts", "player_win")).alias("_games"))
+         .select(*SIDE_KEYS, "year_id", F.inline("_games")))
     wins, losses = F.sum("player_win"), F.sum(F.lit(1) - F.col("player_win"))
     return (d.groupBy(*SIDE_KEYS, "year_id")
             .agg(F.min("series_start_ts").alias("series_start_ts"),

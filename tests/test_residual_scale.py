@@ -98,3 +98,49 @@ def test_market_series_totals_rank_and_peak_meet_rows_by_series(spark):
       where series_id is not null and _r is not null""")
     assert _rows(got.select(*want.columns)) == _rows(want) and want.count() == 84
     assert {r.person_id for r in got.collect()} == {0, 1}
+
+
+def _exchanges(spark, df):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return len(re.findall("Exchange hashpartitioning", df()._jdf.queryExecution().executedPlan().toString()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_series_rows_are_dealt_once_a_branch(spark):
+    """First games, results and person rows are each dealt by series once; only the odds go on to the year."""
+    stats, elo = _inputs(spark)
+    t = RP.residual_tables(stats, elo, columns=[])
+    assert _exchanges(spark, lambda: R.player_series_residuals(t.games, t.series_res)) <= 4
+    base = R.dedup_player_game(R.raw_player_games(stats))
+    rows = RP.materialize(base, "rows")
+    assert _exchanges(spark, lambda: R.eligible_series_rows(rows, 10)) <= 4
+
+
+def test_series_results_count_distinct_games(spark):
+    """Against the distinct rows counted; a game seen from two starts counts twice as a result and once as a game."""
+    t = RP.residual_tables(*_inputs(spark), columns=[])
+    from overmark.operators import series_ops as SO
+    games = t.games.unionByName(t.games.limit(7)).unionByName(t.games.where("kaggle_game_id < 3").withColumn(
+        "player_win", F.lit(None).cast("int")))
+    games.createOrReplaceTempView("games_seen")
+    want = spark.sql("""
+      select series_id, player_team_id, opponent_team_id, year_id, min(series_start_ts) as series_start_ts,
+        count(distinct kaggle_game_id) as team_series_games, sum(player_win) as team_series_wins,
+        sum(1 - player_win) as opponent_series_wins,
+        case when sum(player_win) > sum(1 - player_win) then 1 when sum(player_win) < sum(1 - player_win) then 0 end as series_win
+      from (select distinct series_id, kaggle_game_id, player_team_id, opponent_team_id, cast(year_id as bigint) as year_id,
+              series_start_ts, player_win from games_seen) group by 1, 2, 3, 4""")
+    assert _rows(SO.series_results(games)) == _rows(want) and want.count() > 10
+
+
+def test_running_values_are_written_only_if_read(spark, monkeypatch):
+    stats, elo = _inputs(spark)
+    written, write = [], RP.materialize
+    monkeypatch.setattr(RP, "materialize", lambda df, name, *a, **k: written.append(name) or write(df, name, *a, **k))
+    RP.player_game_residuals(stats, elo, piece_rows=20, columns=RP.ROLLUP_COLUMNS)
+    assert "player_game_base" in written and not [x for x in written if x.endswith("_running")]
+    RP.player_game_residuals(stats, elo, piece_rows=20)
+    assert sorted(x for x in written if x.endswith("_running")) == ["player_game_running", "player_series_running"]
