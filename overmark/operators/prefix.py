@@ -100,9 +100,14 @@ def running_aggs(df: DataFrame, keys: list[str], order: list, specs: dict[str, t
     if frame not in ("rows", "range"):
         raise ValueError(frame)
     vals = {o: (fn, f"_v_{o}") for o, (fn, _) in specs.items()}
-    base = df.withColumns({f"_v_{o}": _col(v) for o, (_, v) in specs.items()})
     if frame == "rows":
-        return _scan_rows(base, keys, order, vals, piece_rows).drop(*[c for _, c in vals.values()])
+        # a column of the rows is read where it stands: a copy would be dealt and written with every row
+        own = {o: v for o, (_, v) in specs.items() if isinstance(v, str) and v in df.columns and v not in specs}
+        vals.update({o: (specs[o][0], v) for o, v in own.items()})
+        copied = {f"_v_{o}": _col(v) for o, (_, v) in specs.items() if o not in own}
+        base = df.withColumns(copied) if copied else df
+        return _scan_rows(base, keys, order, vals, piece_rows).drop(*copied)
+    base = df.withColumns({f"_v_{o}": _col(v) for o, (_, v) in specs.items()})
     if not all(isinstance(o, str) for o in order):
         raise ValueError("a range frame takes order columns by name")
     peers = base.groupBy(*keys, *order).agg(*[_agg(fn, F.col(c)).alias(c) for fn, c in vals.values()])

@@ -56,7 +56,7 @@ RESIDUAL_COLS = ["person_id", "series_id", "kaggle_game_id", "player_team_id", "
                  "series_start_ts", "series_game_number", "game_label", "player_home", "player_game_forecast",
                  "player_win", "game_residual"]
 ROW = "_row"
-_JOIN_COLS = ["person_id", "game_id", "series_id", "game_ts", "game_date", "player_team_id", "opponent_team_id"]
+_JOIN_COLS = ["person_id", "game_id", "series_id", "game_ts", "player_team_id", "opponent_team_id"]
 
 
 def residual_tables(stats: DataFrame, elo: DataFrame, min_series: int = 10,
@@ -82,7 +82,10 @@ def residual_tables(stats: DataFrame, elo: DataFrame, min_series: int = 10,
     if persist:
         # read twice: the persons' series and the join to the forecast games
         base = materialize(base, "player_games_dedup")
-    joined = R.join_player_elo(elo, R.eligible_series_rows(base, min_series))
+    players = R.eligible_series_rows(base, min_series)
+    if "game_date" not in players.columns:
+        players = players.withColumn("game_date", F.to_date("game_ts"))      # as made of it, and not dealt with the rows
+    joined = R.join_player_elo(elo, players)
     games = R.game_residuals(joined)
     if keep is not None:
         if ROW in keep:
@@ -115,13 +118,14 @@ def player_game_residuals(stats: DataFrame, elo: DataFrame, min_series: int = 10
     """
     columns = columns or FLAGSHIP_COLUMNS
     context = [c for c in columns if c in _CONTEXT]
-    t = residual_tables(stats, elo, min_series, mirror_venue,
-                        columns=[ROW, *[FLAGSHIP_SOURCE.get(c, c) for c in columns if c not in _CONTEXT]])
     # the spines with their running values are read twice (career bounds and
     # the output): write them once; where only the series context is read,
     # nothing reads a running value, and a write would hold it for nobody
     series = ["person_id", "series_id", "player_team_id", "opponent_team_id"]
     by_series = set(context) <= set(SERIES_CONTEXT) and set(series) <= set(columns)
+    row = [] if by_series else [ROW]
+    t = residual_tables(stats, elo, min_series, mirror_venue,
+                        columns=[*row, *[FLAGSHIP_SOURCE.get(c, c) for c in columns if c not in _CONTEXT]])
     carried = [] if by_series else [ROW, *series[1:], F.col("year_id").try_cast("bigint").alias("_year_key")]
     g = R.running_game(t.games.select("person_id", "game_ts", "kaggle_game_id", "game_residual", *carried), piece_rows)
     s = R.running_series(t.player_series, piece_rows)
@@ -142,7 +146,7 @@ def player_game_residuals(stats: DataFrame, elo: DataFrame, min_series: int = 10
         F.max("career_year_game_running_residual").alias("career_year_game_max_cumulative_residual"),
         F.max("career_year_series_running_residual").alias("career_year_series_max_cumulative_residual"))
 
-    wide = t.games.select(ROW, *[
+    wide = t.games.select(*row, *[
         (american_price("forecast") if c == "forecast_money_line" else F.col(FLAGSHIP_SOURCE.get(c, c))).alias(c)
         for c in columns if c not in _CONTEXT])
     sr = s.select(*series, *SERIES_CONTEXT)

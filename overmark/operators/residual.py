@@ -120,25 +120,20 @@ def join_player_elo(elo: DataFrame, players: DataFrame, eligible: DataFrame | No
     max team) — NULL-propagating, so a missing id never matches — and the
     player's side is derived afterwards.  The join is one shuffle on the
     game key; eligibility is a semi-join on a per-person table."""
-    e = elo.withColumns({
-        "_d": F.col("date_game"),
-        "_lo": safe.least_nn(F.col("kaggle_team_id").cast("bigint"), F.col("kaggle_opp_team_id").cast("bigint")),
-        "_hi": safe.greatest_nn(F.col("kaggle_team_id").cast("bigint"), F.col("kaggle_opp_team_id").cast("bigint")),
-    })
+    # the pair's order is part of the condition, so the rows carry no copies of their keys
+    low, high = (lambda a, b, f=f: f(F.col(a).cast("bigint"), F.col(b).cast("bigint")) for f in (safe.least_nn, safe.greatest_nn))
     if eligible is not None:
         players = players.join(eligible.select("person_id"), "person_id", "left_semi")
-    p = (players.withColumns({"_pd": F.col("game_date"),
-                              "_plo": safe.least_nn("player_team_id", "opponent_team_id"),
-                              "_phi": safe.greatest_nn("player_team_id", "opponent_team_id")})
-         .withColumnRenamed("game_id", "kaggle_game_id"))
-    j = e.join(p, (F.col("_d") == F.col("_pd")) & (F.col("_lo") == F.col("_plo"))
-               & (F.col("_hi") == F.col("_phi")), "inner")
+    p = players.withColumnRenamed("game_id", "kaggle_game_id")
+    ours, theirs = ("player_team_id", "opponent_team_id"), ("kaggle_team_id", "kaggle_opp_team_id")
+    j = elo.join(p, (F.col("date_game") == F.col("game_date")) & (low(*theirs) == low(*ours))
+                 & (high(*theirs) == high(*ours)), "inner")
     # the OR condition, exactly: same pair in one of the two orientations
     kt, ko = F.col("kaggle_team_id").cast("bigint"), F.col("kaggle_opp_team_id").cast("bigint")
     pt, po = F.col("player_team_id"), F.col("opponent_team_id")
     j = j.where(((kt == pt) & (ko == po)) | ((ko == pt) & (kt == po)))
     side = F.when(kt == pt, "elo_team").when(ko == pt, "elo_opponent")
-    return j.drop("_d", "_lo", "_hi", "_pd", "_plo", "_phi").withColumn("player_elo_side", side)
+    return j.withColumn("player_elo_side", side)
 
 
 def game_residuals(joined: DataFrame) -> DataFrame:

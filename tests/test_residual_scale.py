@@ -144,3 +144,21 @@ def test_running_values_are_written_only_if_read(spark, monkeypatch):
     assert "player_game_base" in written and not [x for x in written if x.endswith("_running")]
     RP.player_game_residuals(stats, elo, piece_rows=20)
     assert sorted(x for x in written if x.endswith("_running")) == ["player_game_running", "player_series_running"]
+
+
+def test_shuffled_rows_carry_no_copies(spark, monkeypatch):
+    """Neither the pieces of a running sum nor the join to the forecasts copy a column; the rollup writes no row number."""
+    from overmark.operators import prefix
+    stats, elo = _inputs(spark)
+    written, write = {}, prefix.materialize
+    monkeypatch.setattr(prefix, "materialize", lambda df, name, *a, **k: written.setdefault(name, df.columns) and write(df, name, *a, **k))
+    rows = spark.range(9).selectExpr("id % 2 as p", "id as o", "cast(id as double) as v")
+    got = prefix.running_sum(rows, ["p"], ["o"], "v", "run", piece_rows=3)
+    assert written == {"range_pieces": ["p", "o", "v", "_piece"]}
+    assert sorted(map(tuple, got.collect()))[-1] == (1, 7, 7.0, 16.0) and got.columns == ["p", "o", "v", "run"]
+    over = prefix.running_sum(rows, ["p"], ["o"], "v", "v", piece_rows=3)
+    assert sorted(map(tuple, over.collect()))[-1] == (1, 7, 16.0)
+    names, write2 = {}, RP.materialize
+    monkeypatch.setattr(RP, "materialize", lambda df, name, *a, **k: names.setdefault(name, df.columns) and write2(df, name, *a, **k))
+    RP.player_game_residuals(stats, elo, piece_rows=20, columns=RP.ROLLUP_COLUMNS)
+    assert RP.ROW not in names["player_game_base"] and "game_date" not in names["player_games_dedup"]
