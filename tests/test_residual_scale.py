@@ -146,6 +146,28 @@ def test_running_values_are_written_only_if_read(spark, monkeypatch):
     assert sorted(x for x in written if x.endswith("_running")) == ["player_game_running", "player_series_running"]
 
 
+def test_rate_rows_stay_where_the_rollup_left_them(spark):
+    """The career meets the rollup's rows on the keys they are dealt by: the rollup is not dealt again."""
+    stats, elo = _inputs(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ps = RP.player_series(RP.player_game_residuals(stats, elo, piece_rows=20, columns=RP.ROLLUP_COLUMNS))
+        out = RP.rate_features(ps, 2, 0.0)
+        rollup, rates = (len(re.findall("Exchange hashpartitioning", d._jdf.queryExecution().executedPlan().toString())) for d in (ps, out))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rates <= rollup + 4          # all of them over the narrow sides: two for the totals, one to the person and one back
+    got = out.select("person_id", "series_id", "career_playoff_series", "career_playoff_minutes", "career_playoff_points")
+    ps.createOrReplaceTempView("rollup_seen")
+    want = spark.sql("""
+      select r.person_id, r.series_id, n as career_playoff_series, minutes as career_playoff_minutes, points as career_playoff_points
+      from rollup_seen r join (select person_id, count(distinct series_id) as n, sum(series_minutes) as minutes, sum(series_points) as points
+                               from rollup_seen where series_minutes > 0 group by person_id) c on r.person_id = c.person_id
+      where n > 2 and series_minutes > 0""")
+    assert _rows(got) == _rows(want) and want.count() > 2
+
+
 def test_shuffled_rows_carry_no_copies(spark, monkeypatch):
     """Neither the pieces of a running sum nor the join to the forecasts copy a column; the rollup writes no row number."""
     from overmark.operators import prefix
