@@ -253,7 +253,7 @@ def rate_features(ps: DataFrame, min_series: int = 10, min_minutes: float = 4000
                      & (F.col("series_minutes") > 0))
             .withColumn("expected_logit", logit("expected_win_prob")))
     # career totals come from one narrow row a (person, series, side) and go back to these keys: the rollup's rows are
-    # dealt by them already, so they stay where they are, and no person's rows meet in one task
+    # dealt by them already, so they stay where they are; only the keys of a person's series meet on the person
     keys = ["person_id", "series_id", "player_team_id", "opponent_team_id"]
     totals = ["series_minutes", "series_points", "series_assists", "series_rebounds_total"]
     sides = materialize(base.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in totals]), "rate_sides")
