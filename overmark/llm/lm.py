@@ -37,6 +37,7 @@ split, so scores agree only over equal splits.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from math import isqrt
 
 import numpy as np
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import byteops as B
-from .common import map_arrow, written
+from .common import BATCH_BYTES, map_arrow, written
 
 U64 = np.uint64
 END = ""          # no word is empty, so the end can have this name
@@ -86,12 +87,15 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over the texts, the end as the empty word."""
     def run(batch):
         words, n = [pa.array([END], pa.large_string())], [np.array([batch.num_rows])]
-        for _, buf, off in B.chunks(batch.column(0)):
+        for _, buf, off in B.chunks(batch.column(0), BATCH_BYTES):
             buf = B.LOWER[buf]
             s, e, _ = B.words(buf, off)
-            _, first, c = np.unique(B.byte_spans(buf).hash(s, e), return_index=True, return_counts=True)
-            words.append(_lists(buf, s[first], e[first]))
-            n.append(c)
+            hashes = B.byte_spans(buf).hash(s, e)
+            order = np.argsort(hashes)
+            hashes = hashes.take(order)
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[:len(order)])
+            words.append(_lists(buf, s[order[first]], e[order[first]]))
+            n.append(np.diff(first, append=len(order)))
         return [pa.concat_arrays(words), pa.array(np.concatenate(n))]
 
     return map_arrow(docs.select("text"), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -142,15 +146,16 @@ class Reader:
         self.vocabulary = Vocabulary(c, p)
 
     def read(self, buf: np.ndarray, off: np.ndarray):
-        """(lowered bytes, word starts, ends, place in the vocabulary or -1,
-        numbers with ends, their row bounds)."""
+        """(lowered bytes, word starts, ends, hashes, place in the vocabulary
+        or -1, row bounds, numbers with ends, their row bounds)."""
         buf = B.LOWER[buf]
         s, e, bounds = B.words(buf, off)
-        at = self.index.find(B.byte_spans(buf).hash(s, e))
+        hashes = B.byte_spans(buf).hash(s, e)
+        at = self.index.find(hashes)
         rows = len(off) - 1
         word = np.full(len(s) + rows, self.vocabulary.end, np.int64)
         word[np.arange(len(s)) + np.repeat(np.arange(rows), np.diff(bounds))] = np.where(at >= 0, at, self.vocabulary.open)
-        return buf, s, e, at, bounds, word, bounds + np.arange(rows + 1)
+        return buf, s, e, hashes, at, bounds, word, bounds + np.arange(rows + 1)
 
 
 def contexts(kind: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +178,13 @@ class Lbl:
     c: np.ndarray            # 2 x width x width
     own: np.ndarray          # words x (width and bias), within their class
 
+    @cached_property
+    def reach(self) -> tuple[float, float]:
+        """The length of the longest class's or word's vector, the largest bias."""
+        own, bias = self.own[:, :-1], self.own[:, -1]
+        return (max(np.sqrt(_row_dots(x, x).max(initial=0)) for x in (self.q, own)),
+                max(np.abs(x).max(initial=0) for x in (self.b, bias)))
+
     @staticmethod
     def start(unigram: np.ndarray, p: LmParams, share: np.ndarray | None = None) -> Lbl:
         """``share``: of the vocabulary words in their classes; without it
@@ -186,6 +198,24 @@ class Lbl:
         return Lbl(r, q, np.log(unigram).astype(np.float32), np.stack([np.eye(d), np.eye(d) / 2]).astype(np.float32), own)
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _put(x: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """x[at] = rows, each row as one item."""
+    item = f"V{x.shape[1] * x.itemsize}"
+    x.view(item)[:, 0][at] = rows.view(item)[:, 0]
+
+
+def _row_dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, y)
+
+
 class Trainer:
     """Stochastic gradients of the noise-contrastive losses, scaled per
     parameter by their past squares."""
@@ -199,6 +229,7 @@ class Trainer:
         self.seen_r, self.seen_own, self.tokens = np.zeros(len(m.r), np.float32), np.zeros(len(m.own), np.float32), 0
         self.cdf = np.cumsum(voc.unigram)
         self.shift = np.log(p.noise * voc.unigram).astype(np.float32)
+        self.within = np.log(p.within / voc.size).astype(np.float32)
 
     @staticmethod
     def _sums(at, rows, n):
@@ -207,44 +238,64 @@ class Trainer:
         cell = (at[:, None] * d + np.arange(d)).ravel()
         return np.bincount(cell, rows.ravel(), n * d).astype(np.float32).reshape(n, d)
 
-    def _touch(self, x, past, seen, at, rows):
-        """Step of the rows ``at`` of a large matrix by their summed gradients."""
+    def _touch(self, x, past, seen, at, rows, times=None):
+        """Step of the rows ``at`` of a large matrix by their summed gradients;
+        ``times``: the touches that each of ``rows`` is the sum of."""
         order = np.argsort(at)
-        at = at[order]
+        at = at.take(order)
         first = np.append(0, np.flatnonzero(np.diff(at)) + 1)
-        some, times = at[first], np.diff(np.append(first, len(at)))
-        g = np.add.reduceat(rows[order], first, axis=0)
-        squares = past[some] + g * g
-        past[some] = squares
-        x[some] += np.float32(self.p.rate) * g / np.sqrt(squares)
+        some = at.take(first)
+        count = np.diff(first, append=len(at))
+        g = rows.take(order.take(first), 0)
+        many = count > 1                        # the rest need no sum
+        if many.any():
+            part, start = order[np.repeat(many, count)], np.append(0, np.cumsum(count[many])[:-1])
+            g[many] = np.add.reduceat(rows.take(part, 0), start, axis=0)
+        times = count if times is None else np.add.reduceat(times.take(order), first)
+        squares = g * g
+        squares += past.take(some, 0)
+        _put(past, some, squares)
+        g /= np.sqrt(squares, out=squares)
+        g *= np.float32(self.p.rate)
+        g += x.take(some, 0)
+        _put(x, some, g)
         seen[some] += times
 
     def step(self, u, v, w):
         m, p, voc = self.m, self.p, self.voc
         k, n = voc.kind[w], voc.classes
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(p.noise) * self.cdf[-1], "right"), n - 1)
-        ru, rv = m.r[u], m.r[v]
-        h = ru @ m.c[0] + rv @ m.c[1]
-        qw, qn = m.q[k], m.q[noise]
-        gw = 1 / (1 + np.exp(np.clip((h * qw).sum(1) + m.b[k] - self.shift[k], -30, 30)))
-        gn = -1 / (1 + np.exp(np.clip(self.shift[noise] - m.b[noise] - h @ qn.T, -30, 30)))
+        ru, rv = m.r.take(u, 0), m.r.take(v, 0)
+        hb = np.ones((len(w), p.width + 1), np.float32)         # with a one for the biases
+        h = hb[:, :-1]
+        np.add(ru @ m.c[0], rv @ m.c[1], out=h)
+        qw, qn = m.q.take(k, 0), m.q[noise]
+        gw = _logistic(_row_dots(h, qw) + (m.b - self.shift)[k])
+        gn = _logistic((self.shift - m.b)[noise] - h @ qn.T)
+        np.negative(gn, out=gn)
         dh = gw[:, None] * qw + gn @ qn
-        dq = self._sums(k, gw[:, None] * h, n) + self._sums(noise, gn.T @ h, n)
-        db = (np.bincount(k, gw, n) + np.bincount(noise, gn.sum(0), n)).astype(np.float32)
+        dq = self._sums(k, gw[:, None] * hb, n) + self._sums(noise, gn.T @ hb, n)
+        dq, db = dq[:, :-1], dq[:, -1]
         binned = np.flatnonzero(voc.size[k] > 1)
         if len(binned):
-            size, hb = voc.size[k[binned]], np.column_stack([h[binned], np.ones(len(binned), np.float32)])
-            drawn = voc.lo[k[binned], None] + (self.rng.random((len(binned), p.within)) * size[:, None]).astype(np.int64)
+            kb, hb = k[binned], hb.take(binned, 0)
+            size = voc.size[kb]
+            drawn = voc.lo[kb, None] + (self.rng.random((len(binned), p.within)) * size[:, None]).astype(np.int64)
             at = np.column_stack([w[binned], drawn])
-            own = m.own[at]
-            s = (own * hb[:, None]).sum(2) - np.log(p.within / size)[:, None].astype(np.float32)
-            g = -1 / (1 + np.exp(np.clip(-s, -30, 30)))
+            own = m.own.take(at, 0)
+            g = -_logistic(self.within[kb, None] - np.einsum("ijk,ik->ij", own, hb))
             g[:, 0] += 1
-            dh[binned] += (g[:, :, None] * own[:, :, :-1]).sum(1)
+            _put(dh, binned, dh.take(binned, 0) + np.einsum("ij,ijk->ik", g, own)[:, :-1])
             self._touch(m.own, self.past_own, self.seen_own, at.ravel(), (g[:, :, None] * hb[:, None]).reshape(-1, p.width + 1))
         dc = np.stack([ru.T @ dh, rv.T @ dh])
         scale = np.float32(len(w) ** 0.5)
-        self._touch(m.r, self.past_r, self.seen_r, np.append(u, v), np.concatenate([dh @ m.c[0].T, dh @ m.c[1].T]) / scale)
+        # a token's second context is the first of the token before it, but at the start of a text
+        du, dv = (dh / scale) @ m.c[0].T, (dh / scale) @ m.c[1].T
+        same = np.append(v[1:] == u[:-1], False)
+        du[same] += dv[1:][same[:-1]]
+        other = np.flatnonzero(~np.append(False, same[:-1]))
+        self._touch(m.r, self.past_r, self.seen_r, np.append(u, v[other]), np.concatenate([du, dv[other]]),
+                    np.append(1 + same, np.ones(len(other), np.int64)))
         for x, g, past in zip((m.q, m.b, m.c), (dq, db, dc), self.past, strict=True):
             g = g / scale
             past += g * g
@@ -294,7 +345,7 @@ def train(docs: DataFrame, c: Counts, p: LmParams) -> Lbl:
         for batch in batches:
             for _, buf, off in B.chunks(batch.column(0)):
                 if t is None:
-                    reader = Reader(held.value, p)
+                    reader = _reader(held.value, p)
                     t = Trainer(reader.vocabulary, p)
                 *_, word, bounds = reader.read(buf, off)
                 u, v = contexts(word, bounds, reader.vocabulary.end)
@@ -331,45 +382,62 @@ def train(docs: DataFrame, c: Counts, p: LmParams) -> Lbl:
     return m
 
 
-def _log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray, at: np.ndarray | None = None):
-    """log of the sums over q's rows of exp(h q + b); with ``at`` the logs of
-    those rows' shares."""
-    s = np.column_stack([h, np.ones(len(h), np.float32)]) @ np.column_stack([q, b]).T
-    own = 0 if at is None else s[np.arange(len(s)), at]
-    far = np.sqrt((h * h).sum(1).max() * (q * q).sum(1).max()) + np.abs(b).max()
-    top = np.float32(0)
-    if not far < 60:                       # exp of what is smaller fits a float
-        top = s.max(1)
-        s -= top[:, None]
-    sums = top + np.log(np.exp(s, out=s) @ np.ones(len(q), np.float32))
-    return sums if at is None else own - sums
+TO_TWO = np.float32(np.log2(np.e))     # exp(x) = 2 ** (x * TO_TWO), which takes less time
+BLOCK = 1 << 17                        # powers held at a time, to stay in a core's cache
+
+
+def _log_sums(h: np.ndarray, q: np.ndarray, near: bool, block: np.ndarray | None = None) -> np.ndarray:
+    """Natural logs of the sums over q's rows of 2 ** (h q), both with a column
+    for the biases; ``near``: the powers fit a float; ``block``: room for them,
+    a row of h at least."""
+    block = np.empty(max(BLOCK, len(q)), np.float32) if block is None else block
+    step = len(block) // len(q)
+    sums, ones = np.empty(len(h), np.float32), np.ones(len(q), np.float32)
+    for i in range(0, len(h), step):
+        some = h[i:i + step]
+        s, top = np.matmul(q, some.T, out=block[:len(q) * len(some)].reshape(len(q), -1)), 0
+        if not near:
+            top = s.max(0)
+            s -= top
+        sums[i:i + step] = top + np.log2(ones @ np.exp2(s, out=s))
+    sums /= TO_TWO
+    return sums
+
+
+def _hidden(m: Lbl, ru: np.ndarray, rv: np.ndarray) -> tuple[np.ndarray, bool]:
+    """h of context vectors with a one for the biases, and whether all its
+    exp(s) fit a float."""
+    h = np.ones((len(rv), m.q.shape[1] + 1), np.float32)
+    np.add(ru @ m.c[0], rv @ m.c[1], out=h[:, :-1])
+    length, bias = m.reach
+    return h, bool(np.sqrt(_row_dots(h, h).max(initial=0)) * length + bias < 60)
 
 
 def log_probabilities(m: Lbl, voc: Vocabulary, z: np.ndarray, u: np.ndarray, v: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log of P(word | u, v) in the vocabulary, normalised exactly;
     ``z``: the normalisers of pairs of the first contexts."""
-    h = m.r[u] @ m.c[0] + m.r[v] @ m.c[1]
-    k = voc.kind[word]
-    norm = np.empty(len(word), np.float32)
+    h, near = _hidden(m, m.r.take(u, 0), m.r.take(v, 0))
+    k, q = voc.kind.take(word), np.column_stack([m.q, m.b])
+    out = _row_dots(h, q.take(k, 0))
+    h *= TO_TWO
     tabled = (u < len(z)) & (v < len(z))
-    norm[tabled] = z[u[tabled], v[tabled]]
+    out[tabled] -= z[u[tabled], v[tabled]]
     rest = np.flatnonzero(~tabled)
-    _, one, back = np.unique(u[rest] * len(m.r) + v[rest], return_index=True, return_inverse=True)
-    sums = np.empty(len(one), np.float32)
-    for i in range(0, len(one), 1024):
-        sums[i:i + 1024] = _log_sums(h[rest[one[i:i + 1024]]], m.q, m.b)
-    norm[rest] = sums[back]
-    out = (h * m.q[k]).sum(1) + m.b[k] - norm
-    binned = np.flatnonzero(voc.size[k] > 1)
-    binned = binned[np.argsort(k[binned], kind="stable")]
-    cut = np.append(0, np.flatnonzero(np.diff(k[binned])) + 1)
-    for i, j in zip(cut, np.append(cut[1:], len(binned)), strict=True) if len(binned) else ():
-        lo = voc.lo[k[binned[i]]]
-        own = m.own[lo:lo + voc.size[k[binned[i]]]]
-        step = max(1, (1 << 20) // len(own))
-        for a in range(i, j, step):
-            some = binned[a:min(a + step, j)]
-            out[some] += _log_sums(h[some], own[:, :-1], own[:, -1], word[some] - lo)
+    pair = u[rest] * len(m.r) + v[rest]
+    order = np.argsort(pair)
+    new = np.diff(pair.take(order), prepend=-1) != 0
+    block = np.empty(max(BLOCK, len(q), voc.size.max()), np.float32)
+    out[rest[order]] -= _log_sums(h.take(rest[order[new]], 0), q, near, block).take(np.cumsum(new) - 1)
+    binned = np.flatnonzero(voc.size.take(k) > 1)
+    if len(binned):
+        binned = binned.take(np.argsort(k[binned].astype(np.int32), kind="stable"))
+        kb, h = k[binned], h.take(binned, 0)
+        sums = np.empty(len(binned), np.float32)
+        cut = np.append(0, np.flatnonzero(np.diff(kb)) + 1)
+        lo, size = voc.lo[kb[cut]], voc.size[kb[cut]]
+        for i, j, a, n in zip(cut.tolist(), [*cut[1:].tolist(), len(kb)], lo.tolist(), size.tolist(), strict=True):
+            sums[i:j] = _log_sums(h[i:j], m.own[a:a + n], near, block)
+        out[binned] += _row_dots(h, m.own.take(word[binned], 0)) / TO_TWO - sums
     return out
 
 
@@ -377,13 +445,14 @@ def normalisers(spark, m: Lbl, p: LmParams) -> np.ndarray:
     """log of the sum over classes of exp(s), for every pair [u, v] of the
     first ``classes`` contexts."""
     n = min(p.classes, len(m.r))
-    held = spark.sparkContext.broadcast((m.r[:n], m.q, m.b, m.c))
+    held = spark.sparkContext.broadcast(Lbl(m.r[:n], m.q, m.b, m.c, m.own[:0]))
 
     def run(batch):
-        (r, q, b, c), out = held.value, []
-        far = r @ c[1]
+        m, out = held.value, []
+        q = np.column_stack([m.q, m.b])
         for u in batch.column(0).to_pylist():
-            out.append(_log_sums(r[u] @ c[0] + far, q, b).astype(np.float32).tobytes())
+            h, near = _hidden(m, m.r[u:u + 1], m.r)
+            out.append(_log_sums(h * TO_TWO, q, near).tobytes())
         return [batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())]
 
     rows = map_arrow(spark.range(n), run, "u long, z binary").collect()      # classes rows of classes floats
@@ -393,9 +462,8 @@ def normalisers(spark, m: Lbl, p: LmParams) -> np.ndarray:
 _readers: dict = {}
 
 
-def _reader(held, p: LmParams) -> Reader:
-    """One reader per model in a Python worker."""
-    c = held.value[0]
+def _reader(c: Counts, p: LmParams) -> Reader:
+    """One reader per broadcast counts in a Python worker."""
     if id(c) not in _readers:
         _readers.clear()
         _readers[id(c)] = (Reader(c, p), c)      # holds the counts, so their id stays their own
@@ -416,21 +484,21 @@ def score(docs: DataFrame, learn, p: LmParams = LmParams()) -> DataFrame:
 
     def run(batch):
         c, m, z = held.value
-        reader = _reader(held, p)
+        reader = _reader(c, p)
         voc = reader.vocabulary
         base = np.log10(voc.unigram)
         log_c = np.append(np.log10((c.count + 1) / whole), 0.0)
         log_end = np.log10((c.ends + 1) / whole)
         cols, words, tf, size = [], [], [], []
-        for _, buf, off in B.chunks(batch.column(3)):
-            buf, s, e, at, bounds, word, wb = reader.read(buf, off)
+        for _, buf, off in B.chunks(batch.column(3), 2 << 20):
+            buf, s, e, hashes, at, bounds, word, wb = reader.read(buf, off)
             own = log_probabilities(m, voc, z, *contexts(word, wb, voc.end), word).astype(np.float64) / np.log(10)
             value = log_c[at]                                   # 0 for words outside the vocabulary
             rows, row = len(off) - 1, np.repeat(np.arange(len(off) - 1), np.diff(bounds))
             cols.append([np.diff(wb), B.per_row(at >= 0, bounds) + (c.ends > 0), B.per_row(value, bounds) + log_end,
                          B.per_row(own, wb) - base[-1] * B.per_row(at < 0, bounds)])
             rare = np.flatnonzero(at < 0)
-            hsh = B.byte_spans(buf).hash(s[rare], e[rare])
+            hsh = hashes[rare]
             order = np.lexsort((hsh, row[rare]))
             new = np.append(True, (hsh[order][1:] != hsh[order][:-1]) | (row[rare][order][1:] != row[rare][order][:-1]))[:len(rare)]
             first = np.flatnonzero(new)
