@@ -30,7 +30,13 @@ Documents with equal sets form a class; the work is on classes.
 4. *Rest.*  Groups that even then span several components are joined with
    themselves, only across components, with an exact lower bound of the
    difference (the Hamming distance of 1024-bit parity sketches) in the join
-   condition.  The pairs that pass are verified and joined to the components.
+   condition.  Groups that are large
+   for their sets' sizes, as a passage in many texts makes them, are not: of
+   two linked sets, each has a feature of the other among its rarest
+   ``n - ceil(percent n / 100) + 1`` (``_rarest``; any order of the features
+   that all sets share will do), so the classes of large groups meet on one of
+   these instead.  The pairs that pass are verified and joined to the
+   components.
 
 Verification compares the sets themselves.  Nothing is capped: all pairs of a
 group are covered by 2 to 4.
@@ -45,7 +51,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -59,6 +65,8 @@ from .common import fresh, map_arrow, written
 U64 = np.uint64
 SKETCH = 1024
 WORDS = tuple(f"s{i}" for i in range(SKETCH // 64))      # the columns of a sketch
+FOLDS = ("f0", "f1")                                     # and of a sketch whose words are added up to two
+CROWD = 32                # members of a group a rare feature of its sets, above which it isn't joined with itself
 
 
 @dataclass(frozen=True)
@@ -259,6 +267,19 @@ def _sets(p: JaccardParams):
     return run
 
 
+def _features(p: JaccardParams):
+    """(class, feature) of each set that a batch holds."""
+    def run(batch):
+        cols = [[], [], []]
+        for _, buf, off in B.chunks(batch.column(0)):
+            h, bounds = shingles(buf, off, p.words)
+            for x, y in zip(cols[:2], class_keys(h, bounds), strict=True):
+                x.append(np.repeat(y, np.diff(bounds)))
+            cols[2].append(h)
+        return [_i64(np.concatenate(x)) for x in cols] if cols[2] else None
+    return run
+
+
 def _linked(percent: int):
     """Of pairs with both sets, those that link."""
     def run(batch):
@@ -272,28 +293,37 @@ def _linked(percent: int):
     return run
 
 
-def _apart_bits(a: str, b: str):
+def _apart_bits(a: str, b: str, words: tuple[str, ...] = WORDS):
     """Hamming distance of two classes' sketches."""
-    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in WORDS), F.lit(0))
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in words), F.lit(0))
+
 
+def _folds():
+    """A sketch as two words; these differ in no more bits than the sketches."""
+    return [reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, WORDS[i::len(FOLDS)])).alias(f) for i, f in enumerate(FOLDS)]
 
-def _close(a: str, b: str, percent: int):
+
+def _close(a: str, b: str, percent: int, words: tuple[str, ...] = WORDS):
     """May two described classes link, by size and sketch?"""
     col = lambda t, c: F.col(f"{t}.{c}")
-    apart = _apart_bits(a, b)
+    apart = _apart_bits(a, b, words)
     small, large = F.least(col(a, "n"), col(b, "n")), F.greatest(col(a, "n"), col(b, "n"))
     return ((100 * small >= percent * large)
             & ((100 + percent) * apart <= (100 - percent) * (small + large)))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: JaccardParams) -> DataFrame:
-    """The pairs (a, b) of class keys that link.  Sets are taken from one
-    document a class, the one of smallest id."""
-    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "jaccard-keys")
+def _texts(keys: DataFrame, docs: DataFrame, classes: DataFrame, p: JaccardParams) -> DataFrame:
+    """The text of one document a class, the one of smallest id."""
     ids = written(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "jaccard-ids")
     if ids.count() <= p.broadcast_ids:
         ids = F.broadcast(ids)
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: JaccardParams) -> DataFrame:
+    """The pairs (a, b) of class keys that link."""
+    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "jaccard-keys")
+    texts = _texts(keys, docs, classes, p)
     sets = (map_arrow(texts, _sets(p), "c1 long, c2 long, members binary")
             .select(_key(F.col("c1"), F.col("c2")).alias("key"), "members")
             .join(keys, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members")))
@@ -335,12 +365,24 @@ def components(edges: DataFrame) -> DataFrame:
 def extended(found: DataFrame, links: DataFrame) -> DataFrame:
     """``components`` of the edges behind ``found`` and of ``links``: only the
     components that ``links`` joins are worked on."""
-    merged = written(components(_between(links, found)), "star-merged")
+    return _after(found, _merged(found, links))
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(component, now) of the components that ``links`` joins with smaller ones."""
+    return written(components(_between(links, found)).withColumnsRenamed({"component": "now", "node": "component"}), "star-merged")
+
+
+def _after(found: DataFrame, merged: DataFrame) -> DataFrame:
     if merged.isEmpty():
         return found
-    into = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
-    moved = found.join(into, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
-    return written(moved.union(merged), "star-found")
+    return written(_moved(found, merged).select("node", "component")
+                   .union(merged.select("component", "now")), "star-found")
+
+
+def _moved(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with the components that theirs went into."""
+    return rows.join(merged, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
 
 
 def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -362,9 +404,15 @@ def _with_components(classes: DataFrame, found: DataFrame) -> DataFrame:
             .withColumn("component", F.coalesce("component", "key")))
 
 
-def _open_members(shared: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """The described members of the signature groups that span several components."""
-    member = shared.select("sig", "step", "c1").distinct().join(_with_components(classes, found), "c1")
+def _members(shared: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of the signature groups, with folded sketches and components."""
+    described = _with_components(classes.select("c1", "key", "n", *_folds()), found)
+    return shared.select("sig", "step", "c1").distinct().join(described, "c1").drop("c1")
+
+
+def _open_members(member: DataFrame) -> DataFrame:
+    """Those of groups that span several components.  Components only grow, so
+    of these alone can any be open later."""
     spans = (member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo <> hi").select("sig"))
     return written(member.join(spans, "sig"), "jaccard-open")
@@ -376,21 +424,72 @@ def _meet(a: str, b: str):
     return (F.col(f"{a}.component") != F.col(f"{b}.component")) & (F.col(f"{a}.step") + F.col(f"{b}.step") < 2)
 
 
-def _nearest_hubs(member: DataFrame, turn: int, percent: int) -> DataFrame:
+def _described(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those that may link, with their sketches' distance ``d`` a feature."""
+    x, y, sketch = classes.alias("x"), classes.alias("y"), ("key", "n", *WORDS)
+    return (pairs.join(x.select(*(F.col(f"x.{c}") for c in sketch)).alias("x"), F.col("a") == F.col("x.key"))
+            .join(y.select(*(F.col(f"y.{c}") for c in sketch)).alias("y"), F.col("b") == F.col("y.key"))
+            .where(_close("x", "y", percent))
+            .select("a", "b", (_apart_bits("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("d")))
+
+
+def _nearest_hubs(member: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
     """(a, b), a < b: each class with one hub of another component, the nearest
     by sketch of those that its groups draw in this turn."""
     drawn = F.xxhash64("key", "sig", F.lit(turn))
-    described = ("step", "key", "component", "n", *WORDS)
+    described = ("step", "key", "component", "n", *FOLDS)
     hub = (member.groupBy("sig").agg(F.min_by(F.struct(*described), drawn).alias("h"))
            .select("sig", *(F.col(f"h.{c}").alias(c) for c in described)))
     x, y = member.alias("x"), hub.alias("y")
-    return (x.join(y, (F.col("x.sig") == F.col("y.sig")) & _meet("x", "y") & _close("x", "y", percent))
-            .groupBy(F.col("x.key").alias("of"))
-            .agg(F.min(F.struct((_apart_bits("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("d"),
-                                F.col("y.key").alias("hub"))).alias("m"))
+    pairs = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & _meet("x", "y") & _close("x", "y", percent, FOLDS))
+             .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+    return (_described(pairs, classes, percent).groupBy(F.col("a").alias("of"))
+            .agg(F.min(F.struct("d", F.col("b").alias("hub"))).alias("m"))
             .select(F.least("of", "m.hub").alias("a"), F.greatest("of", "m.hub").alias("b")).distinct())
 
 
+def _rare(percent: int):
+    """How many of a set's n features hold one of any set that links."""
+    return F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+
+
+def _rarest(keys: DataFrame, docs: DataFrame, classes: DataFrame, p: JaccardParams) -> DataFrame:
+    """(key, feature): the features of each class that the fewest of these
+    classes have, as many as a linked set can't all lack."""
+    texts = _texts(keys, docs, classes, p)
+    has = written(map_arrow(texts, _features(p), "c1 long, c2 long, feature long")
+                  .select(_key(F.col("c1"), F.col("c2")).alias("key"), "feature")
+                  .join(keys, "key", "left_semi").distinct(), "jaccard-features")
+    seen = has.groupBy("feature").agg(F.count(F.lit(1)).alias("seen"))
+    of = Window.partitionBy("key")
+    return (has.join(seen, "feature")
+            .select("key", "feature", F.row_number().over(of.orderBy("seen", "feature")).alias("place"),
+                    F.count(F.lit(1)).over(of).alias("n"))
+            .where(F.col("place") <= _rare(p.percent)).select("key", "feature"))
+
+
+def _rest(member: DataFrame, docs: DataFrame, classes: DataFrame, p: JaccardParams) -> DataFrame:
+    """(a, b), a < b: all pairs of members that may link across components,
+    by group, and those of large groups by a rare feature."""
+    sketch = classes.select("key", *WORDS)
+
+    def pairs(rows, on, apart):
+        described = rows.drop(*FOLDS).join(sketch, "key")
+        x, y = described.alias("x"), described.alias("y")
+        return (x.join(y, (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.key") < F.col("y.key")) & apart
+                       & _close("x", "y", p.percent))
+                .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
+
+    large = written(member.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.max(_rare(p.percent)).alias("rare"))
+                    .where(F.col("members") > CROWD * F.col("rare")).select("sig"), "jaccard-large")
+    if large.isEmpty():
+        return pairs(member, "sig", _meet("x", "y")).distinct()
+    crowd = written(member.join(large, "sig", "left_semi").select("key", "component", "n").distinct(), "jaccard-crowd")
+    rare = written(_rarest(crowd.select("key"), docs, classes, p).join(crowd, "key"), "jaccard-rare")
+    return (pairs(member.join(large, "sig", "left_anti"), "sig", _meet("x", "y"))
+            .union(pairs(rare, "feature", F.col("x.component") != F.col("y.component"))).distinct())
+
+
 def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     return _placed(docs, p).select("doc_id", "n_shingles", "component_id")
@@ -440,18 +539,15 @@ def _placed(docs: DataFrame, p: JaccardParams) -> DataFrame:
 
     # groups that still span several components: other hubs, then all that is left
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    member = _open_members(_members(shared, classes, found))
     for turn in range(p.turns):
-        member = _open_members(shared, classes, found)
-        near = written(_nearest_hubs(member, turn, p.percent).join(tried, ["a", "b"], "left_anti"), "jaccard-near")
+        near = written(_nearest_hubs(member, classes, turn, p.percent).join(tried, ["a", "b"], "left_anti"), "jaccard-near")
         if near.isEmpty():
             break
-        found = extended(found, written(_verify(near, docs, classes, p), "jaccard-links"))
+        merged = _merged(found, written(_verify(near, docs, classes, p), "jaccard-links"))
+        found, member = _after(found, merged), _open_members(_moved(member, merged))
         tried = tried.union(near)
-    member = _open_members(shared, classes, found)
-    x, y = member.alias("x"), member.alias("y")
-    more = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key"))
-                   & _meet("x", "y") & _close("x", "y", p.percent))
-            .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+    more = _rest(member, docs, classes, p)
     more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
     if not more.isEmpty():
         found = extended(found, written(_verify(more, docs, classes, p), "jaccard-links"))

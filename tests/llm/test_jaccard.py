@@ -129,3 +129,23 @@ def test_components_in_two_steps(spark):
     first = J.components(frame(edges))
     assert got(J.extended(first, frame(edges[:5]))) == sorted(want, key=str)
     assert J.components(frame([])).count() == 0 and got(J.extended(J.components(frame([])), frame(edges))) == sorted(want, key=str)
+
+
+def test_texts_with_one_passage_meet_on_rare_features(spark, monkeypatch):
+    """All texts share a passage and its signatures, few link: not all pairs of such a group are compared."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = [word(6) for _ in range(30)]
+    rows = [(i, " ".join(passage + [word(7) for _ in range(8)])) for i in range(200)]
+    rows += [(1000 + i, rows[i][1][:-7] + word(7)) for i in range(0, 200, 8)]
+    tables, write = {}, J.written
+    monkeypatch.setattr(J, "CROWD", 4)
+    monkeypatch.setattr(J, "written", lambda df, name: tables.setdefault(name, write(df, name)) if name in ("jaccard-rare", "jaccard-crowd")
+                        else write(df, name))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = got(J.link_components(df, J.JaccardParams(words=3, percent=80, turns=0)))
+    assert found == brute(rows, 3, 80) and len({x[2] for x in found}) == 200
+    met = sum(n * (n - 1) // 2 for (n,) in tables["jaccard-rare"].groupBy("feature").count().select("count").collect())
+    assert tables["jaccard-crowd"].count() > 100 and met < 1000
+    for key, n in tables["jaccard-rare"].groupBy("key", "n").count().select("n", "count").collect():
+        assert n == key - -(-80 * key // 100) + 1
