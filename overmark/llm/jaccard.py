@@ -66,7 +66,7 @@ U64 = np.uint64
 SKETCH = 1024
 WORDS = tuple(f"s{i}" for i in range(SKETCH // 64))      # the columns of a sketch
 FOLDS = ("f0", "f1")                                     # and of a sketch whose words are added up to two
-CROWD = 32                # members of a group a rare feature of its sets, above which it isn't joined with itself
+CROWD = 96                # members of a group a rare feature of its sets, above which it isn't joined with itself
 
 
 @dataclass(frozen=True)
